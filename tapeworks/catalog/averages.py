@@ -2,7 +2,7 @@
 
 from tapeworks.catalog import query
 from tapeworks.catalog.base import bar_series, out
-from tapeworks.catalog.sql import BARS, full, over
+from tapeworks.catalog.sql import BARS, R, full, over
 from tapeworks.functions import averages as A
 
 K = ["symbol", "t"]
@@ -24,12 +24,12 @@ def lefted(cte: str, cols: str) -> str:
     return f"SELECT bar.symbol, bar.t, {cols} FROM bar LEFT JOIN {cte} USING (symbol, t)"
 
 
-@query("w01_sma", f"WITH {BARS} SELECT symbol, t, round({full(20, 'avg(close) ' + over(20))}, 4) AS sma FROM bar")
+@query("w01_sma", f"WITH {BARS} SELECT symbol, t, {R(full(20, 'avg(close) ' + over(20)))} AS sma FROM bar")
 def w01(spark, sf):
     return out(A.sma(bar_series(spark, sf), "close", 20).df, K, sma="sma")
 
 
-@query("w02_ema", f"WITH {BARS}, {ema_sql('bar', 'close', 20)} {lefted('e', 'round(y, 4) AS ema')}")
+@query("w02_ema", f"WITH {BARS}, {ema_sql('bar', 'close', 20)} {lefted('e', R('y') + ' AS ema')}")
 def w02(spark, sf):
     return out(A.ema(bar_series(spark, sf), "close", 20).df, K, ema="ema")
 
@@ -39,7 +39,7 @@ def wma_sql(col: str, n: int) -> str:
     return f"({parts}) / {n * (n + 1) / 2}"
 
 
-@query("w03_wma", f"WITH {BARS} SELECT symbol, t, round({wma_sql('close', 10)}, 4) AS wma FROM bar")
+@query("w03_wma", f"WITH {BARS} SELECT symbol, t, {R(wma_sql('close', 10))} AS wma FROM bar")
 def w03(spark, sf):
     return out(A.wma(bar_series(spark, sf), "close", 10).df, K, wma="wma")
 
@@ -47,7 +47,7 @@ def w03(spark, sf):
 @query(
     "w04_hma",
     f"WITH {BARS}, d AS (SELECT symbol, t, 2 * {wma_sql('close', 8)} - {wma_sql('close', 16)} AS d FROM bar) "
-    f"SELECT symbol, t, round({wma_sql('d', 4)}, 4) AS hma FROM d",
+    f"SELECT symbol, t, {R(wma_sql('d', 4))} AS hma FROM d",
 )
 def w04(spark, sf):
     return out(A.hma(bar_series(spark, sf), "close", 16).df, K, hma="hma")
@@ -56,14 +56,14 @@ def w04(spark, sf):
 E2 = f"{ema_sql('bar', 'close', 12, name='e1')}, {ema_sql('e1', 'y', 12, 11, name='e2')}"
 
 
-@query("w05_dema", f"WITH {BARS}, {E2} SELECT bar.symbol, bar.t, round(2 * e1.y - e2.y, 4) AS dema FROM bar LEFT JOIN e1 USING (symbol, t) LEFT JOIN e2 USING (symbol, t)")
+@query("w05_dema", f"WITH {BARS}, {E2} SELECT bar.symbol, bar.t, {R('2 * e1.y - e2.y')} AS dema FROM bar LEFT JOIN e1 USING (symbol, t) LEFT JOIN e2 USING (symbol, t)")
 def w05(spark, sf):
     return out(A.dema(bar_series(spark, sf), "close", 12).df, K, dema="dema")
 
 
 @query(
     "w06_tema",
-    f"WITH {BARS}, {E2}, {ema_sql('e2', 'y', 12, 22, name='e3')} SELECT bar.symbol, bar.t, round(3 * e1.y - 3 * e2.y + e3.y, 4) AS tema "
+    f"WITH {BARS}, {E2}, {ema_sql('e2', 'y', 12, 22, name='e3')} SELECT bar.symbol, bar.t, {R('3 * e1.y - 3 * e2.y + e3.y')} AS tema "
     "FROM bar LEFT JOIN e1 USING (symbol, t) LEFT JOIN e2 USING (symbol, t) LEFT JOIN e3 USING (symbol, t)",
 )
 def w06(spark, sf):
@@ -72,7 +72,7 @@ def w06(spark, sf):
 
 @query(
     "w07_vwma",
-    f"WITH {BARS} SELECT symbol, t, round({full(20, f'CASE WHEN sum(volume) {over(20)} > 0 THEN sum(close * volume) {over(20)} / sum(volume) {over(20)} END')}, 4) AS vwma FROM bar",
+    f"WITH {BARS} SELECT symbol, t, {R(full(20, f'CASE WHEN sum(volume) {over(20)} > 0 THEN sum(close * volume) {over(20)} / sum(volume) {over(20)} END'))} AS vwma FROM bar",
 )
 def w07(spark, sf):
     return out(A.vwma(bar_series(spark, sf), "close", "volume", 20).df, K, vwma="vwma")
@@ -85,7 +85,7 @@ p AS (SELECT *, sum(step) {over(10)} AS path FROM s),
 q AS MATERIALIZED (SELECT symbol, t, i, close, pow(CASE WHEN path > 0 THEN far / path ELSE 0 END * {2 / 3 - 2 / 31!r} + {2 / 31!r}, 2) AS sc FROM p),
 k AS (SELECT symbol, t, i, close AS y FROM q WHERE i = 11
   UNION ALL SELECT q.symbol, q.t, q.i, k.y + q.sc * (q.close - k.y) FROM k JOIN q ON q.symbol = k.symbol AND q.i = k.i + 1)
-{lefted('k', 'round(y, 4) AS kama')}"""
+{lefted('k', R('y') + ' AS kama')}"""
 
 
 @query("w08_kama", KAMA)
@@ -100,7 +100,7 @@ def _alma_sql() -> str:
     ws = [math.exp(-((j - m) ** 2) / (2 * sd * sd)) for j in range(n)]
     tot = sum(ws)
     parts = " + ".join(f"lag(close, {n - 1 - j}) OVER (PARTITION BY symbol ORDER BY t) * {w / tot!r}" for j, w in enumerate(ws))
-    return f"WITH {BARS} SELECT symbol, t, round({parts}, 4) AS alma FROM bar"
+    return f"WITH {BARS} SELECT symbol, t, {R(parts)} AS alma FROM bar"
 
 
 @query("w09_alma", _alma_sql())
@@ -121,7 +121,7 @@ d AS (SELECT *, (ln(CASE WHEN r1 > 0 THEN 10.0 / r1 ELSE 1e10 END + CASE WHEN r2
 q AS MATERIALIZED (SELECT *, greatest(least(exp(-4.6 * (dim - 1)), 1.0), 0.01) AS al FROM d),
 k AS (SELECT symbol, t, i, seed AS y FROM q WHERE i = 21
   UNION ALL SELECT q.symbol, q.t, q.i, q.al * q.close + (1 - q.al) * k.y FROM k JOIN q ON q.symbol = k.symbol AND q.i = k.i + 1)
-{lefted('k', 'round(y, 4) AS frama')}"""
+{lefted('k', R('y') + ' AS frama')}"""
 
 
 @query("w10_frama", FRAMA)
@@ -132,7 +132,7 @@ def w10(spark, sf):
 @query(
     "w11_zlema",
     f"WITH {BARS}, z AS (SELECT symbol, t, i, coalesce(2 * close - lag(close, 9) OVER (PARTITION BY symbol ORDER BY t), close) AS z FROM bar), "
-    f"{ema_sql('z', 'z', 20)} {lefted('e', 'round(y, 4) AS zlema')}",
+    f"{ema_sql('z', 'z', 20)} {lefted('e', R('y') + ' AS zlema')}",
 )
 def w11(spark, sf):
     return out(A.zlema(bar_series(spark, sf), "close", 20).df, K, zlema="zlema")
@@ -148,7 +148,7 @@ def _smooth_sql() -> str:
 k AS (SELECT symbol, t, i, close AS y, CAST(NULL AS DOUBLE) AS yp FROM q WHERE i = 1
   UNION ALL SELECT q.symbol, q.t, q.i, CASE WHEN q.i = 2 THEN q.close ELSE {c1!r} * (q.close + q.pc) / 2 + {c2!r} * k.y + {c3!r} * k.yp END, k.y
   FROM k JOIN q ON q.symbol = k.symbol AND q.i = k.i + 1)
-SELECT symbol, t, round(y, 4) AS smooth FROM k"""
+SELECT symbol, t, {R('y')} AS smooth FROM k"""
 
 
 @query("w12_super_smoother", _smooth_sql())
@@ -162,7 +162,7 @@ RIB = [10 + 5 * j for j in range(8)]
 @query(
     "w13_ribbon",
     f"WITH {BARS}, " + ", ".join(ema_sql("bar", "close", n, name=f"r{n}") for n in RIB)
-    + " SELECT bar.symbol, bar.t, " + ", ".join(f"round(r{n}.y, 4) AS ema_{n}" for n in RIB)
+    + " SELECT bar.symbol, bar.t, " + ", ".join(f"{R(f'r{n}.y')} AS ema_{n}" for n in RIB)
     + " FROM bar " + " ".join(f"LEFT JOIN r{n} USING (symbol, t)" for n in RIB),
 )
 def w13(spark, sf):

@@ -9,8 +9,13 @@ from tapeworks.plans.series import Series
 from tapeworks.sources import market
 
 
+# Reported numbers are rounded; exact halves (prices have two decimals) would
+# round by the last bit of a sum, so a relative guard lifts them off the edge.
+GUARD = 1.000000001
+
+
 def r(c: Column | str, digits: int = 4) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return F.round((F.col(c) if isinstance(c, str) else c) * GUARD, digits)
 
 
 def bar_series(spark: SparkSession, sf: str, days: int = 7) -> Series:

@@ -4,7 +4,7 @@ TICK = """tick AS (
   SELECT l_suppkey AS symbol, l_shipdate AS ts,
          CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS day,
          l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3,
-         l_extendedprice / l_quantity AS price, l_quantity AS qty,
+         floor(l_extendedprice / l_quantity * 100) / 100 AS price, l_quantity AS qty,
          CASE WHEN l_linestatus = 'O' THEN 'buy' ELSE 'sell' END AS side, l_returnflag AS venue
   FROM lineitem)"""
 
@@ -35,6 +35,11 @@ ret AS (SELECT * FROM (
   SELECT asset, t, px, px / lag(px) OVER (PARTITION BY asset ORDER BY t) - 1 AS ret FROM px) WHERE ret IS NOT NULL)"""
 
 
+def R(expr: str, digits: int = 4) -> str:
+    """Reported rounding, the same guard as the Spark side."""
+    return f"round(({expr}) * CAST(1.000000001 AS DOUBLE), {digits})"
+
+
 def over(n: int, part: str = "symbol", order: str = "t") -> str:
     return f"OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 

@@ -32,7 +32,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("o1"),
         F.col("l_linenumber").alias("o2"),
         F.col("l_partkey").alias("o3"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price"),   # tick size 0.01
         F.col("l_quantity").alias("qty"),
         F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("side"),
         F.col("l_returnflag").alias("venue"),

@@ -87,7 +87,7 @@ def main(argv):
             want = con.execute(oracle[name]).df()
             t2 = time.time()
             ok, why = compare(got, want)
-            print(f"{'ok  ' if ok else 'FAIL'} {name} {len(got)} {t1 - t0:.1f}s / {t2 - t1:.1f}s {why}", flush=True)
+            print("\n" + f"{"ok  " if ok else 'FAIL'} {name} {len(got)} {t1 - t0:.1f}s / {t2 - t1:.1f}s {why}", flush=True)
             if not ok:
                 bad.append(name)
         except Exception as ex:  # noqa: BLE001
