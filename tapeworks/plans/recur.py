@@ -215,6 +215,28 @@ def run_plain(df: DataFrame, idx: str, steps) -> DataFrame:
     return df.mapInArrow(go, _schema(df, outs))
 
 
+def run_windows(df: DataFrame, idx: str, n: int, cols: list[str], outs: list[str], fn) -> DataFrame:
+    """Window views over ordered batches; the last ``n - 1`` rows are carried
+    from batch to batch.  Rows with fewer than ``n`` rows behind them are null."""
+
+    def go(batches):
+        tail = {c: np.full(n - 1, np.nan) for c in cols}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            got = _columns(batch)
+            full = {c: np.concatenate([tail[c], got[c]]) for c in cols}
+            tail = {c: x[-(n - 1):] if n > 1 else x[:0] for c, x in full.items()}
+            short = got[idx] < n
+            views = {c: np.lib.stride_tricks.sliding_window_view(x, n) for c, x in full.items()}
+            with np.errstate(all="ignore"):
+                ys = fn(views)
+            arrays = [*batch.columns, *[_null_nan(np.asarray(y, dtype=float), short) for y in ys]]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names + outs)
+
+    return df.mapInArrow(go, _schema(df, outs))
+
+
 def run_blocked(df: DataFrame, keys, block, order, idx, steps) -> DataFrame:
     """A series spans slices: one pass gives every row the composition of its
     slice so far, slice ends (one row each) are composed in order, and a join
