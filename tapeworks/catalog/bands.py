@@ -68,7 +68,7 @@ windowed(
     {"tenkan": full(52, MID(9)), "kijun": full(52, MID(26)), "senkou_a": full(52, f"({MID(9)} + {MID(26)}) / 2"), "senkou_b": full(52, MID(52)), "chikou": full(52, "close")},
 )
 windowed(
-    "w50_squeeze", X.squeeze, {"squeeze_momentum": "CASE WHEN bb.i > 20 THEN close - m END"}, raw={"squeeze": "(m - 2 * sd >= e.y - 1.5 * a) AND (m + 2 * sd <= e.y + 1.5 * a)"},
+    "w50_squeeze", X.squeeze, {"squeeze_momentum": "CASE WHEN bb.i > 20 THEN close - m END"}, raw={"squeeze": "coalesce((m - 2 * sd >= e.y - 1.5 * a) AND (m + 2 * sd <= e.y + 1.5 * a), false)"},
     ctes=f"{BB}, {KC}", src="bb LEFT JOIN art USING (symbol, t) LEFT JOIN e USING (symbol, t)",
 )
 windowed("w51_vwap", X.vwap, {"vwap": f"sum((high + low + close) / 3 * volume) {WALL} / sum(volume) {WALL}"})

@@ -162,7 +162,7 @@ def ichimoku(s: Series, a: int = 9, b: int = 26, c: int = 52) -> Series:
 
 def squeeze(s: Series, n: int = 20, atr_n: int = 10) -> Series:
     s = keltner(bollinger(s, n), n, atr_n)
-    active = (F.col("bb_lower") >= F.col("kc_lower")) & (F.col("bb_upper") <= F.col("kc_upper"))
+    active = F.coalesce((F.col("bb_lower") >= F.col("kc_lower")) & (F.col("bb_upper") <= F.col("kc_upper")), F.lit(False))
     return s.mutate(squeeze=active, squeeze_momentum=F.when(F.col("kc_mid").isNotNull(), B.c - F.col("bb_mid")))
 
 

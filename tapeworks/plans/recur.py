@@ -215,7 +215,7 @@ def run_plain(df: DataFrame, idx: str, steps) -> DataFrame:
     return df.mapInArrow(go, _schema(df, outs))
 
 
-def run_windows(df: DataFrame, idx: str, n: int, cols: list[str], outs: list[str], fn) -> DataFrame:
+def run_windows(df: DataFrame, idx: str, n: int, cols: list[str], outs: list[str], fn, short_ok: bool = False) -> DataFrame:
     """Window views over ordered batches; the last ``n - 1`` rows are carried
     from batch to batch.  Rows with fewer than ``n`` rows behind them are null."""
 
@@ -227,7 +227,7 @@ def run_windows(df: DataFrame, idx: str, n: int, cols: list[str], outs: list[str
             got = _columns(batch)
             full = {c: np.concatenate([tail[c], got[c]]) for c in cols}
             tail = {c: x[-(n - 1):] if n > 1 else x[:0] for c, x in full.items()}
-            short = got[idx] < n
+            short = None if short_ok else got[idx] < n
             views = {c: np.lib.stride_tricks.sliding_window_view(x, n) for c, x in full.items()}
             with np.errstate(all="ignore"):
                 ys = fn(views)

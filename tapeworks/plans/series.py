@@ -185,16 +185,18 @@ class Series:
         )
         return own.unionByName(guests)
 
-    def rolling(self, n: int, cols: list[str], outs: list[str], fn) -> "Series":
+    def rolling(self, n: int, cols: list[str], outs: list[str], fn, short_ok: bool = False) -> "Series":
         """Columns from the last ``n`` rows that no built-in frame expresses.
 
         ``fn(windows)`` gets ``{col: array (rows, n)}`` of NumPy window views
         over the ordered Arrow batches and returns one array per output.
+        With ``short_ok`` rows with fewer rows behind them are kept: ``fn`` asks
+        for ``_i`` and masks positions that lie before its series.
         """
         if not self.blocked:
-            return self._with(recur.run_windows(self.rows, IDX, n, cols, outs, fn))
+            return self._with(recur.run_windows(self.rows, IDX, n, cols, outs, fn, short_ok))
         rows = self._halo(n - 1, 0).repartition(*self.part).sortWithinPartitions(*self.part, *self.order)
-        got = recur.run_windows(rows, IDX, n, cols, outs, fn)
+        got = recur.run_windows(rows, IDX, n, cols, outs, fn, short_ok)
         return self._with(got.where(~F.col("_guest")).drop("_guest"))
 
     # -- running values from the start of the series -------------------------------

@@ -31,7 +31,7 @@ def canon(pdf):
     for rec in pdf.itertuples(index=False, name=None):
         row = []
         for v in rec:
-            if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
                 row.append(None)
             elif isinstance(v, (bool, np.bool_)):
                 row.append(bool(v))
@@ -80,7 +80,7 @@ def main(argv):
             got = fn(spark, sf_dir).toPandas()
             t1 = time.time()
             if name not in oracle:
-                print(f"rows {name} {len(got)} {t1 - t0:.1f}s", flush=True)
+                print(f"\nrows {name} {len(got)} {t1 - t0:.1f}s", flush=True)
                 if len(got) == 0:
                     bad.append(name)
                 continue
@@ -91,7 +91,7 @@ def main(argv):
             if not ok:
                 bad.append(name)
         except Exception as ex:  # noqa: BLE001
-            print(f"FAIL {name} {type(ex).__name__}: {str(ex)[:600]}", flush=True)
+            print(f"\nFAIL {name} {type(ex).__name__}: {str(ex)[:600]}", flush=True)
             bad.append(name)
     print("bad:", bad)
     return 1 if bad else 0
