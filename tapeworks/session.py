@@ -43,3 +43,11 @@ def size_estimate(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan in bytes (no job is run)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder all executors can reach (below the checkpoint folder)."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{root or tempfile.mkdtemp(prefix='tapeworks-')}/{name}-{uuid.uuid4().hex[:12]}"
