@@ -56,3 +56,8 @@ def full(n: int, expr: str) -> str:
 
 WALL = "OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING)"
 SERIES = "OVER (PARTITION BY symbol ORDER BY t)"
+
+POS = TICK + """, net AS (
+  SELECT symbol, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS net, sum(price * qty) / sum(qty) AS entry_price, arg_max(price, (ts, o1, o2, o3, price)) AS mark_price FROM tick GROUP BY 1),
+pos AS (SELECT symbol, s_nationkey AS nation, CASE WHEN net >= 0 THEN 'buy' ELSE 'sell' END AS side, abs(net) AS quantity, entry_price, mark_price,
+  CASE WHEN s_acctbal > 5000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS leverage, abs(net) * mark_price AS notional, net * mark_price AS signed FROM net JOIN supplier ON symbol = s_suppkey)"""

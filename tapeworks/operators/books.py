@@ -18,3 +18,50 @@ def depth_walk(levels: DataFrame, keys: list[str], price: str, qty: float) -> Da
     got = x.groupBy(*keys).agg(filled.alias("filled"), cost.alias("_cost"), best.alias("_best"))
     vwap = F.col("_cost") / F.col("filled")
     return got.select(*keys, "filled", vwap.alias("vwap"), F.when(F.col("_best") != 0, (vwap - F.col("_best")) / F.col("_best")).alias("slippage"))
+
+
+def metrics(levels: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """Best levels, mid, weighted mid, spread, imbalance of the top levels and
+    side volumes; best levels come from one grouped aggregate."""
+    from pyspark.sql import Window
+
+    bid, ask = F.col("side") == "buy", F.col("side") == "sell"
+    w = Window.partitionBy(*keys, "side").orderBy(F.when(bid, -F.col("price")).otherwise(F.col("price")))
+    top = levels.withColumn("k", F.row_number().over(w)).where(F.col("k") <= depth)
+    imb = top.groupBy(*keys).agg((F.sum(F.when(bid, F.col("qty")).otherwise(-F.col("qty"))) / F.sum("qty")).alias("imbalance"))
+    best = levels.groupBy(*keys).agg(
+        F.max(F.when(bid, F.col("price"))).alias("bid"), F.min(F.when(ask, F.col("price"))).alias("ask"),
+        F.max_by("qty", F.when(bid, F.col("price"))).alias("_bq"), F.min_by("qty", F.when(ask, F.col("price"))).alias("_aq"),
+        F.sum(F.when(bid, F.col("qty")).otherwise(0.0)).alias("bid_volume"), F.sum(F.when(ask, F.col("qty")).otherwise(0.0)).alias("ask_volume"),
+    )
+    b, a = F.col("bid"), F.col("ask")
+    mid = (b + a) / 2
+    return best.join(imb, keys).withColumns(
+        {
+            "mid": mid, "weighted_mid": (b * F.col("_aq") + a * F.col("_bq")) / (F.col("_aq") + F.col("_bq")),
+            "spread": a - b, "spread_pct": (a - b) / mid * 100,
+        }
+    ).drop("_aq", "_bq")
+
+
+def trade_flow(ticks: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Order-flow features of a bar from its trades."""
+    at = F.struct(*order)
+    g = ticks.groupBy(*by).agg(
+        F.sum(F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))).alias("flow"), F.sum("qty").alias("vol"), F.count(F.lit(1)).alias("n"),
+        (F.sum(F.col("price") * F.col("qty")) / F.sum("qty")).alias("vwap"), F.min_by("price", at).alias("op"), F.max_by("price", at).alias("lp"),
+    )
+    c = F.col
+    move = F.abs(c("lp") - c("op"))
+    return g.withColumns(
+        {
+            "flow_imbalance": c("flow") / c("vol"), "flow_velocity": c("vol") / c("n"), "vwap_deviation": (c("lp") - c("vwap")) / c("vwap"), "vwap_ratio": c("lp") / c("vwap"),
+            "impact_slope": F.when(c("n") > 5, move / (F.abs("flow") + 1e-8)).otherwise(0.0), "illiquidity": move / (c("vol") * c("lp") + 1e-12),
+        }
+    )
+
+
+def whale_share(trades: DataFrame, keys: list[str], size: str, factor: float = 10.0) -> DataFrame:
+    avg = trades.groupBy(*keys).agg(F.avg(size).alias("_a"))
+    big = F.sum(F.when(F.col(size) > factor * F.col("_a"), F.col(size)).otherwise(0.0))
+    return trades.join(avg, keys).groupBy(*keys).agg(F.least(F.lit(1.0), big / F.sum(size) * 5).alias("whale_score"))

@@ -85,3 +85,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", F.col("user_id"), "event_type", "value", "props",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
     )
+
+
+def positions(spark: SparkSession, sf_dir: str, before_day: int | None = None) -> DataFrame:
+    """Net position per symbol from all ticks: side from the net quantity,
+    entry = average price, mark = latest price, leverage 2 for suppliers with a
+    balance above 5000, venue group = nation."""
+    tk = ticks(spark, sf_dir)
+    if before_day is not None:
+        tk = tk.where(F.col("day") < before_day)
+    net = tk.groupBy("symbol").agg(
+        F.sum(F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))).alias("net"),
+        (F.sum(F.col("price") * F.col("qty")) / F.sum("qty")).alias("entry_price"),
+        F.max_by("price", F.struct(*TICK_ORDER)).alias("mark_price"),
+    )
+    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_nationkey").alias("nation"), "s_acctbal")
+    q = F.abs(F.col("net"))
+    return net.join(sup, "symbol").select(
+        "symbol", "nation", F.when(F.col("net") >= 0, "buy").otherwise("sell").alias("side"), q.alias("quantity"), "entry_price", "mark_price",
+        F.when(F.col("s_acctbal") > 5000, 2.0).otherwise(1.0).alias("leverage"), (q * F.col("mark_price")).alias("notional"),
+        (F.signum("net") * q * F.col("mark_price")).alias("signed"),
+    )
