@@ -61,3 +61,16 @@ POS = TICK + """, net AS (
   SELECT symbol, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS net, sum(price * qty) / sum(qty) AS entry_price, arg_max(price, (ts, o1, o2, o3, price)) AS mark_price FROM tick GROUP BY 1),
 pos AS (SELECT symbol, s_nationkey AS nation, CASE WHEN net >= 0 THEN 'buy' ELSE 'sell' END AS side, abs(net) AS quantity, entry_price, mark_price,
   CASE WHEN s_acctbal > 5000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS leverage, abs(net) * mark_price AS notional, net * mark_price AS signed FROM net JOIN supplier ON symbol = s_suppkey)"""
+
+TRADE = """trade AS (
+  SELECT o_orderpriority AS strategy_id, l_suppkey AS symbol, o_custkey AS account, l_returnflag AS venue,
+    CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS entry_day, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS exit_day,
+    l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, round(l_extendedprice * (l_discount - l_tax) * CAST(1.000000001 AS DOUBLE), 2) AS pnl, l_quantity AS qty,
+    floor(l_extendedprice / l_quantity * 100) / 100 AS price, CASE WHEN l_linestatus = 'O' THEN 'buy' ELSE 'sell' END AS side,
+    date_diff('day', o_orderdate, l_shipdate) * 24.0 AS hours
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+# equity per strategy and day: 100000 plus the running sum of daily PnL
+EQUITY = TRADE + """, dl AS (SELECT strategy_id, exit_day AS day, sum(pnl) AS pnl FROM trade GROUP BY 1, 2),
+eq AS (SELECT *, 100000 + sum(pnl) OVER (PARTITION BY strategy_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity, row_number() OVER (PARTITION BY strategy_id ORDER BY day) AS i FROM dl),
+er AS (SELECT *, equity / lag(equity) OVER (PARTITION BY strategy_id ORDER BY day) - 1 AS ret FROM eq)"""

@@ -129,7 +129,7 @@ def spectrum(pairs: DataFrame, keys: list[str] = ()) -> DataFrame:
     (a dimension); its N x N solve runs in a grouped Arrow function."""
     import pyarrow as pa
 
-    def solve(table: pa.Table) -> pa.Table:
+    def solve(table):
         i, j, c = (table[x].to_numpy() for x in ("i", "j", "corr"))
         ids, pos = np.unique(np.concatenate([i, j]), return_inverse=True)
         m = np.eye(len(ids))

@@ -289,7 +289,7 @@ def _one_blocked(df, keys, block, order, idx, s, cut):
     nstate = _NSTATE[kind]
     carried = [f"_s{j}" for j in range(nstate)]
 
-    def carry(key, table: pa.Table) -> pa.Table:
+    def carry(key, table):
         table = table.sort_by(block)
         maps = tuple(table[n].to_numpy() for n in names)
         start = np.zeros(table.num_rows, bool)

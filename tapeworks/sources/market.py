@@ -106,3 +106,23 @@ def positions(spark: SparkSession, sf_dir: str, before_day: int | None = None) -
         F.when(F.col("s_acctbal") > 5000, 2.0).otherwise(1.0).alias("leverage"), (q * F.col("mark_price")).alias("notional"),
         (F.signum("net") * q * F.col("mark_price")).alias("signed"),
     )
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed trades: an order line is entered on the order date and left on the
+    ship date; strategy = order priority; pnl = price * (discount - tax)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_shipdate", "l_linestatus", "l_returnflag")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    c = F.col
+    return li.join(o, c("l_orderkey") == c("o_orderkey")).select(
+        c("o_orderpriority").alias("strategy_id"), c("l_suppkey").alias("symbol"), c("o_custkey").alias("account"), c("l_returnflag").alias("venue"),
+        day_number("o_orderdate").alias("entry_day"), day_number("l_shipdate").alias("exit_day"),
+        c("l_orderkey").alias("o1"), c("l_linenumber").alias("o2"), c("l_partkey").alias("o3"),
+        (F.round(c("l_extendedprice") * (c("l_discount") - c("l_tax")) * 1.000000001, 2)).alias("pnl"),
+        c("l_quantity").alias("qty"), (F.floor(c("l_extendedprice") / c("l_quantity") * 100) / 100).alias("price"),
+        F.when(c("l_linestatus") == "O", "buy").otherwise("sell").alias("side"),
+        ((day_number("l_shipdate") - day_number("o_orderdate")) * 24.0).alias("hours"),
+    )
+
+
+TRADE_ORDER = ["exit_day", "o1", "o2", "o3", "pnl"]
