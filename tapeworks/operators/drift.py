@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,12 +106,8 @@ def two_sample(df: DataFrame, keys: list[str], part: str, a: str, b: str, value:
 def student_p(t: Column, dof: Column) -> Column:
     """Two-sided p of a t statistic (vectorised Arrow function: regularised
     incomplete beta by its continued fraction)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(t: pd.Series, n: pd.Series) -> pd.Series:
-        import numpy as np
-
         x = (n / (n + t * t)).to_numpy(float)
         a, b = n.to_numpy(float) / 2, np.full(len(n), 0.5)
         lg = np.vectorize(math.lgamma)
