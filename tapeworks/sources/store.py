@@ -135,13 +135,13 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def sample_candles(spark: SparkSession, symbols: int, bars: int = 500, start: float = 50_000.0, vol: float = 0.01, seed: str = "42") -> DataFrame:
-    """Seeded random-walk candles for ``symbols`` instruments."""
-    n = spark.range(symbols).select(F.col("id").alias("symbol"), F.explode(F.sequence(F.lit(1), F.lit(bars))).alias("i"))
+def sample_candles(symbols: DataFrame, bars: int = 500, vol: float = 0.01, seed: str = "42") -> DataFrame:
+    """Seeded random-walk candles for every (symbol, start) row."""
+    n = symbols.select("symbol", "start", F.explode(F.sequence(F.lit(1), F.lit(bars))).alias("i"))
     gauss = F.sqrt(-2 * F.log(uniform("symbol", "i", seed=seed + "a"))) * F.cos(6.283185307179586 * uniform("symbol", "i", seed=seed + "b"))
-    w = Window.partitionBy("symbol").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    walk = n.withColumn("close", F.round(start * F.exp(F.sum(gauss * vol).over(w)), 2))
-    o = F.coalesce(F.lag("close").over(Window.partitionBy("symbol").orderBy("i")), F.lit(start))
+    by = Window.partitionBy("symbol").orderBy("i")
+    walk = n.withColumn("close", F.round(F.col("start") * F.exp(F.sum(gauss * vol).over(by.rowsBetween(Window.unboundedPreceding, 0))), 2))
+    o = F.coalesce(F.lag("close").over(by), F.col("start"))
     wick = uniform("symbol", "i", seed=seed + "c") * vol
     return walk.withColumn("open", o).select(
         "symbol", "i", "open", (F.greatest("open", "close") * (1 + wick)).alias("high"), (F.least("open", "close") * (1 - wick)).alias("low"), "close",
