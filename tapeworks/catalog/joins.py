@@ -126,7 +126,7 @@ def j07(spark, sf):
     """Best and worst price over each holding period (interval join)."""
     b = market.bars(spark, sf).select("symbol", "t", "high", "low", "close")
     tr = market.trades(spark, sf).withColumns({"lo_t": F.floor(F.col("entry_day") / 7), "hi_t": F.floor(F.col("exit_day") / 7)})
-    x = J.interval_extremes(tr, b, ["symbol"], "lo_t", "hi_t", "t", {"hi": F.max("high"), "lo": F.min("low"), "ex": F.max_by("close", "t")}).where("hi is not null")
+    x = J.interval_extremes(tr, b, ["symbol"], "lo_t", "hi_t", "t", {"hi": ("max", "high"), "lo": ("min", "low"), "ex": ("last", "close")}).where("hi is not null")
     c = F.col
     buy = c("side") == "buy"
     mae = F.when(buy, c("price") - c("lo")).otherwise(c("hi") - c("price")) * c("qty")

@@ -7,13 +7,15 @@ from tapeworks.catalog.base import r
 from tapeworks.catalog.sql import BARS, EQUITY, R, TICK, TRADE
 from tapeworks.operators import reports as P
 from tapeworks.plans.series import IDX, Series
+from tapeworks.session import no_larger_than
 from tapeworks.sources import market
 
 ST = ["strategy_id"]
 
 
 def equity(spark, sf):
-    return P.equity_curve(market.trades(spark, sf).withColumnRenamed("exit_day", "day"), ST, "day", 100_000.0)
+    t = market.trades(spark, sf)
+    return P.equity_curve(no_larger_than(t.withColumnRenamed("exit_day", "day"), t), ST, "day", 100_000.0)
 
 
 STATS = f"""{TRADE}, ag AS (SELECT strategy_id, count(*) AS total_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) AS gp, abs(sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END)) AS gl,

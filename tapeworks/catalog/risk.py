@@ -33,10 +33,9 @@ PORT = f"{ASSET}, {WTS}, pr AS (SELECT t, sum(ret * weight) AS ret FROM ret JOIN
 SELECT asset, {R('CASE WHEN any_value(n) >= 100 THEN -any_value(q1) END', 6)} AS var_99, {R('-avg(ret) FILTER (ret <= q1)', 6)} AS cvar_99, {R('-avg(ret) FILTER (ret <= q2)', 6)} AS es_975 FROM ret JOIN q USING (asset) GROUP BY 1""",
 )
 def a15(spark, sf):
-    p = panel(spark, sf)
-    a = K.tail_stats(p, ["asset"], "ret", 0.99, 100)
-    b = K.tail_stats(p, ["asset"], "ret", 0.975, 50).select("asset", F.col("cvar").alias("es"))
-    return a.join(b, "asset").select("asset", r("var", 6).alias("var_99"), r("cvar", 6).alias("cvar_99"), r("es", 6).alias("es_975"))
+    x = K.tail_levels(panel(spark, sf), ["asset"], "ret", {"99": 0.99, "975": 0.975})
+    ok = F.col("n") >= 100
+    return x.select("asset", r(F.when(ok, F.col("var_99")), 6).alias("var_99"), r(F.when(ok, F.col("cvar_99")), 6).alias("cvar_99"), r("cvar_975", 6).alias("es_975"))
 
 
 def _cf(c: float) -> str:

@@ -49,17 +49,15 @@ BSQ = {"call": "s * n1 - ds * n2", "put": "ds * (1 - n2) - s * (1 - n1)", "delta
 
 @query("x01_black_scholes", f"WITH {BARS}, {OPD} SELECT symbol, t, " + ", ".join(f"{R(e, 8 if k == 'gamma' else 4)} AS {k}" for k, e in BSQ.items()) + " FROM o3")
 def x01(spark, sf):
-    o = options(spark, sf)
-    g = X.black_scholes(c("s"), c("k"), c("tt"), 0.02, c("v"))
-    return o.select("symbol", "t", *[r(x, 8 if k == "gamma" else 4).alias(k) for k, x in g.items()])
+    g = X.black_scholes(options(spark, sf), "s", "k", "tt", 0.02, "v")
+    return g.select("symbol", "t", *[r(k, 8 if k == "gamma" else 4).alias(k) for k in BSQ])
 
 
 @query("x02_implied_vol", f"WITH {BARS}, {OPT} SELECT symbol, t, {R('v')} AS implied FROM op")
 def x02(spark, sf):
     """The volatility recovered from its own price (round trip)."""
-    o = options(spark, sf)
-    o = o.withColumn("px", X.black_scholes(c("s"), c("k"), c("tt"), 0.02, c("v"))["call"])
-    return o.select("symbol", "t", r(X.implied_vol(c("px"), c("s"), c("k"), c("tt"), 0.02)).alias("implied"))
+    o = X.black_scholes(options(spark, sf), "s", "k", "tt", 0.02, "v")
+    return o.select("symbol", "t", r(X.implied_vol(c("call"), c("s"), c("k"), c("tt"), 0.02)).alias("implied"))
 
 
 tick_src = lambda spark, sf: market.ticks(spark, sf)

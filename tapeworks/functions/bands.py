@@ -45,7 +45,9 @@ def bollinger(s: Series, n: int = 20, k: float = 2.0, col: str = "close") -> Ser
 
 
 def keltner(s: Series, n: int = 20, atr_n: int = 10, k: float = 1.5) -> Series:
-    s = atr(s, atr_n, "_a").scan(ema("kc_mid", "close", n))
+    """Uses ``kc_mid`` as the EMA when a caller already scanned it."""
+    s = s if "kc_mid" in s.rows.columns else s.scan(ema("kc_mid", "close", n))
+    s = atr(s, atr_n, "_a")
     ok = F.col(IDX) >= max(n, atr_n) + 1
     mid = F.when(ok, F.col("kc_mid"))
     return _drop(s.mutate(kc_mid=mid, kc_upper=mid + k * F.col("_a"), kc_lower=mid - k * F.col("_a")), "_a")

@@ -49,24 +49,25 @@ def connors_rsi(s: Series, rsi_n: int = 3, rank_n: int = 100, out: str = "crsi")
     s = streak(rsi(s, rsi_n, "_r3"), "_st")
     s = s.bounded(1, {"_pc": lambda w: (B.c / w.lag("close") - 1) * 100})
     s = s.mutate(_st=F.abs("_st"))
-    share = lambda arr, x: F.size(F.filter(arr, lambda v: v <= x)) / rank_n * 100.0
-    s = s.bounded(
-        rank_n,
-        {
-            out: lambda w: w.full(
-                rank_n + 1,
-                (F.col("_r3") + share(F.collect_list("_st").over(w(rank_n)), F.col("_st")) + share(F.collect_list("_pc").over(w(rank_n)), F.col("_pc"))) / 3,
-            )
-        },
-    )
-    return _drop(s, "_r3", "_st", "_pc")
 
+    def ranks(v):
+        st, pc = v["_st"], v["_pc"]
+        return ((st <= st[:, -1:]).sum(axis=1) / rank_n * 100.0, (pc <= pc[:, -1:]).sum(axis=1) / rank_n * 100.0)
 
-def macd(s: Series, fast: int = 12, slow: int = 26, signal: int = 9) -> Series:
-    s = s.scan(
+    s = s.rolling(rank_n, ["_st", "_pc"], ["_ks", "_kp"], ranks)
+    s = s.mutate(**{out: F.when(F.col(IDX) > rank_n, (F.col("_r3") + F.col("_ks") + F.col("_kp")) / 3)})
+    return _drop(s, "_r3", "_st", "_pc", "_ks", "_kp")
+
+
+def macd_steps(fast: int = 12, slow: int = 26, signal: int = 9) -> list:
+    return [
         ema("_f", "close", fast), ema("_s", "close", slow), Calc("macd", lambda c: c["_f"] - c["_s"]),
         ema("macd_signal", "macd", signal, skip=slow - 1),
-    )
+    ]
+
+
+def macd(s: Series, fast: int = 12, slow: int = 26, signal: int = 9) -> Series:
+    s = s.scan(*macd_steps(fast, slow, signal))
     return _drop(s.mutate(macd_hist=F.col("macd") - F.col("macd_signal")), "_f", "_s")
 
 
@@ -162,7 +163,7 @@ def directional(s: Series) -> Series:
     )
 
 
-def adx(s: Series, n: int = 14) -> Series:
+def adx_steps(n: int = 14) -> list:
     def share(x):
         with np.errstate(divide="ignore", invalid="ignore"):
             return lambda c: np.where(c["_a"] > 0, c[x] / np.where(c["_a"] > 0, c["_a"], 1) * 100, 0.0)
@@ -171,10 +172,14 @@ def adx(s: Series, n: int = 14) -> Series:
         tot = c["plus_di"] + c["minus_di"]
         return np.where(tot > 0, np.abs(c["plus_di"] - c["minus_di"]) / np.where(tot > 0, tot, 1) * 100, 0.0)
 
-    s = directional(s).scan(
+    return [
         wilder("_a", "_tr", n, 1), wilder("_p", "_pd", n, 1), wilder("_m", "_md", n, 1),
         Calc("plus_di", share("_p")), Calc("minus_di", share("_m")), Calc("_dx", dx), wilder("adx", "_dx", n, n),
-    )
+    ]
+
+
+def adx(s: Series, n: int = 14) -> Series:
+    s = directional(s).scan(*adx_steps(n))
     ok = F.col(IDX) > n
     s = s.mutate(plus_di=F.when(ok, F.col("plus_di")), minus_di=F.when(ok, F.col("minus_di")))
     return _drop(s, "_tr", "_pd", "_md", "_a", "_p", "_m", "_dx")

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.draws import erf
@@ -22,15 +22,20 @@ def pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
-def black_scholes(s: Column, k: Column, t: Column, rate: float, vol: Column) -> dict[str, Column]:
-    """Call, put and the five sensitivities (theta per year)."""
-    d1 = (F.log(s / k) + (rate + vol * vol / 2) * t) / (vol * F.sqrt(t))
-    d2 = d1 - vol * F.sqrt(t)
-    disc = k * F.exp(-rate * t)
-    return {
-        "call": s * cdf(d1) - disc * cdf(d2), "put": disc * cdf(-d2) - s * cdf(-d1), "delta": cdf(d1), "gamma": pdf(d1) / (s * vol * F.sqrt(t)),
-        "vega": s * pdf(d1) * F.sqrt(t), "theta": -s * pdf(d1) * vol / (2 * F.sqrt(t)) - rate * disc * cdf(d2), "rho": t * disc * cdf(d2),
-    }
+def black_scholes(df: DataFrame, s: str, k: str, t: str, rate: float, vol: str) -> DataFrame:
+    """Adds call, put and the five sensitivities (theta per year).  Built in
+    stages so that each normal probability is evaluated once."""
+    S, K, T, V = F.col(s), F.col(k), F.col(t), F.col(vol)
+    root = V * F.sqrt(T)
+    x = df.withColumn("_d1", (F.log(S / K) + (rate + V * V / 2) * T) / root)
+    x = x.withColumns({"_n1": cdf(F.col("_d1")), "_n2": cdf(F.col("_d1") - root), "_ph": pdf(F.col("_d1")), "_df": K * F.exp(-rate * T)})
+    n1, n2, ph, d = (F.col(c) for c in ("_n1", "_n2", "_ph", "_df"))
+    return x.withColumns(
+        {
+            "call": S * n1 - d * n2, "put": d * (1 - n2) - S * (1 - n1), "delta": n1, "gamma": ph / (S * root), "vega": S * ph * F.sqrt(T),
+            "theta": -S * ph * V / (2 * F.sqrt(T)) - rate * d * n2, "rho": T * d * n2,
+        }
+    ).drop("_d1", "_n1", "_n2", "_ph", "_df")
 
 
 def implied_vol(price: Column, s: Column, k: Column, t: Column, rate: float) -> Column:

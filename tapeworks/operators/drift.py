@@ -70,9 +70,8 @@ def rank_tests(df: DataFrame, **series_args) -> DataFrame:
     ranks for ties) per feature from one value-ordered pass over value counts."""
     ref = F.col("part") == "reference"
     cell = df.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count_if(ref).alias("_r"), F.count_if(~ref).alias("_c"))
-    tot = cell.groupBy("feature").agg(F.sum("_r").alias("m"), F.sum("_c").alias("n"))
-    s = Series.of(cell, ["feature"], ["value"], **series_args).running(_cr=("sum", "_r"), _cc=("sum", "_c"))
-    x = s.df.join(tot, "feature")
+    s = Series.of(cell, ["feature"], ["value"], **series_args).totals(m=F.sum("_r"), n=F.sum("_c")).running(_cr=("sum", "_r"), _cc=("sum", "_c"))
+    x = s.df
     c = F.col
     here = c("_r") + c("_c")
     rank = c("_cr") + c("_cc") - here + (here + 1) / 2

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.structure import streak_maxima
 from tapeworks.plans.series import IDX, Series
+from tapeworks.session import no_larger_than
 
 
 def trade_statistics(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -31,7 +32,10 @@ def trade_statistics(trades: DataFrame, keys: list[str], order: list[str]) -> Da
 def equity_curve(trades: DataFrame, keys: list[str], t: str, capital: float) -> DataFrame:
     """Capital plus cumulative PnL; trades are summed per (key, t) first."""
     daily = trades.groupBy(*keys, t).agg(F.sum("pnl").alias("pnl"))
-    return Series.of(daily, keys, [t]).running(_c=("sum", "pnl")).mutate(equity=capital + F.col("_c")).df.drop("_c")
+    if hasattr(trades, "_size_bound"):
+        daily = no_larger_than(daily, trades)
+    eq = Series.of(daily, keys, [t]).running(_c=("sum", "pnl")).mutate(equity=capital + F.col("_c")).df.drop("_c")
+    return no_larger_than(eq, daily)
 
 
 def returns(eq: DataFrame, keys: list[str], t: str) -> Series:

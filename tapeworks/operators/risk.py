@@ -42,14 +42,21 @@ REPLAYS = {
 }
 
 
+def tail_levels(df: DataFrame, keys: list[str], ret: str, levels: dict[str, float]) -> DataFrame:
+    """``var_<name>`` (interpolated percentile) and ``cvar_<name>`` (mean loss at
+    or beyond it) for several confidence levels, with the row count ``n``."""
+    q = exact_percentiles(df, keys, ret, {f"_q_{k}": 1 - c for k, c in levels.items()})
+    x = df.join(q, keys) if keys else df.join(F.broadcast(q), F.lit(True))
+    tail = [F.avg(F.when(F.col(ret) <= F.col(f"_q_{k}"), F.col(ret))) for k in levels]
+    got = x.groupBy(*keys).agg(F.first("n").alias("n"), *[F.first(f"_q_{k}").alias(f"_q_{k}") for k in levels], *[t.alias(f"_t_{k}") for k, t in zip(levels, tail)])
+    return got.select(*keys, "n", *[(-F.col(f"_q_{k}")).alias(f"var_{k}") for k in levels], *[(-F.col(f"_t_{k}")).alias(f"cvar_{k}") for k in levels])
+
+
 def tail_stats(df: DataFrame, keys: list[str], ret: str, confidence: float, min_rows: int) -> DataFrame:
-    """Historical VaR (interpolated percentile) and the mean loss at or beyond
-    it.  Groups with fewer rows than ``min_rows`` are null."""
-    q = exact_percentiles(df, keys, ret, {"_q": 1 - confidence})
-    hit = (df.join(q, keys) if keys else df.join(F.broadcast(q), F.lit(True))).where(F.col(ret) <= F.col("_q"))
-    got = hit.groupBy(*keys).agg(F.first("_q").alias("_q"), F.avg(ret).alias("_t"), F.first("n").alias("n"))
+    """Historical VaR and CVaR; null for groups with fewer rows than ``min_rows``."""
+    got = tail_levels(df, keys, ret, {"x": confidence})
     ok = F.col("n") >= min_rows
-    return got.select(*keys, "n", F.when(ok, -F.col("_q")).alias("var"), F.when(ok, -F.col("_t")).alias("cvar"))
+    return got.select(*keys, "n", F.when(ok, F.col("var_x")).alias("var"), F.when(ok, F.col("cvar_x")).alias("cvar"))
 
 
 def parametric(df: DataFrame, keys: list[str], ret: str, confidence: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions import bands, oscillators as O, structure as S
 from tapeworks.functions.bar import B
-from tapeworks.plans.recur import Affine
+from tapeworks.plans.recur import Affine, ema as ema_step
 from tapeworks.plans.series import IDX, Series
 
 # Weights of the indicator scores.
@@ -30,13 +30,15 @@ def _bands(x: Column, lo: float, hi: float) -> Column:
 
 
 def indicators(s: Series) -> Series:
-    """All indicator columns the scores need, bounded windows first so they
-    share one exchange, recurrences last."""
+    """All indicator columns the scores need.  Everything that runs in Arrow
+    batches comes first, while rows are narrow (all recurrences share one
+    pass); the bounded windows follow on one exchange."""
+    s = O.directional(O.connors_rsi(s))
+    s = s.scan(*O.macd_steps(), ema_step("kc_mid", "close", 20), *O.adx_steps())
+    s = s._with(s.mutate(macd_hist=F.col("macd") - F.col("macd_signal")).rows.drop("_f", "_s", "_tr", "_pd", "_md", "_a", "_p", "_m", "_dx", "plus_di", "minus_di"))
     s = O.stochastic(bands.cmf(bands.ichimoku(O.rsi(s, 14))))
     s = bands.atr(s, 14, "atr").bounded(13, {"_p14": lambda w: F.avg("close").over(w(14))})
-    s = O.connors_rsi(S.zscore(s, 30))
-    s = O.adx(O.macd(bands.squeeze(s)))
-    return s
+    return bands.squeeze(S.zscore(s, 30))
 
 
 def scores(s: Series) -> Series:

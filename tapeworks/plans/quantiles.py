@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.plans.series import Series
+from tapeworks.session import no_larger_than
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], **series_args) -> DataFrame:
@@ -20,8 +21,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     flat = keys or ["_all"]
     if not keys:
         cells = cells.withColumn("_all", F.lit(0))
-    sizes = cells.groupBy(*flat).agg(F.sum("_c").alias("n"))
-    ranked = Series.of(cells, flat, [value], **series_args).running(_cum=("sum", "_c")).df.join(sizes, flat)
+    if hasattr(df, "_size_bound"):
+        cells = no_larger_than(cells, df)
+    ranked = Series.of(cells, flat, [value], **series_args).totals(n=F.sum("_c")).running(_cum=("sum", "_c")).df
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1     # 0-based ranks this value covers
     aggs = []
     for name, p in probs.items():

@@ -39,8 +39,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def no_larger_than(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Record that ``df`` has at most the rows of ``source`` (a grouped or
+    filtered form of it, or a join to unique keys).  Catalyst multiplies the
+    sizes of both sides of a join, which says nothing about such a plan."""
+    df._size_bound = size_estimate(source)
+    return df
+
+
 def size_estimate(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan in bytes (no job is run)."""
+    """Proven bound when one is recorded, else Catalyst's size estimate of the
+    plan in bytes (no job is run)."""
+    bound = getattr(df, "_size_bound", None)
+    if bound is not None:
+        return bound
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
 

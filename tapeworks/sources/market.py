@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.session import no_larger_than
+
 TICK_ORDER = ["ts", "o1", "o2", "o3", "price"]
 
 
@@ -64,8 +66,8 @@ def nation_returns(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame
         .groupBy("asset", "t")
         .agg((F.sum("notional") / F.sum("qty")).alias("px"))
     )
-    s = Series.of(px, ["asset"], ["t"]).bounded(1, {"ret": lambda w: F.col("px") / w.lag("px") - 1})
-    return s.df.where("ret is not null").select("asset", "t", "ret", "px")
+    s = Series.of(no_larger_than(px, tk), ["asset"], ["t"]).bounded(1, {"ret": lambda w: F.col("px") / w.lag("px") - 1})
+    return no_larger_than(s.df.where("ret is not null").select("asset", "t", "ret", "px"), tk)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +116,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_shipdate", "l_linestatus", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = F.col
-    return li.join(o, c("l_orderkey") == c("o_orderkey")).select(
+    x = li.join(o, c("l_orderkey") == c("o_orderkey")).select(
         c("o_orderpriority").alias("strategy_id"), c("l_suppkey").alias("symbol"), c("o_custkey").alias("account"), c("l_returnflag").alias("venue"),
         day_number("o_orderdate").alias("entry_day"), day_number("l_shipdate").alias("exit_day"),
         c("l_orderkey").alias("o1"), c("l_linenumber").alias("o2"), c("l_partkey").alias("o3"),
@@ -123,6 +125,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("l_linestatus") == "O", "buy").otherwise("sell").alias("side"),
         ((day_number("l_shipdate") - day_number("o_orderdate")) * 24.0).alias("hours"),
     )
+    return no_larger_than(x, li)      # order keys are unique
 
 
 TRADE_ORDER = ["exit_day", "o1", "o2", "o3", "pnl"]
