@@ -42,12 +42,36 @@ def min_variance_for(target: float | None = None, aversion: float = 4.0) -> Solv
     return solve
 
 
-def max_sharpe(mu, cov):
+def climb(value, grad, n: int, rounds: int = 3000) -> np.ndarray:
+    """Projected gradient with a step that grows on success and halves on failure."""
+    w, step = np.full(n, 1 / n), 1.0
+    best = value(w)
+    for _ in range(rounds):
+        x = project(w + step * grad(w))
+        v = value(x)
+        if v > best:
+            w, best, step = x, v, step * 1.5
+        else:
+            step /= 2
+            if step < 1e-14:
+                break
+    return w
+
+
+def _ratio(top: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Long-only maximiser of (w @ top) / sqrt(w' cov w)."""
+    def value(w):
+        return (w @ top) / np.sqrt(w @ cov @ w)
+
     def grad(w):
         v = np.sqrt(w @ cov @ w)
-        return mu / v - (w @ mu) * (cov @ w) / v**3
+        return top / v - (w @ top) * (cov @ w) / v**3
 
-    return ascend(grad, len(mu), 0.02)
+    return climb(value, grad, len(top))
+
+
+def max_sharpe(mu, cov):
+    return _ratio(mu, cov)
 
 
 def risk_parity(mu, cov):
@@ -62,13 +86,7 @@ def risk_parity(mu, cov):
 
 
 def max_diversification(mu, cov):
-    vol = np.sqrt(np.diag(cov))
-
-    def grad(w):
-        v = np.sqrt(w @ cov @ w)
-        return vol / v - (w @ vol) * (cov @ w) / v**3
-
-    return ascend(grad, len(mu), 0.02)
+    return _ratio(np.sqrt(np.diag(cov)), cov)
 
 
 def shrunk_inverse(mu, cov, share: float = 0.2):

@@ -8,6 +8,7 @@ import pickle
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,7 +80,7 @@ def keyed_machine(df: DataFrame, keys: list[str], order: list[str], cols: list[s
         m = pickle.loads(state.get[0]) if state.exists else make()
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
         got = [key + tuple(o) for row in rows[cols].itertuples(index=False, name=None) for o in m.row(*row)]
-        state.update((pickle.dumps(m),))
+        state.update((cloudpickle.dumps(m),))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         if got:

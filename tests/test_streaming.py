@@ -88,6 +88,9 @@ def test_keyed_machines_equal_fold(spark, ticks, kind):
             super().row(side, qty, price)
             yield self.qty, self.realised
 
+        def end(self):
+            return ()
+
     makes = {
         "ledger": (["side", "qty", "price"], Ledger, "quantity double, realised double"),
         "quality": (["us", "price"], lambda: J.TickQuality(3.6e9, 0.5), "t bigint, n int, gaps int, moves int"),
