@@ -72,5 +72,5 @@ TRADE = """trade AS (
 
 # equity per strategy and day: 100000 plus the running sum of daily PnL
 EQUITY = TRADE + """, dl AS (SELECT strategy_id, exit_day AS day, sum(pnl) AS pnl FROM trade GROUP BY 1, 2),
-eq AS (SELECT *, 100000 + sum(pnl) OVER (PARTITION BY strategy_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity, row_number() OVER (PARTITION BY strategy_id ORDER BY day) AS i FROM dl),
+eq AS (SELECT *, round(100000 + sum(pnl) OVER (PARTITION BY strategy_id ORDER BY day ROWS UNBOUNDED PRECEDING), 2) AS equity, row_number() OVER (PARTITION BY strategy_id ORDER BY day) AS i FROM dl),
 er AS (SELECT *, equity / lag(equity) OVER (PARTITION BY strategy_id ORDER BY day) - 1 AS ret FROM eq)"""

@@ -30,11 +30,12 @@ def trade_statistics(trades: DataFrame, keys: list[str], order: list[str]) -> Da
 
 
 def equity_curve(trades: DataFrame, keys: list[str], t: str, capital: float) -> DataFrame:
-    """Capital plus cumulative PnL; trades are summed per (key, t) first."""
+    """Capital plus cumulative PnL in cents; trades are summed per (key, t) first.
+    Rounding keeps a day without PnL at a return of exactly zero."""
     daily = trades.groupBy(*keys, t).agg(F.sum("pnl").alias("pnl"))
     if hasattr(trades, "_size_bound"):
         daily = no_larger_than(daily, trades)
-    eq = Series.of(daily, keys, [t]).running(_c=("sum", "pnl")).mutate(equity=capital + F.col("_c")).df.drop("_c")
+    eq = Series.of(daily, keys, [t]).running(_c=("sum", "pnl")).mutate(equity=F.round(capital + F.col("_c"), 2)).df.drop("_c")
     return no_larger_than(eq, daily)
 
 

@@ -141,5 +141,5 @@ def test_plain_windows_share_one_exchange(bars):
     s = A.sma(bands.bollinger(O.rsi(Series.of(bars.repartition(4, "t"), ["symbol"], ["t"]))), "close", 50)
     plan = s.df._jdf.queryExecution().sparkPlan().toString() + s.df._jdf.queryExecution().executedPlan().toString()
     executed = s.df._jdf.queryExecution().executedPlan().toString()
-    assert executed.count("Exchange hashpartitioning") == 1
+    assert executed.count("Exchange hashpartitioning(symbol") == 1
     assert "CartesianProduct" not in plan
