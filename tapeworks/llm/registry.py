@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["repeats", "simhash"]
+MODULES = ["pieces", "repeats", "simhash"]
 
 
 def query(name: str, sql: str | None = None):
