@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["pieces", "repeats", "simhash"]
+MODULES = ["pieces", "repeats", "simhash", "warc"]
 
 
 def query(name: str, sql: str | None = None):
