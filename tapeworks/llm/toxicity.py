@@ -1,22 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-A text is cut into overlapping windows; a window is compressed with each
-dictionary, and the bytes that the toxic one saves (per byte of the window)
-measure its distance.  The text's features (the best windows and the mean) are
-turned into a score by thresholds calibrated on labelled rows that took no part
-in training the dictionaries.
-
-Only the fit works on a sample: at most ``FIT_ROWS`` texts of each label, the
-first by a hash of doc_id, each cut to windows of which at most ``FIT_BYTES``
-are kept.  Scoring takes every window of every whole text, one pass, no shuffle.
-
-Defined cases: null or empty text scores as text without windows (the
-calibrated prior); labels that are null, rows without a text and rows without a
-label don't take part in the fit; a doc_id with several labels counts once for
-each; when one label is missing from the fit every score is the share of the
-other, 0 with no labels at all; repeated rows repeat; an empty table gives no
-rows; lang, source and doc_id are never inputs.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text:
+each gets the words (with a space on either side) whose share of texts sets its
+label apart most, the strongest last, where references are shortest.  A text is
+cut into windows; the bytes that each dictionary saves on a window, against no
+dictionary, measure how near the window is to either.  A window is padded by a
+run of one byte, so that a block is never stored raw and savings of a few bytes
+show.  A text's features (best, mean and top savings, their spread over windows)
+become a score by logistic weights and a threshold calibrated on labelled rows
+that took no part in training the dictionaries.
+
+Only the fit works on a sample: at most ``FIT_ROWS`` texts of each label, those
+with the lowest hash of doc_id, at most ``FIT_CHARS`` characters of each.  Scoring
+takes every window of every whole text, in one pass without a shuffle.
+
+Defined cases: null or empty text scores as one empty window; labels that are
+null and rows without a label or text don't take part in the fit; a doc_id with
+several labels counts for each; when one label is missing from the fit every
+score is 1 (only toxic) or 0 (no toxic or no labels at all); repeated rows
+repeat; an empty table gives no rows; lang, source and doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -35,9 +37,143 @@ from pyspark.sql import functions as F
 from tapeworks.llm.common import table
 from tapeworks.llm.registry import query
 
-FIT_ROWS = 3000
-FIT_BYTES = 24 << 20
-WINDOW = 160  # bytes
-STEP = 80
-DICT_BYTES = 16 << 10
-LEVEL = 1
+FIT_ROWS = 2500
+FIT_CHARS = 10_000
+WINDOW = 256  # bytes
+OVERLAP = 16
+DICT_BYTES = 128
+PAD = b"\0" * 100
+WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+@dataclass
+class Model:
+    """What scoring needs; picklable and below a few kilobytes."""
+
+    toxic: bytes
+    ordinary: bytes
+    mean: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray
+    constant: float | None = None  # when the fit had one label only
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        x = (features(texts, self.toxic, self.ordinary) - self.mean) / self.scale
+        return 1 / (1 + np.exp(-np.clip(x @ self.weight[1:] + self.weight[0], -30, 30)))
+
+
+def compressor(content: bytes) -> zstd.ZstdCompressor:
+    p = zstd.ZstdCompressionParameters(
+        strategy=zstd.STRATEGY_GREEDY, min_match=5, window_log=12, hash_log=12, chain_log=12, search_log=2, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0
+    )
+    d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT) if content else None
+    return zstd.ZstdCompressor(compression_params=p, dict_data=d)
+
+
+def windows(text: bytes) -> list[bytes]:
+    step = WINDOW - OVERLAP
+    return [text[i : i + WINDOW] for i in range(0, max(1, len(text) - OVERLAP), step)]
+
+
+def features(texts: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
+    plain, tox, usual = (compressor(c).compress for c in (b"", toxic, ordinary))
+    out = np.zeros((len(texts), 8))
+    for k, t in enumerate(texts):
+        w = windows(t.lower())
+        lengths = np.array([(len(plain(x)), len(tox(x)), len(usual(x))) for x in (y + PAD for y in w)], float)
+        a, b = lengths[:, 0] - lengths[:, 1], lengths[:, 0] - lengths[:, 2]
+        e = a - b
+        top = np.sort(a)[-3:].mean()
+        out[k] = a.max(), a.mean(), top, (a >= 4).mean(), e.max(), e.mean(), lengths[:, 0].mean() / (WINDOW + len(PAD)), np.log1p(len(w))
+    return out
+
+
+def dictionary(ours: Counter, n: int, theirs: Counter, m: int, size: int = DICT_BYTES) -> bytes:
+    """The words whose document shares differ most (in standard errors)."""
+    words = [w for w, c in ours.items() if c > 2 and len(w) > 1]
+    a = np.array([ours[w] for w in words], float)
+    b = np.array([theirs[w] for w in words], float)
+    p = (a + b) / (n + m)
+    z = (a / n - b / m) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n + 1 / m))
+    out = b""
+    for i in sorted(range(len(words)), key=lambda i: (-z[i], words[i])):
+        w = b" " + words[i] + b" "
+        if len(out) + len(w) > size:
+            break
+        out = w + out
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    x = np.column_stack((np.ones(len(x)), x))
+    w = np.zeros(x.shape[1])
+    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def fit(sample: list[tuple[bytes, int]]) -> Model:
+    """From (text, label) rows in a fixed order: every third row calibrates."""
+    none = np.zeros(0)
+    labels = {y for _, y in sample}
+    if labels != {0, 1}:
+        return Model(b"", b"", none, none, none, 1.0 if labels == {1} else 0.0)
+    seen = Counter()
+    learn, hold = [], []
+    for t, y in sample:
+        (hold if seen[y] % 3 == 2 else learn).append((t, y))
+        seen[y] += 1
+    hold = hold if {y for _, y in hold} == {0, 1} else learn
+    count, n = {0: Counter(), 1: Counter()}, Counter(y for _, y in learn)
+    for t, y in learn:
+        count[y].update(set(WORD.findall(t.lower())))
+    toxic, ordinary = dictionary(count[1], n[1], count[0], n[0]), dictionary(count[0], n[0], count[1], n[1])
+    x = features([t for t, _ in hold], toxic, ordinary)
+    y = np.array([v for _, v in hold], float)
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    w = logistic((x - mean) / scale, y)
+    # the threshold with the best F1 on the calibration rows becomes 0.5
+    z = (x - mean) / scale @ w[1:] + w[0]
+    order = np.argsort(-z, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    best = int(f1.argmax())
+    below = z[order][best + 1] if best + 1 < len(y) else z[order][best] - 1
+    w[0] -= (z[order][best] + below) / 2
+    return Model(toxic, ordinary, mean, scale, w)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[bytes, int]]:
+    """The bounded sample: rows with crc32(doc_id) mod 5 other than 0."""
+    l = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
+    ids = l.where(F.crc32(F.col("_id").cast("string")) % 5 != 0).withColumn("_h", F.xxhash64("_id"))
+    picked = [ids.where(F.col("toxic") == y).orderBy("_h", "_id").limit(rows) for y in (1, 0)]
+    chosen = picked[0].union(picked[1])
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.substring(F.col("text").cast("string"), 1, FIT_CHARS).alias("text")).where("text is not null")
+    got = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_h", "_id", "text", "toxic").distinct().collect()
+    return [(r.text.encode(), r.toxic) for r in sorted(got, key=lambda r: (r._h, r._id, r.text))]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = model.score([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
+            yield pa.record_batch([b.column(0), pa.array(s)], names=["doc_id", "score"])
+
+    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return got.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return score(docs, fit(training_rows(docs, table(spark, sf, "labels"))))
