@@ -89,17 +89,18 @@ def uri_of(url: str | None, pid: str) -> str:
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url) if url else f"urn:page:{pid}"
 
 
-def marked(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload (binary), refers_to and whether the row is a revisit."""
+def keyed(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
+    """Rows of two kinds for the writer: pages with their payload, and for each
+    page whose large payload is shared a small note (page_id, digest, last) that
+    sorts before it.  Payloads are shuffled once, by range; what is grouped and
+    joined is digests."""
     p = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")
     )
-    big = F.octet_length("payload") >= min_bytes
-    # digests travel, not payloads; only digests met twice go on
-    seen = p.where(big).select(F.sha2("payload", 256).alias("_d"), "page_id").groupBy("_d").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"), F.sum((F.col("page_id").isNull()).cast("int")).alias("_nulls")).where("_n > 1")
-    return p.withColumn("_d", F.when(big, F.sha2("payload", 256))).join(seen.select("_d", "_last"), "_d", "left").select(
-        "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last")).alias("refers_to"), F.col("_d").alias("_digest"), F.col("_last").isNotNull().alias("_shared")
-    )
+    digests = p.where(F.octet_length("payload") >= min_bytes).select("page_id", F.unhex(F.sha2("payload", 256)).alias("digest")).where("page_id IS NOT NULL")
+    shared = digests.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    notes = digests.distinct().join(shared, "digest").select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("payload"), "last")
+    return notes.union(p.select("page_id", F.lit(1), "url", "payload", F.lit(None).cast("bigint")))
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -114,7 +115,9 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes
         shard = n_bytes = n = 0
         first = last = None
         sha, out, temp = None, None, ""
-        served: tuple = (None, None)  # page_id and digest of the response just written
+        shared: dict[bytes, int] = {}  # of the page_id at hand: digest, largest page_id that has it
+        owner = None
+        answered: tuple = ()
 
         def close() -> pa.RecordBatch:
             nonlocal shard, out
@@ -127,12 +130,20 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes
 
         try:
             for b in batches:
-                for pid, url, payload, refers, digest, shared in zip(*(b.column(i).to_pylist() for i in range(6))):
-                    if shared and refers is None and pid is not None:
-                        # rows repeat a page_id: the first is the response
-                        if served == (pid, digest):
-                            refers = pid
-                        served = (pid, digest)
+                for pid, kind, url, payload, to in zip(*(b.column(i).to_pylist() for i in range(5))):
+                    if pid != owner:
+                        owner, shared = pid, {}
+                    if kind == 0:
+                        shared[payload] = to
+                        continue
+                    refers = None
+                    if shared and len(payload) >= min_bytes and (digest := hashlib.sha256(payload).digest()) in shared:
+                        if shared[digest] == pid:  # the response; a row that repeats it revisits it
+                            if answered == (pid, digest):
+                                refers = pid
+                            answered = (pid, digest)
+                        else:
+                            refers = shared[digest]
                     data = record(pid, url, payload, refers)
                     if out is None:
                         temp = f"{root}/.tmp-{part:05d}-{shard:05d}-{attempt}"
@@ -148,7 +159,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes
             if out is not None:
                 out.close()
 
-    ready = marked(pages, min_bytes).repartitionByRange("page_id").sortWithinPartitions("page_id", "_digest")
+    ready = keyed(pages, min_bytes).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "payload")
     ready.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
