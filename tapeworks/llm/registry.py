@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["pieces", "contamination", "repeats", "toxicity", "simhash", "warc"]
+MODULES = ["pieces", "contamination", "repeats", "pseudonyms", "toxicity", "simhash", "warc"]
 
 
 def query(name: str, sql: str | None = None):
