@@ -254,27 +254,29 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def digests(docs: DataFrame, path: str, check: str | None = "segments") -> DataFrame:
+def digests(docs: DataFrame, path: str, check: str | None = "segments", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of ids and decoded text: ``encode`` reduced
-    in the same pass, so that ids needn't leave the worker."""
+    in the same pass, so that ids needn't leave the worker unless asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, j in slices(texts):
-                got = m.encode(texts[i:j], check)
-                yield pa.record_batch(
-                    [
-                        b.column(0).slice(i, j - i),
-                        pa.array(map(len, got), pa.int64()),
-                        pa.array([hashlib.sha256(np.array(x, "<u4")).hexdigest() for x in got], pa.string()),
-                        pa.array([hashlib.sha256(m.decode(x).encode()).hexdigest() for x in got], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return _input(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                got = [np.array(x, "<i4") for x in m.encode(texts[i:j], check)]
+                cols = [
+                    b.column(0).slice(i, j - i),
+                    pa.array(map(len, got), pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in got], pa.string()),
+                    pa.array([hashlib.sha256(m.decode(x.tolist()).encode()).hexdigest() for x in got], pa.string()),
+                ]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, got)], dtype=np.int32), np.concatenate(got)))
+                yield pa.record_batch(cols, names=names)
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+    return _input(docs).mapInArrow(run, schema)
 
 
 @query("op1_sentencepiece")
