@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["pieces", "lines", "contamination", "repeats", "pseudonyms", "toxicity", "simhash", "warc"]
+MODULES = ["pieces", "lines", "contamination", "repeats", "pitman_yor", "pseudonyms", "toxicity", "simhash", "warc"]
 
 
 def query(name: str, sql: str | None = None):
