@@ -64,16 +64,16 @@ def volume_bins(bars, keys, bins=50):
     return bars.join(span, keys).groupBy(*keys, "lo", "hi", at.cast("int").alias("bin")).agg(F.sum("volume").alias("vol"))
 
 
-def area_sql(extra: str, bins_cte: str, bins: int, count_poc: bool) -> str:
+def area_sql(extra: str, bins_cte: str, bins: int | None, count_poc: bool) -> str:
     """Step-by-step growth of the area as a recursive table."""
     return f"""{bins_cte},
-tot AS (SELECT symbol, sum(vol) AS total, max(vol) AS mx FROM bins GROUP BY 1),
+tot AS (SELECT symbol, sum(vol) AS total, max(vol) AS mx, {'max(bin)' if bins is None else bins - 1} AS top FROM bins GROUP BY 1),
 pc0 AS (SELECT b.symbol, min(b.bin) AS poc FROM bins b JOIN tot USING (symbol) WHERE b.vol = mx GROUP BY 1),
-k AS (SELECT p.symbol, 0 AS step, poc, poc AS lo, poc AS hi, {'mx' if count_poc else 'CAST(0 AS DOUBLE)'} AS acc, total FROM pc0 p JOIN tot USING (symbol)
- UNION ALL SELECT symbol, step + 1, poc, CASE WHEN dn THEN lo - 1 ELSE lo END, CASE WHEN dn THEN hi ELSE hi + 1 END, acc + CASE WHEN dn THEN a ELSE b END, total FROM (
-  SELECT k.*, coalesce(x.vol, 0) AS a, coalesce(y.vol, 0) AS b, k.lo > 0 AND (coalesce(x.vol, 0) >= coalesce(y.vol, 0) OR k.hi >= {bins - 1}) AS dn
+k AS (SELECT p.symbol, 0 AS step, poc, poc AS lo, poc AS hi, {'mx' if count_poc else 'CAST(0 AS DOUBLE)'} AS acc, total, top FROM pc0 p JOIN tot USING (symbol)
+ UNION ALL SELECT symbol, step + 1, poc, CASE WHEN dn THEN lo - 1 ELSE lo END, CASE WHEN dn THEN hi ELSE hi + 1 END, acc + CASE WHEN dn THEN a ELSE b END, total, top FROM (
+  SELECT k.*, coalesce(x.vol, 0) AS a, coalesce(y.vol, 0) AS b, k.lo > 0 AND (coalesce(x.vol, 0) >= coalesce(y.vol, 0) OR k.hi >= k.top) AS dn
   FROM k LEFT JOIN bins x ON x.symbol = k.symbol AND x.bin = k.lo - 1 LEFT JOIN bins y ON y.symbol = k.symbol AND y.bin = k.hi + 1
-  WHERE k.acc < 0.7 * k.total AND (k.lo > 0 OR k.hi < {bins - 1}))),
+  WHERE k.acc < 0.7 * k.total AND (k.lo > 0 OR k.hi < k.top))),
 fin AS (SELECT symbol, max(step) AS step FROM k GROUP BY 1)
 SELECT k.symbol, CAST(poc AS INTEGER) AS poc, CAST(lo AS INTEGER) AS area_lo, CAST(hi AS INTEGER) AS area_hi, total FROM k JOIN fin USING (symbol, step)"""
 
@@ -99,14 +99,14 @@ def a04(spark, sf):
     )
 
 
-TBINS = "bins AS (SELECT symbol, least(99, floor(price / 1000)) AS bin, sum(qty) AS vol FROM tick GROUP BY 1, 2)"
+TBINS = "bins AS (SELECT symbol, floor(price / 1000) AS bin, sum(qty) AS vol FROM tick GROUP BY 1, 2)"
 
 
-@query("a04_trade_value_area", f"WITH RECURSIVE {TICK}, {area_sql('', TBINS, 100, False)}")
+@query("a04_trade_value_area", f"WITH RECURSIVE {TICK}, {area_sql('', TBINS, None, False)}")
 def a04v(spark, sf):
     """Fixed bin size; the busiest bin's own volume does not count."""
-    lv = market.ticks(spark, sf).groupBy("symbol", F.least(F.lit(99), F.floor(F.col("price") / 1000)).cast("int").alias("bin")).agg(F.sum("qty").alias("vol"))
-    return C.value_area(lv, ["symbol"], 100, count_poc=False)
+    lv = market.ticks(spark, sf).groupBy("symbol", F.floor(F.col("price") / 1000).cast("int").alias("bin")).agg(F.sum("qty").alias("vol"))
+    return C.value_area(lv, ["symbol"], count_poc=False)
 
 
 @query(

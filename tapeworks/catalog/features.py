@@ -405,8 +405,7 @@ def w78(spark, sf):
     """Pair correlations per half-year snapshot, smoothed over snapshots (0.8
     old); edges below 0.1 are dropped after smoothing."""
     p = panel(spark, sf).withColumn("snap", F.floor(F.col("t") / 26))
-    coded = p.withColumn("asset", F.col("snap") * 1000 + F.col("asset"))      # pairs meet only inside a snapshot
-    pc = pair_sums(coded, ["t"], "asset", "ret").where("i < j").select((F.floor(F.col("i") / 1000)).alias("snap"), (F.col("i") % 1000).alias("i"), (F.col("j") % 1000).alias("j"), corr().alias("c")).where("c is not null")
+    pc = pair_sums(p, ["t"], "asset", "ret", market.table(spark, sf, "nation").count(), group="snap").where("i < j").select("snap", "i", "j", corr().alias("c")).where("c is not null")
     s = Series.of(pc, ["i", "j"], ["snap"]).scan(Affine("w", lambda v, i: ((i > 1) * 0.8, np_where(i == 1, v["c"], 0.2 * v["c"]))))
     return s.df.where(F.abs("w") >= 0.1).select("snap", "i", "j", r("w", 6).alias("weight"))
 

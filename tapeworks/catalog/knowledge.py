@@ -60,27 +60,30 @@ def j14(spark, sf):
 @query(
     "j15_recommendations",
     f"""WITH {EDGE}, f AS (SELECT s_nationkey AS regime, target AS mid, max(confidence) AS p1 FROM ed JOIN supplier ON source = s_suppkey WHERE edge_type = 'A' GROUP BY 1, 2), g AS (SELECT target AS mid, source AS strategy, max(confidence) AS p2 FROM ed WHERE edge_type = 'R' GROUP BY 1, 2),
-s AS (SELECT regime, strategy, max(p1 * p2) AS score FROM f JOIN g USING (mid) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY round(score, 9) DESC, strategy) AS k FROM s) SELECT regime, strategy, k, {R('score', 6)} AS score FROM k WHERE k <= 3""",
+d AS (SELECT s_nationkey AS regime, source AS strategy, max(confidence) AS p FROM ed JOIN supplier ON source = s_suppkey WHERE edge_type = 'N' GROUP BY 1, 2),
+s AS (SELECT regime, strategy, max(score) AS score FROM (SELECT regime, strategy, p1 * p2 AS score FROM f JOIN g USING (mid) UNION ALL SELECT regime, strategy, p FROM d) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY round(score, 9) DESC, strategy) AS k FROM s) SELECT regime, strategy, k, {R('score', 6)} AS score FROM k WHERE k <= 3""",
 )
 def j15(spark, sf):
-    """Regime -> indicator -> strategy, best product of confidences, top 3."""
+    """Regime -> strategy and regime -> indicator -> strategy, best (product of)
+    confidences, top 3."""
     e = edges(spark, sf)
     sup = market.table(spark, sf, "supplier").select(c("s_suppkey").alias("source"), c("s_nationkey").alias("regime"))
     f = e.where("edge_type = 'A'").join(sup, "source").groupBy("regime", c("target").alias("mid")).agg(F.max("confidence").alias("p1"))
     g = e.where("edge_type = 'R'").groupBy(c("target").alias("mid"), c("source").alias("strategy")).agg(F.max("confidence").alias("p2"))
-    s = N.best_two_hop(f, g, "regime", "mid", "strategy")
+    d = e.where("edge_type = 'N'").join(sup, "source").select("regime", c("source").alias("strategy"), c("confidence").alias("score"))
+    s = N.best_path(d, f, g, "regime", "mid", "strategy")
     w = Window.partitionBy("regime").orderBy(F.desc(F.round("score", 9)), "strategy")
     return s.withColumn("k", F.row_number().over(w)).where("k <= 3").select("regime", "strategy", "k", r("score", 6).alias("score"))
 
 
-FLOW = "fl AS (SELECT l_suppkey AS source, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS target FROM lineitem), fe AS (SELECT source, target, count(*) AS n FROM fl WHERE target IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 6)"
+FLOW = "fl AS (SELECT l_suppkey AS source, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS target FROM lineitem), fe AS (SELECT source, target, count(*) AS n FROM fl WHERE target IS NOT NULL GROUP BY 1, 2 )"
 
 
 def flow_edges(spark, sf):
-    """supplier -> next supplier on the same order, kept from support 6."""
+    """supplier -> next supplier on the same order."""
     li = market.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_extendedprice")
     s = Series.of(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"]).bounded(0, {"target": lambda w: w.lead("l_suppkey")}, ahead=1)
-    return s.df.where("target is not null").groupBy(c("l_suppkey").alias("source"), "target").agg(F.count(F.lit(1)).alias("n")).where("n >= 6")
+    return s.df.where("target is not null").groupBy(c("l_suppkey").alias("source"), "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j16_triangles", f"WITH {FLOW} SELECT x.source AS a, x.target AS b, y.target AS c FROM fe x JOIN fe y ON y.source = x.target JOIN fe z ON z.source = y.target AND z.target = x.source WHERE x.source < x.target AND x.source < y.target AND x.target <> y.target")
@@ -224,10 +227,23 @@ def u04(spark, sf):
     return m.select("name", "type", c("props")["size"].cast("int").alias("size"), c("props")["label"].alias("label"), "version")
 
 
-@query("u05_node_removal", f"WITH {EDGE}, gone AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) SELECT source, count(*) AS edges FROM ed WHERE source NOT IN (SELECT s_suppkey FROM gone) GROUP BY 1")
+@query(
+    "u05_node_removal",
+    f"""WITH {EDGE}, nd AS (SELECT 's' || s_suppkey AS id, s_acctbal < 0 AS gone FROM supplier UNION ALL SELECT 'p' || p_size, min(p_retailprice) < 901 OR p_size % 10 = 0 FROM part GROUP BY p_size),
+lf AS (SELECT 's' || source AS a, 'p' || target AS b FROM ed WHERE 's' || source NOT IN (SELECT id FROM nd WHERE gone) AND 'p' || target NOT IN (SELECT id FROM nd WHERE gone)), u AS (SELECT a AS id FROM lf UNION ALL SELECT b FROM lf)
+SELECT nd.id, count(u.id) AS edges FROM nd LEFT JOIN u ON u.id = nd.id WHERE NOT gone GROUP BY 1""",
+)
 def u05(spark, sf):
-    gone = market.table(spark, sf, "supplier").where("s_acctbal < 0").select(c("s_suppkey").alias("source"))
-    return edges(spark, sf).join(gone, "source", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("edges"))
+    """Nodes that stay, with what is left of their edges: an edge goes with the
+    node at either end."""
+    p = market.table(spark, sf, "part").groupBy("p_size").agg((F.min("p_retailprice") < 901).alias("cheap"))
+    nodes = market.table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), (c("s_acctbal") < 0).alias("gone")).unionByName(
+        p.select(F.concat(F.lit("p"), "p_size").alias("id"), (c("cheap") | (c("p_size") % 10 == 0)).alias("gone"))
+    )
+    e = edges(spark, sf).select(F.concat(F.lit("s"), "source").alias("source"), F.concat(F.lit("p"), "target").alias("target"))
+    kept, left = N.remove_nodes(nodes, e, nodes.where("gone").select("id"))
+    ends = left.select(c("source").alias("id")).unionAll(left.select(c("target").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("edges"))
+    return kept.join(ends, "id", "left").select("id", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
 @query("u06_tag_union", "SELECT user_id, count(DISTINCT event_type) AS tags, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tag_list FROM events GROUP BY 1")
@@ -252,19 +268,15 @@ def x31(spark, sf):
 
 @query(
     "x35_feature_dependents",
-    "WITH RECURSIVE e AS (SELECT DISTINCT p_size AS child, CAST(floor(p_size / 2) AS INTEGER) AS parent FROM part WHERE p_size > 1), k AS (SELECT child, parent FROM e UNION SELECT k.child, e.parent FROM k JOIN e ON e.child = k.parent) SELECT child, parent FROM k",
+    "WITH RECURSIVE e AS (SELECT DISTINCT p_size AS child, CAST(p_size - 1 - p_size % 3 AS INTEGER) AS parent FROM part WHERE p_size > 1), k AS (SELECT child, parent FROM e UNION SELECT k.child, e.parent FROM k JOIN e ON e.child = k.parent) SELECT child, parent, EXISTS (SELECT 1 FROM k x WHERE x.child = x.parent AND x.child = k.child) AS cyclic FROM k",
 )
 def x35(spark, sf):
-    e = market.table(spark, sf, "part").where("p_size > 1").select(c("p_size").alias("child"), F.floor(c("p_size") / 2).cast("int").alias("parent")).distinct()
-    return N.dependents(e, 5)
+    e = market.table(spark, sf, "part").where("p_size > 1").select(c("p_size").alias("child"), (c("p_size") - 1 - c("p_size") % 3).cast("int").alias("parent")).distinct()
+    return N.dependents(e)
 
 
 @query("a56_pareto_front", f"WITH {TRADE}, s AS (SELECT strategy_id, venue, side, avg(pnl) AS ret, -stddev_pop(pnl) AS risk, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS win FROM trade GROUP BY 1, 2, 3) SELECT strategy_id, venue, side, {R('ret')} AS ret, {R('risk')} AS risk, {R('win', 6)} AS win FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.ret >= a.ret AND b.risk >= a.risk AND b.win >= a.win AND (b.ret > a.ret OR b.risk > a.risk OR b.win > a.win))")
 def a56(spark, sf):
-    """First front: anti-join on dominance over the (small) candidate table."""
+    """First front: each task keeps its own front, fronts meet in fewer tasks."""
     s = market.trades(spark, sf).groupBy("strategy_id", "venue", "side").agg(F.avg("pnl").alias("ret"), (-F.stddev_pop("pnl")).alias("risk"), F.avg(F.when(c("pnl") > 0, 1.0).otherwise(0.0)).alias("win"))
-    b = s.select(c("ret").alias("r2"), c("risk").alias("k2"), c("win").alias("w2"))
-    dom = (c("r2") >= c("ret")) & (c("k2") >= c("risk")) & (c("w2") >= c("win")) & ((c("r2") > c("ret")) | (c("k2") > c("risk")) | (c("w2") > c("win")))
-    from tapeworks.plans.joins import small
-
-    return s.join(small(b), dom, "left_anti").select("strategy_id", "venue", "side", r("ret").alias("ret"), r("risk").alias("risk"), r("win", 6).alias("win"))
+    return N.front(s, ["ret", "risk", "win"]).select("strategy_id", "venue", "side", r("ret").alias("ret"), r("risk").alias("risk"), r("win", 6).alias("win"))

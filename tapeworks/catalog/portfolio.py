@@ -18,7 +18,7 @@ def moments(spark, sf):
     """Covariances and means of the assets of each regional portfolio."""
     p = panel(spark, sf)
     reg = market.table(spark, sf, "nation").select(c("n_nationkey").cast("bigint").alias("i"), c("n_regionkey").cast("bigint").alias("portfolio"))
-    cv = K.covariances(p).select("i", "j", "cov").join(reg, "i").join(reg.select(c("i").alias("j"), c("portfolio").alias("_q")), "j").where(c("portfolio") == c("_q")).drop("_q")
+    cv = K.covariances(p, market.table(spark, sf, "nation").count()).select("i", "j", "cov").join(reg, "i").join(reg.select(c("i").alias("j"), c("portfolio").alias("_q")), "j").where(c("portfolio") == c("_q")).drop("_q")
     mu = p.groupBy(c("asset").cast("bigint").alias("i")).agg(F.avg("ret").alias("mu"))
     return cv.join(mu, "i")
 
@@ -46,7 +46,7 @@ def p01f(spark, sf):
     f"WITH {ASSET}, {PAIRS}, s AS (SELECT i, corr FROM cv WHERE i < j UNION ALL SELECT j, corr FROM cv WHERE i < j), m AS (SELECT i AS asset, sum(abs(corr)) / (count(*) + 1) AS ac, count(*) + 1 AS n FROM s GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY round(ac, 12), asset) AS k FROM m) SELECT CAST(asset AS BIGINT) AS asset, {R('ac', 6)} AS avg_corr, round((n - k + 1) / (n * (n + 1) / 2.0), 8) AS weight FROM k",
 )
 def p05(spark, sf):
-    return O.min_correlation(K.covariances(panel(spark, sf))).select("asset", r("avg_corr", 6).alias("avg_corr"), F.round("weight", 8).alias("weight"))
+    return O.min_correlation(K.covariances(panel(spark, sf), market.table(spark, sf, "nation").count())).select("asset", r("avg_corr", 6).alias("avg_corr"), F.round("weight", 8).alias("weight"))
 
 
 @query("p08_min_cvar")

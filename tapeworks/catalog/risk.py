@@ -83,13 +83,13 @@ def a18(spark, sf):
     return x.select("asset", r("marginal_es", 3).alias("marginal_es"), r("contribution", 3).alias("contribution"), r("pct", 2).alias("pct"))
 
 
-PAIRS = "cv AS (SELECT a.asset AS i, b.asset AS j, count(*) AS n, covar_samp(a.ret, b.ret) AS cov, corr(a.ret, b.ret) AS corr FROM ret a JOIN ret b ON a.t = b.t AND a.asset <= b.asset GROUP BY 1, 2)"
+PAIRS = "cv AS (SELECT a.asset AS i, b.asset AS j, count(*) AS n, CASE WHEN count(*) < 10 THEN CAST(a.asset = b.asset AS INTEGER) ELSE covar_samp(a.ret, b.ret) END AS cov, CASE WHEN count(*) < 10 THEN CAST(a.asset = b.asset AS INTEGER) ELSE corr(a.ret, b.ret) END AS corr FROM ret a JOIN ret b ON a.t = b.t AND a.asset <= b.asset GROUP BY 1, 2)"
 FULLM = f"{PAIRS}, fm AS (SELECT i, j, cov FROM cv UNION ALL SELECT j, i, cov FROM cv WHERE i < j)"
 
 
 @query("a20_covariance_pairs", f"WITH {ASSET}, {PAIRS} SELECT i, j, n, {R('cov', 6)} AS cov, {R('corr', 6)} AS corr FROM cv")
 def a20(spark, sf):
-    return K.covariances(panel(spark, sf)).select("i", "j", "n", r("cov", 6).alias("cov"), r("corr", 6).alias("corr"))
+    return K.covariances(panel(spark, sf), market.table(spark, sf, "nation").count()).select("i", "j", "n", r("cov", 6).alias("cov"), r("corr", 6).alias("corr"))
 
 
 HEAT = f"""{ASSET}, {WTS}, {FULLM}, cw AS (SELECT i, sum(cov * weight) AS cw FROM fm JOIN wt ON j = asset GROUP BY 1), x AS (SELECT i, cw, weight FROM cw JOIN wt ON i = asset),
@@ -107,7 +107,7 @@ def a19(spark, sf):
 
 @query("a21_eigen_spectrum")
 def a21(spark, sf):
-    x = K.spectrum(K.covariances(panel(spark, sf)))
+    x = K.spectrum(K.covariances(panel(spark, sf), market.table(spark, sf, "nation").count()))
     return x.select("k", r("eigenvalue", 6).alias("eigenvalue"), r("share", 6).alias("share"), (F.col("eigenvalue") > 1).alias("significant"))
 
 
@@ -121,8 +121,9 @@ SELECT {R('max(d)', 6)} AS max_change, {R('(2 * sum(CASE WHEN i < j THEN d ELSE
 def a22(spark, sf):
     """Two periods side by side; change over the full matrix."""
     p = panel(spark, sf)
-    a = K.covariances(p.where("t < 1450")).select("i", "j", F.col("corr").alias("c0"))
-    b = K.covariances(p.where("t >= 1450")).select("i", "j", F.col("corr").alias("c1"))
+    n = market.table(spark, sf, "nation").count()
+    a = K.covariances(p.where("t < 1450"), n).select("i", "j", F.col("corr").alias("c0"))
+    b = K.covariances(p.where("t >= 1450"), n).select("i", "j", F.col("corr").alias("c1"))
     d = F.abs(F.col("c1") - F.col("c0"))
     mult = F.when(F.col("i") < F.col("j"), 2).otherwise(1)
     return a.join(b, ["i", "j"]).agg(
@@ -139,7 +140,7 @@ SELECT count(*) FILTER (i < j AND abs(corr) > 0.15) AS high_pairs, {R('max(abs(c
  CASE WHEN count(*) FILTER (i < j AND abs(corr) > 0.15) > 25 THEN 'high' WHEN count(*) FILTER (i < j AND abs(corr) > 0.15) > 0 THEN 'moderate' ELSE 'low' END AS level FROM cv, v""",
 )
 def a23(spark, sf):
-    c = K.covariances(panel(spark, sf)).select("i", "j", "corr")
+    c = K.covariances(panel(spark, sf), market.table(spark, sf, "nation").count()).select("i", "j", "corr")
     w = weights(spark, sf)
     a, b = w.select(F.col("asset").alias("i"), F.col("weight").alias("a")), w.select(F.col("asset").alias("j"), F.col("weight").alias("b"))
     x = c.join(a, "i").join(b, "j")
@@ -184,7 +185,7 @@ SELECT {R('sqrt((SELECT sum(s * s) FROM e) + (SELECT sum(2 * a.s * b.s * corr) F
 )
 def j12(spark, sf):
     e = market.positions(spark, sf).groupBy(F.col("nation").alias("asset")).agg(F.sum("signed").alias("signed"))
-    return K.correlation_adjusted(e, K.covariances(panel(spark, sf)).select("i", "j", "corr")).select(r("corr_adjusted", 2).alias("corr_adjusted"))
+    return K.correlation_adjusted(e, K.covariances(panel(spark, sf), market.table(spark, sf, "nation").count()).select("i", "j", "corr")).select(r("corr_adjusted", 2).alias("corr_adjusted"))
 
 
 SC = ", ".join(f"('{k}', {s}, {str(t).lower()})" for k, (s, t) in K.SCENARIOS.items())
@@ -193,7 +194,7 @@ RP = ", ".join(f"('{k}', {a}, {b}, {d})" for k, (a, b, d) in K.REPLAYS.items())
 
 @query(
     "a25_j13_stress",
-    f"WITH {POS}, sc(scenario, shock, one) AS (VALUES {SC}), x AS (SELECT scenario, one, sum(signed * shock * CASE WHEN leverage > 1 THEN 1.5 ELSE 1 END) AS pnl FROM pos, sc GROUP BY 1, 2) SELECT scenario, {R('CASE WHEN one THEN pnl * 0.8 ELSE pnl END', 2)} AS total_pnl FROM x",
+    f"WITH {POS}, sc(scenario, shock, one) AS (VALUES {SC}), x AS (SELECT scenario, one, sum(signed * shock * CASE WHEN leverage > 1 THEN 1.5 ELSE 1 END) AS pnl FROM pos, sc GROUP BY 1, 2) SELECT scenario, {R('CASE WHEN one THEN pnl - 0.2 * abs(pnl) ELSE pnl END', 2)} AS total_pnl FROM x",
 )
 def a25(spark, sf):
     return K.stress(market.positions(spark, sf)).select("scenario", r("total_pnl", 2).alias("total_pnl"))

@@ -260,7 +260,7 @@ points(
 )
 
 doc_src = lambda spark, sf: market.table(spark, sf, "documents")
-CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \n\t]+', '[URL]', 'g'), '\$([A-Z]{2,6})', '[TICKER_\1]', 'g'), '@[A-Za-z0-9_]+', '[MENTION]', 'g'), '#([A-Za-z0-9_]+)', '\1', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ')"
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', '[URL]', 'g'), '\$([A-Z]{2,5})($|[^\p{L}\p{N}_])', '[TICKER_\1]\2', 'g'), '@[\p{L}\p{N}_]+', '[MENTION]', 'g'), '#([\p{L}\p{N}_]+)', '\1', 'g'), '\s+', ' ', 'g'), ' ')"
 
 
 @query("x21_clean_text", f"SELECT doc_id, md5({CLEAN}) AS digest, length({CLEAN}) AS n FROM documents")
@@ -269,7 +269,7 @@ def x21(spark, sf):
     return doc_src(spark, sf).select("doc_id", F.md5(x).alias("digest"), F.length(x).cast("bigint").alias("n"))
 
 
-@query("x22_spam", "SELECT conv_id, turn, regexp_matches(lower(text), '" + "|".join(T.BOT_PHRASES) + "') OR length(text) < 10 OR length(regexp_replace(text, '[^A-Z]', '', 'g')) * 1.0 / greatest(length(text), 1) > 0.7 AS spam FROM conversations")
+@query("x22_spam", "SELECT conv_id, turn, regexp_matches(lower(text), '" + "|".join(T.BOT_PHRASES) + "') OR length(text) < 10 OR length(regexp_replace(text, '\\P{Lu}', '', 'g')) * 1.0 / greatest(length(text), 1) > 0.7 AS spam FROM conversations")
 def x22(spark, sf):
     return market.table(spark, sf, "conversations").select("conv_id", "turn", T.is_spam(c("text")).alias("spam"))
 

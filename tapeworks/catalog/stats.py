@@ -151,8 +151,8 @@ def m15(spark, sf):
     """Joint tail shares: pair sums of tail indicators (no rows per pair and t)."""
     u = Z.uniform_ranks(panel(spark, sf).select("asset", "t", "ret"), ["asset"], "ret", ["t"])
     one = lambda k: F.when(k, 1.0).otherwise(0.0)
-    lo = pair_sums(u.withColumn("v", one(c("u") < 0.1)), ["t"], "asset", "v").where("i < j").select("i", "j", "n", c("sxy").alias("lo"))
-    hi = pair_sums(u.withColumn("v", one(c("u") > 0.9)), ["t"], "asset", "v").where("i < j").select("i", "j", c("sxy").alias("hi"))
+    lo = pair_sums(u.withColumn("v", one(c("u") < 0.1)), ["t"], "asset", "v", centre=False).where("i < j").select("i", "j", "n", c("sxy").alias("lo"))
+    hi = pair_sums(u.withColumn("v", one(c("u") > 0.9)), ["t"], "asset", "v", centre=False).where("i < j").select("i", "j", c("sxy").alias("hi"))
     return lo.join(hi, ["i", "j"]).select("i", "j", r(c("lo") / (c("n") * 0.1), 6).alias("lower_tail"), r(c("hi") / (c("n") * 0.1), 6).alias("upper_tail"))
 
 

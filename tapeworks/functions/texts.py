@@ -22,15 +22,15 @@ CREDIBILITY = {"reuters": 0.95, "bloomberg": 0.95, "coindesk": 0.85, "cointelegr
 
 def clean(text: Column) -> Column:
     """Links, tickers, mentions and hashtags to plain markers, spaces folded."""
-    x = F.regexp_replace(text, r"https?://[^ \n\t]+", "[URL]")
-    x = F.regexp_replace(x, r"\$([A-Z]{2,6})", r"[TICKER_$1]")
-    x = F.regexp_replace(x, r"@[A-Za-z0-9_]+", "[MENTION]")
-    x = F.regexp_replace(x, r"#([A-Za-z0-9_]+)", "$1")
-    return F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " "))
+    x = F.regexp_replace(text, r"(?U)https?://\S+", "[URL]")
+    x = F.regexp_replace(x, r"(?U)\$([A-Z]{2,5})\b", r"[TICKER_$1]")
+    x = F.regexp_replace(x, r"(?U)@\w+", "[MENTION]")
+    x = F.regexp_replace(x, r"(?U)#(\w+)", "$1")
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def is_spam(text: Column) -> Column:
-    caps = F.length(F.regexp_replace(text, "[^A-Z]", ""))
+    caps = F.length(F.regexp_replace(text, r"\P{Lu}", ""))
     return F.lower(text).rlike("|".join(BOT_PHRASES)) | (F.length(text) < 10) | (caps / F.greatest(F.length(text), F.lit(1)) > 0.7)
 
 

@@ -58,27 +58,27 @@ def candle_shape() -> dict[str, Column]:
     }
 
 
-def value_area(levels: DataFrame, keys: list[str], bins: int, share: float = 0.70, count_poc: bool = True) -> DataFrame:
+def value_area(levels: DataFrame, keys: list[str], bins: int | None = None, share: float = 0.70, count_poc: bool = True) -> DataFrame:
     """Point of control and value area of binned volume.
 
-    ``levels`` holds (keys, bin, vol) with bin in 0..bins-1, already summed per
-    bin, so a group is at most ``bins`` values.  The area grows from the
+    ``levels`` holds (keys, bin, vol), already summed per bin: bin in 0..bins-1,
+    or, without ``bins``, from 0 to each group's own largest.  The area grows from the
     busiest bin towards the larger neighbour (ties go down) until ``share`` of
     the volume is inside; ``count_poc`` says whether the busiest bin's own
     volume counts towards the target.
     """
     filled = levels.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "vol"))).alias("_m"), F.sum("vol").alias("total")
+        F.map_from_entries(F.collect_list(F.struct("bin", "vol"))).alias("_m"), F.sum("vol").alias("total"), (F.max("bin") if bins is None else F.lit(bins - 1)).cast("int").alias("_top")
     )
     at = lambda arr, i: F.coalesce(F.get(arr, i), F.lit(0.0))
-    filled = filled.withColumn("_v", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at("_m", i.cast("int")), F.lit(0.0))))
+    filled = filled.withColumn("_v", F.transform(F.sequence(F.lit(0), F.col("_top")), lambda i: F.coalesce(F.element_at("_m", i.cast("int")), F.lit(0.0))))
     filled = filled.withColumn("poc", (F.array_position("_v", F.array_max("_v")) - 1).cast("int"))
     v = F.col("_v")
     begin = F.struct(
         F.col("poc").alias("lo"), F.col("poc").alias("hi"),
         (at(v, F.col("poc")) if count_poc else F.lit(0.0)).alias("acc"),
     )
-    top = bins - 1
+    top = F.col("_top")
 
     def grow(s, _):
         low_room, high_room = s["lo"] > 0, s["hi"] < top
@@ -94,5 +94,5 @@ def value_area(levels: DataFrame, keys: list[str], bins: int, share: float = 0.7
             )
         )
 
-    area = F.aggregate(F.sequence(F.lit(1), F.lit(bins)), begin, grow)
+    area = F.aggregate(F.sequence(F.lit(0), F.col("_top")), begin, grow)
     return filled.withColumn("_a", area).select(*keys, "poc", F.col("_a.lo").alias("area_lo"), F.col("_a.hi").alias("area_hi"), "total")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.plans.recur import Affine
 from tapeworks.plans.series import IDX, Series
+from tapeworks.session import checkpointed
 
 c = lambda n: F.col(n)
 
@@ -35,20 +36,69 @@ def neighbours(edges: DataFrame, nodes: DataFrame, edge_type: str | None = None)
 def triangles(edges: DataFrame) -> DataFrame:
     """Directed cycles of three edges, each once (its smallest node first).
 
-    Edges are oriented to start at the smallest node, so a cycle is built from
-    one side only, and wedges are closed by an equi-join on both ends.
+    A cycle is built at its node of lowest degree (ties by id) and nowhere else,
+    so a hub's edges only meet in cycles of hubs: wedges in -> node -> out of the
+    lowest node are closed by an equi-join on both ends.
     """
     e = edges.select("source", "target").where(c("source") != c("target")).distinct()
-    ab = e.select(c("source").alias("a"), c("target").alias("b")).where("a < b")
-    bc = e.select(c("source").alias("b"), c("target").alias("c"))
-    ca = e.select(c("source").alias("c"), c("target").alias("a")).where("a < c")
-    return ab.join(bc, "b").where("c > a").join(ca, ["c", "a"]).select("a", "b", "c")
+    ends = e.select(c("source").alias("n")).unionAll(e.select(c("target").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("deg"))
+    rank = lambda n: F.struct(c(f"{n}_deg"), c(n))
+    ranked = e.join(ends.select(c("n").alias("source"), c("deg").alias("source_deg")), "source").join(ends.select(c("n").alias("target"), c("deg").alias("target_deg")), "target")
+    ab = ranked.where(rank("source") < rank("target")).select(c("source").alias("a"), c("target").alias("b"))
+    ca = ranked.where(rank("target") < rank("source")).select(c("target").alias("a"), c("source").alias("c"))
+    found = ab.join(ca, "a").where("b != c").join(e.select(c("source").alias("b"), c("target").alias("c")), ["b", "c"])
+    low = F.least("a", "b", "c")
+    turn = lambda x, y, z: F.when(low == c("a"), c(x)).when(low == c("b"), c(y)).otherwise(c(z))
+    return found.select(low.alias("a"), turn("b", "c", "a").alias("b"), turn("c", "a", "b").alias("c"))
+
+
+def best_path(direct: DataFrame, first: DataFrame, second: DataFrame, key: str, mid: str, out: str) -> DataFrame:
+    """Best product of confidences over direct (key, out, score) and two-hop
+    paths (first: p1 to ``mid``, second: p2 from it)."""
+    two = first.join(second, mid).select(key, out, (c("p1") * c("p2")).alias("score"))
+    return two.unionByName(direct.select(key, out, "score")).groupBy(key, out).agg(F.max("score").alias("score"))
 
 
-def best_two_hop(first: DataFrame, second: DataFrame, key: str, mid: str, out: str) -> DataFrame:
-    """Best product of confidences over direct and two-hop paths."""
-    two = first.join(second, mid).select(key, out, (c("p1") * c("p2")).alias("score"))
-    return two.groupBy(key, out).agg(F.max("score").alias("score"))
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes that stay and the edges between them; ``gone`` has ids."""
+    left = edges.join(gone.select(c("id").alias("source")), "source", "left_anti").join(gone.select(c("id").alias("target")), "target", "left_anti")
+    return nodes.join(gone, "id", "left_anti"), left
+
+
+def _undominated(x: np.ndarray) -> np.ndarray:
+    """Marks rows that no row equals or beats everywhere and beats somewhere."""
+    order = np.lexsort(-x.T[::-1])                        # a row can only be beaten by an earlier one
+    keep: list[int] = []
+    best = np.empty((0, x.shape[1]))
+    for i in order.tolist():
+        if not ((best >= x[i]).all(axis=1) & (best > x[i]).any(axis=1)).any():
+            keep.append(i)
+            best = np.vstack((best, x[i]))
+    mark = np.zeros(len(x), bool)
+    mark[keep] = True
+    return mark
+
+
+def front(df: DataFrame, goals: list[str], fan: int = 8) -> DataFrame:
+    """Rows that no other row dominates (every goal is to be large).
+
+    Each batch, then each task, keeps its own front; fronts are gathered in
+    ``fan`` times fewer tasks until one is left, so what meets is front rows.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            held = t.filter(pa.array(_undominated(np.column_stack([t.column(g).to_numpy() for g in goals]).astype(float))))
+        if held is not None:
+            yield from held.to_batches()
+
+    part = df.where(" and ".join(f"{g} is not null" for g in goals)).mapInArrow(run, df.schema)
+    for n in (fan * fan, fan, 1):
+        part = part.repartition(n).mapInArrow(run, df.schema)
+    return part
 
 
 def centroids(vectors: DataFrame, key: str, vec: str) -> DataFrame:
@@ -101,11 +151,18 @@ def rule_confidence(s: Series, outcome: str, up: float = 0.1, down: float = 0.15
     return s.scan(Affine("confidence", coef))
 
 
-def dependents(edges: DataFrame, rounds: int) -> DataFrame:
-    """All (feature, ancestor) pairs by repeated joins until no new pair; the
-    dependency table is a small catalogue, cycles end the growth."""
-    closure = edges.select("child", "parent").distinct()
-    for _ in range(rounds):
-        step = closure.select("child", c("parent").alias("_m")).join(edges.select(c("child").alias("_m"), "parent"), "_m").select("child", "parent")
-        closure = closure.unionByName(step).distinct()
-    return closure
+def dependents(edges: DataFrame) -> DataFrame:
+    """All (child, parent) pairs of the transitive closure and whether the child
+    lies on a cycle.  Paths double in each round until no new pair comes, so a
+    chain of n takes log2(n) rounds; cycles end the growth."""
+    closure = checkpointed(edges.select("child", "parent").distinct())
+    n = closure.count()
+    while True:
+        step = closure.select("child", c("parent").alias("_m")).join(closure.select(c("child").alias("_m"), "parent"), "_m").select("child", "parent")
+        closure = checkpointed(closure.unionByName(step).distinct())
+        grown = closure.count()
+        if grown == n:
+            break
+        n = grown
+    loops = closure.where("child = parent").select("child", F.lit(True).alias("cyclic"))
+    return closure.join(loops, "child", "left").select("child", "parent", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))

@@ -102,10 +102,15 @@ def es_bumps(panel: DataFrame, weights: DataFrame, confidence: float = 0.975, de
     return x.join(F.broadcast(tot), F.lit(True)).withColumn("pct", F.abs("contribution") / F.col("_tot") * 100).drop("_up", "_tot")
 
 
-def covariances(panel: DataFrame) -> DataFrame:
-    """asset pairs i <= j with n, covariance and correlation."""
-    s = pair_sums(panel, ["t"], "asset", "ret")
-    return s.select("i", "j", F.col("n").cast("bigint").alias("n"), cov().alias("cov"), corr().alias("corr"))
+MIN_ROWS = 10
+
+
+def covariances(panel: DataFrame, n_assets: int | None = None) -> DataFrame:
+    """asset pairs i <= j with n, covariance and correlation; pairs with fewer
+    than ``MIN_ROWS`` common rows get the identity matrix's values."""
+    s = pair_sums(panel, ["t"], "asset", "ret", n_assets)
+    few, unit = F.col("n") < MIN_ROWS, F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    return s.select("i", "j", F.col("n").cast("bigint").alias("n"), F.when(few, unit).otherwise(cov()).alias("cov"), F.when(few, unit).otherwise(corr()).alias("corr"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -180,14 +185,16 @@ def correlation_adjusted(exposure: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.join(F.broadcast(cross), F.lit(True)).select(F.when(total > 0, F.sqrt(total)).otherwise(0.0).alias("corr_adjusted"))
 
 
-def stress(pos: DataFrame, penalty: bool = True) -> DataFrame:
+def stress(pos: DataFrame, penalty: bool = True, compat: bool = False) -> DataFrame:
     """PnL of every scenario: the scenarios are a literal array exploded per
-    position after positions were reduced to (leveraged?, side) sums."""
+    position after positions were reduced to (leveraged?, side) sums.  Where
+    correlations go to one, a fifth of the result's size is taken off;
+    ``compat`` moves the result towards zero instead, gain or loss."""
     c = F.col
     base = pos.groupBy((c("leverage") > 1).alias("lev")).agg(F.sum("signed").alias("signed"))
     rows = F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(s).alias("shock"), F.lit(t).alias("to_one")) for k, (s, t) in SCENARIOS.items()])
     g = base.select("lev", "signed", F.inline(rows)).groupBy("scenario", "to_one").agg(F.sum(c("signed") * c("shock") * F.when(c("lev"), 1.5).otherwise(1.0)).alias("pnl"))
-    pen = F.when(c("to_one") & F.lit(penalty), 0.2 * c("pnl")).otherwise(0.0)
+    pen = F.when(c("to_one") & F.lit(penalty), 0.2 * (c("pnl") if compat else F.abs("pnl"))).otherwise(0.0)
     return g.select("scenario", (c("pnl") - pen).alias("total_pnl"))
 
 

@@ -24,47 +24,63 @@ def _dense(col: pa.ListArray):
     return ids, x
 
 
+def _sums(part: pa.RecordBatch, flag: bool):
+    (ia, xa), (ib, xb) = _dense(part.column("_a")), _dense(part.column("_b"))
+    ma, mb = (~np.isnan(xa)).astype(float), (~np.isnan(xb)).astype(float)
+    za, zb = np.nan_to_num(xa), np.nan_to_num(xb)
+    stats = [ma.T @ mb, za.T @ mb, ma.T @ zb, (za * za).T @ mb, ma.T @ (zb * zb), za.T @ zb]
+    i, j = np.meshgrid(ia, ib, indexing="ij")
+    keep = (stats[0] > 0) & ((i <= j) if flag else np.ones_like(i, bool))
+    lo, hi = i[keep], j[keep]
+    vals = [s[keep] for s in stats]
+    if not flag:                       # order the pair, swap its one-sided sums
+        sw = lo > hi
+        lo, hi = np.where(sw, hi, lo), np.where(sw, lo, hi)
+        vals[1], vals[2] = np.where(sw, vals[2], vals[1]), np.where(sw, vals[1], vals[2])
+        vals[3], vals[4] = np.where(sw, vals[4], vals[3]), np.where(sw, vals[3], vals[4])
+    return lo, hi, vals
+
+
 def _gram(batches):
+    """Partial sums of each (group, tile, tile) of a batch: matrices of at most
+    a tile's assets on either side."""
     for b in batches:
         if b.num_rows == 0:
             continue
-        same = b.column("_same").to_numpy(zero_copy_only=False)
-        for flag in (True, False):
-            rows = pa.array(same == flag)
-            part = b.filter(rows)
-            if part.num_rows == 0:
-                continue
-            (ia, xa), (ib, xb) = _dense(part.column("_a")), _dense(part.column("_b"))
-            ma, mb = (~np.isnan(xa)).astype(float), (~np.isnan(xb)).astype(float)
-            za, zb = np.nan_to_num(xa), np.nan_to_num(xb)
-            stats = [ma.T @ mb, za.T @ mb, ma.T @ zb, (za * za).T @ mb, ma.T @ (zb * zb), za.T @ zb]
-            i, j = np.meshgrid(ia, ib, indexing="ij")
-            keep = (stats[0] > 0) & ((i <= j) if flag else np.ones_like(i, bool))
-            lo, hi = i[keep], j[keep]
-            vals = [s[keep] for s in stats]
-            if not flag:                       # order the pair, swap its one-sided sums
-                sw = lo > hi
-                lo, hi = np.where(sw, hi, lo), np.where(sw, lo, hi)
-                vals[1], vals[2] = np.where(sw, vals[2], vals[1]), np.where(sw, vals[1], vals[2])
-                vals[3], vals[4] = np.where(sw, vals[4], vals[3]), np.where(sw, vals[3], vals[4])
-            yield pa.RecordBatch.from_arrays([pa.array(lo.astype("int64")), pa.array(hi.astype("int64")), *[pa.array(v) for v in vals]], names=["i", "j", *SUMS])
-
-
-def pair_sums(panel: DataFrame, t: list[str], asset: str, value: str, n_assets: int | None = None, group: list[str] = ()) -> DataFrame:
+        cell = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in ("_g", "_tile", "_tile_b")])
+        cells, which = np.unique(cell, axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        for k, (g, ta, tb) in enumerate(cells.tolist()):
+            lo, hi, vals = _sums(b.filter(pa.array(which == k)), ta == tb)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), g, "int64")), pa.array(lo.astype("int64")), pa.array(hi.astype("int64")), *[pa.array(v) for v in vals]], names=["_g", "i", "j", *SUMS])
+
+
+def pair_sums(panel: DataFrame, t: list[str], asset: str, value: str, n_assets: int | None = None, group: str | None = None, centre: bool = True) -> DataFrame:
     """Sums n, x, y, xx, yy, xy per asset pair i <= j (integer asset ids), over
-    the t where both have a value; ``group`` columns must not be given here for
-    more than one panel (filter first)."""
-    tiles = 1 if n_assets is None else max(1, -(-n_assets // TILE))
-    rows = panel.where(F.col(value).isNotNull()).groupBy(*t, F.pmod(F.col(asset), F.lit(tiles)).alias("_tile")).agg(
-        F.collect_list(F.struct(F.col(asset).cast("bigint").alias("a"), F.col(value).cast("double").alias("v"))).alias("_a")
-    )
+    the t where both have a value, within each value of the integer column
+    ``group``.
+
+    Assets are dealt to tiles of about ``TILE`` (``n_assets`` is counted when it
+    isn't given), so neither a row nor a matrix grows with the universe.
+    ``centre`` takes each asset's mean off first: covariances don't change and
+    large levels don't cancel; raw sums need it off.
+    """
+    g = F.lit(0).cast("bigint") if group is None else F.col(group).cast("bigint")
+    p = panel.where(F.col(value).isNotNull()).select(*t, g.alias("_g"), F.col(asset).cast("bigint").alias("a"), F.col(value).cast("double").alias("v"))
+    if n_assets is None:
+        n_assets = p.select("a").distinct().count()
+    tiles = max(1, -(-n_assets // TILE))
+    if centre:
+        p = p.join(p.groupBy("_g", "a").agg(F.avg("v").alias("_m")), ["_g", "a"]).withColumn("v", F.col("v") - F.col("_m"))
+    rows = p.groupBy(*t, "_g", F.pmod(F.xxhash64("a"), F.lit(tiles)).alias("_tile")).agg(F.collect_list(F.struct("a", "v")).alias("_a"))
     if tiles == 1:
-        both = rows.select(F.col("_a"), F.col("_a").alias("_b"), F.lit(True).alias("_same"))
+        both = rows.select("_g", "_tile", F.col("_tile").alias("_tile_b"), "_a", F.col("_a").alias("_b"))
     else:
-        other = rows.select(*t, F.col("_tile").alias("_tile_b"), F.col("_a").alias("_b"))
-        both = rows.join(other, t).where("_tile <= _tile_b").select("_a", "_b", (F.col("_tile") == F.col("_tile_b")).alias("_same"))
-    part = both.mapInArrow(_gram, "i bigint, j bigint, " + ", ".join(f"{s} double" for s in SUMS))
-    return part.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+        other = rows.select(*t, "_g", F.col("_tile").alias("_tile_b"), F.col("_a").alias("_b"))
+        both = rows.join(other, [*t, "_g"]).where("_tile <= _tile_b").select("_g", "_tile", "_tile_b", "_a", "_b")
+    part = both.mapInArrow(_gram, "_g bigint, i bigint, j bigint, " + ", ".join(f"{s} double" for s in SUMS))
+    out = part.groupBy("_g", "i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+    return out.drop("_g") if group is None else out.withColumnRenamed("_g", group)
 
 
 def cov(ddof: int = 1) -> Column:

@@ -36,7 +36,7 @@ BLOCK = "_block"    # slice number (blocked form only)
 
 MAX_ROWS = 4_000_000
 BLOCK_ROWS = 1_000_000
-SMALL_BYTES = 256 << 20
+SMALL_BYTES = 24 << 20
 
 
 class Frames:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,17 +26,20 @@ def local_session(cpus: str | int = "*", app: str = "tapeworks") -> SparkSession
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names.
 
-    The folder comes from ``spark.checkpoint.dir``; only when neither the
-    setting nor the context names one (tests) a temporary folder is used.
+    The folder comes from ``spark.checkpoint.dir``; only when that is unset
+    (tests) it lies in the warehouse folder, which executors share as well.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tapeworks-ckpt-"))
+        sc.setCheckpointDir(work_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def work_root(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tapeworks_work"
+
+
 def no_larger_than(df: DataFrame, source: DataFrame) -> DataFrame:
     """Record that ``df`` has at most the rows of ``source`` (a grouped or
     filtered form of it, or a join to unique keys).  Catalyst multiplies the
@@ -61,5 +62,4 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder all executors can reach (below the checkpoint folder)."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{root or tempfile.mkdtemp(prefix='tapeworks-')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{work_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
