@@ -37,7 +37,7 @@ PHONE = r"(?:\+1[ -])?\(\d{3}\) \d{3}-\d{4}|(?:\+1[ -])?\d{3}-\d{3}-\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
-VALUE = rf"(?<![0-9A-Za-z])(?<!\d[.])(?:{PHONE}|{SSN}|{DATE}|{IPV4}|{CARD})(?![0-9A-Za-z])(?![.]\d)"
+VALUE = rf"(?=[0-9+(])(?<![0-9A-Za-z])(?<!\d[.])(?:{PHONE}|{SSN}|{DATE}|{IPV4}|{CARD})(?![0-9A-Za-z])(?![.]\d)"
 EPOCH = "1800-01-01"
 DAYS = (189, 773)
 SSNS = (898 * 99, 9999)
@@ -156,18 +156,32 @@ def pseudonym(value: Column, key: str = KEY, undo: bool = False) -> Column:
     return out
 
 
-def replaced(text: Column, key: str = KEY, undo: bool = False) -> Column:
-    """``text`` with every valid value replaced; the parts between values and the
-    values are taken apart once, in order."""
-    between = F.split(text, VALUE, -1)
-    values = F.regexp_extract_all(text, F.lit(VALUE), F.lit(0))
+def found(text: Column) -> Column:
+    """Candidate values of a text in order; one without digits isn't searched."""
+    return F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(VALUE), F.lit(0)))
+
+
+def woven(text: Column, values: Column, key: str = KEY, undo: bool = False) -> Column:
+    """``text`` with the valid ones of its ``values`` replaced: the parts between
+    values and the values are taken apart once, in order."""
     shown = F.transform(values, lambda v: F.coalesce(pseudonym(v, key, undo), v))
-    woven = F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), shown.alias("v")), lambda z: F.array(z["b"], F.coalesce(z["v"], F.lit(""))))), "")
-    return F.when(text.rlike(VALUE), woven).otherwise(text)
+    parts = F.arrays_zip(F.split(text, VALUE, -1).alias("b"), shown.alias("v"))
+    joined = F.array_join(F.flatten(F.transform(parts, lambda z: F.array(z["b"], F.coalesce(z["v"], F.lit(""))))), "")
+    return F.when(F.size(values) > 0, joined).otherwise(text)
 
 
-def replace(df: DataFrame, column: str = "text", key: str = KEY, undo: bool = False) -> DataFrame:
-    return df.withColumn(column, replaced(F.col(column).cast("string"), key, undo))
+def replace(df: DataFrame, column: str = "text", key: str = KEY, undo: bool = False, counted: str | None = None) -> DataFrame:
+    """``df`` with the values in ``column`` replaced; ``counted`` names a column
+    for the number of candidates (0 for null)."""
+    names = {c.lower() for c in [*df.columns, counted or ""]}
+    held = "_values"
+    while held in names:
+        held += "_"
+    # a step of its own, so that the search is done once
+    out = df.withColumn(column, F.col(column).cast("string")).withColumn(held, found(F.col(column)))
+    if counted:
+        out = out.withColumn(counted, F.coalesce(F.when(F.col(held).isNotNull(), F.size(held)), F.lit(0)).cast("bigint"))
+    return out.withColumn(column, woven(F.col(column), F.col(held), key, undo)).drop(held)
 
 
 def linked(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -181,6 +195,4 @@ def linked(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 @query("op6_pseudonyms")
 def op6_pseudonyms(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = F.size(F.regexp_extract_all(F.col("text"), F.lit(VALUE), F.lit(0)))
-    return docs.select("doc_id", replaced(F.col("text")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(found).cast("bigint").alias("n_candidates"))
+    return replace(table(spark, sf, "documents").select("doc_id", "text"), counted="n_candidates")
