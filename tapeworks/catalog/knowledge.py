@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tapeworks.catalog import query
 from tapeworks.catalog.base import bar_series, r
 from tapeworks.catalog.scalars import EP, episodes
-from tapeworks.catalog.sql import R, TICK, TRADE
+from tapeworks.catalog.sql import ASSET, R, TICK, TRADE
 from tapeworks.functions import scalars as X
 from tapeworks.operators import knowledge as N
 from tapeworks.plans.series import IDX, Series
@@ -150,8 +150,25 @@ def k07(spark, sf):
     return x.select("label", "k", "vec_id", r("sim", 6).alias("similarity"))
 
 
-@query("x37_state_embedding", f"WITH {CEN} SELECT label, count(*) AS n, {R('avg(sim)', 6)} AS mean_projection, {R('stddev_pop(sim)', 6)} AS spread FROM sm GROUP BY 1")
+STATE_DIM = 8
+STATE = f"""{ASSET}, hw AS (SELECT *, max(px) OVER (PARTITION BY asset ORDER BY t ROWS UNBOUNDED PRECEDING) AS top FROM ret), st AS (SELECT n_regionkey AS portfolio, asset, avg(ret) AS m, stddev_pop(ret) AS s, max(1 - px / top) AS dd FROM hw JOIN nation ON n_nationkey = asset GROUP BY 1, 2),
+nn AS (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY asset) - 1 AS k, count(*) OVER (PARTITION BY portfolio) AS n FROM st), lg AS (SELECT portfolio, 4 * n AS len, k AS i, 1.0 / n AS x FROM nn UNION ALL SELECT portfolio, 4 * n, n + k, m FROM nn UNION ALL SELECT portfolio, 4 * n, 2 * n + k, s FROM nn UNION ALL SELECT portfolio, 4 * n, 3 * n + k, dd FROM nn),
+zz AS (SELECT *, (x - avg(x) OVER (PARTITION BY portfolio)) / (stddev_pop(x) OVER (PARTITION BY portfolio) + 1e-8) AS z FROM lg)"""
+
+
+@query("x37_state_embedding", f"WITH {STATE} SELECT portfolio, CAST(j AS INTEGER) AS j, {R('sum(z * cos((j + 1) * pi() / len * (i + 0.5)) / sqrt(len))', 6)} AS value FROM zz, range({STATE_DIM}) AS r(j) GROUP BY 1, 2")
 def x37(spark, sf):
+    """State of each regional portfolio (weights, mean returns, volatilities,
+    drawdowns by asset) on a cosine basis."""
+    p = market.nation_returns(spark, sf)
+    s = Series.of(p, ["asset"], ["t"]).running(_top=("max", "px")).df
+    st = s.groupBy("asset").agg(F.avg("ret").alias("m"), F.stddev_pop("ret").alias("s"), F.max(1 - c("px") / c("_top")).alias("dd"))
+    nation = market.table(spark, sf, "nation").select(c("n_nationkey").alias("asset"), c("n_regionkey").alias("portfolio"))
+    return N.state_embedding(st.join(nation, "asset"), "portfolio", "asset", STATE_DIM).select("portfolio", "j", r("value", 6).alias("value"))
+
+
+@query("k07_projection_spread", f"WITH {CEN} SELECT label, count(*) AS n, {R('avg(sim)', 6)} AS mean_projection, {R('stddev_pop(sim)', 6)} AS spread FROM sm GROUP BY 1")
+def projection_spread(spark, sf):
     v = market.table(spark, sf, "embeddings")
     x = v.join(N.centroids(v, "label", "embedding"), "label").withColumn("sim", N.cosine(c("embedding"), c("centroid")))
     return x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r(F.avg("sim"), 6).alias("mean_projection"), r(F.stddev_pop("sim"), 6).alias("spread"))

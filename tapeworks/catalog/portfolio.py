@@ -49,11 +49,17 @@ def p05(spark, sf):
     return O.min_correlation(K.covariances(panel(spark, sf), market.table(spark, sf, "nation").count())).select("asset", r("avg_corr", 6).alias("avg_corr"), F.round("weight", 8).alias("weight"))
 
 
-@query("p08_min_cvar")
+@query(
+    "p08_min_cvar",
+    f"""WITH {ASSET}, n AS (SELECT count(DISTINCT asset) AS n FROM ret), pr AS (SELECT t, sum(ret) / (SELECT n FROM n) AS p FROM ret GROUP BY 1), q AS (SELECT quantile_cont(p, 0.05) AS q FROM pr)
+SELECT (SELECT n FROM n) AS assets, CAST(1 AS DOUBLE) AS weight_sum, {R('-avg(p)', 6)} AS equal_cvar, true AS within_bounds, true AS below_equal FROM pr, q WHERE p <= q""",
+)
 def p08(spark, sf):
-    assets = [row[0] for row in market.table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").limit(512).collect()]    # a dimension
-    w = O.min_cvar(panel(spark, sf), assets)
-    return spark.createDataFrame(list(zip(assets, map(float, w))), "asset int, weight double").select("asset", r("weight", 6).alias("weight"))
+    """Least CVaR with weights up to 0.2, checked by its objective."""
+    assets, w, cvar, equal = O.min_cvar(panel(spark, sf), high=0.2)
+    rows = spark.createDataFrame([(a, float(x)) for a, x in zip(assets, w)], "asset bigint, weight double")
+    g = rows.agg(F.count(F.lit(1)).alias("assets"), F.round(F.sum("weight"), 6).alias("weight_sum"), (F.max("weight") <= 0.2 + 1e-9).alias("_hi"), (F.min("weight") >= -1e-9).alias("_lo"))
+    return g.select("assets", "weight_sum", r(F.lit(equal), 6).alias("equal_cvar"), (c("_hi") & c("_lo")).alias("within_bounds"), (F.lit(cvar) <= F.lit(equal)).alias("below_equal"))
 
 
 N_C = 200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,6 +134,21 @@ def near_merge(items: DataFrame, key: str, anchor: DataFrame, threshold: float)
     return x.withColumn("leader", F.when(sim >= threshold, c("leader_id")).otherwise(c("vec_id")))
 
 
+def state_embedding(assets: DataFrame, key: str, asset: str, dim: int) -> DataFrame:
+    """(key, j, value): the vector of equal weights, then m, s and dd by asset,
+    standardised and projected on the first ``dim`` cosine waves.  Rows of
+    (place, value) are summed; no vector is built."""
+    order = Window.partitionBy(key).orderBy(asset)          # the assets of one portfolio
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    k = assets.withColumn("_n", n).withColumn("_k", F.row_number().over(order) - 1)
+    parts = F.array(*[F.struct((F.lit(b) * c("_n") + c("_k")).alias("i"), x.cast("double").alias("x")) for b, x in enumerate([1 / c("_n"), c("m"), c("s"), c("dd")])])
+    lg = k.select(key, (4 * c("_n")).alias("len"), F.inline(parts))
+    mom = lg.groupBy(key).agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
+    z = lg.join(mom, key).select(key, "len", "i", ((c("x") - c("_m")) / (c("_s") + 1e-8)).alias("z"), F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("j"))
+    wave = F.cos((c("j") + 1) * math.pi / c("len") * (c("i") + 0.5)) / F.sqrt("len")
+    return z.groupBy(key, "j").agg(F.sum(c("z") * wave).alias("value"))
+
+
 def edge_ngrams(edges: DataFrame, keys: list[str], order: list[str], label: str, support: int) -> DataFrame:
     """Label sequences of length 2 and 3 over consecutive edges, by support."""
     s = Series.of(edges, keys, order).bounded(0, {"_a": lambda w: w.lead(label, 1), "_b": lambda w: w.lead(label, 2)}, ahead=2)

@@ -199,22 +199,77 @@ def min_correlation(pairs: DataFrame) -> DataFrame:
     return m.withColumn("k", rk).select("asset", "avg_corr", ((F.col("n") - F.col("k") + 1) / (F.col("n") * (F.col("n") + 1) / 2)).alias("weight"))
 
 
-def min_cvar(panel: DataFrame, assets: list, confidence: float = 0.95, rounds: int = 6, step: float = 0.5) -> list[float]:
-    """CVaR minimisation over a distributed scenario table: each round finds the
-    loss quantile and the mean tail return per asset in aggregates; only N
-    numbers reach the driver.  The wide table is cut by a checkpoint once."""
+def bounded_project(w: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Nearest fully invested point with weights in [low, high]."""
+    lo, hi = (w - high).min(), (w - low).max()
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if np.clip(w - mid, low, high).sum() > 1:
+            lo = mid
+        else:
+            hi = mid
+    return np.clip(w - hi, low, high)
+
+
+def tail_of(scenarios: DataFrame, weights: DataFrame, confidence: float) -> DataFrame:
+    """CVaR of every candidate (cand, asset, weight) and its slope by asset: the
+    mean return of the asset in the candidate's tail.  Scenarios are long rows
+    (t, asset, ret); an asset without a row at t returned nothing."""
     from tapeworks.plans.quantiles import exact_percentiles
 
-    wide = checkpointed(panel.groupBy("t").pivot("asset", assets).agg(F.first("ret")).na.fill(0.0))
-    w = np.full(len(assets), 1 / len(assets))
-    best, best_loss = w, np.inf
-    for k in range(rounds):
-        port = sum((F.col(str(a)) * float(x) for a, x in zip(assets, w)), F.lit(0.0))
-        p = wide.withColumn("p", port)
-        q = exact_percentiles(p, [], "p", {"q": 1 - confidence}).select("q")
-        g = p.join(F.broadcast(q), F.lit(True)).where("p <= q").agg(F.avg("p").alias("_p"), *[F.avg(str(a)).alias(f"g{i}") for i, a in enumerate(assets)]).first()
-        if -g["_p"] < best_loss:
-            best, best_loss = w, -g["_p"]
-        grad = np.array([g[f"g{i}"] for i in range(len(assets))])
-        w = project(w + step / np.sqrt(k + 1) * grad)
-    return list(best)
+    p = scenarios.join(weights, "asset").groupBy("cand", "t").agg(F.sum(F.col("ret") * F.col("weight")).alias("p"))
+    q = exact_percentiles(p, ["cand"], "p", {"q": 1 - confidence}).select("cand", "q")
+    tail = p.join(q, "cand").where("p <= q").select("cand", "t", "p")
+    level = tail.groupBy("cand").agg((-F.avg("p")).alias("cvar"), F.count(F.lit(1)).alias("n"))
+    slope = scenarios.join(tail.select("cand", "t"), "t").groupBy("cand", "asset").agg(F.sum("ret").alias("s"))
+    return level.join(slope, "cand").select("cand", "cvar", "asset", (F.col("s") / F.col("n")).alias("slope"))
+
+
+def min_cvar(panel: DataFrame, confidence: float = 0.95, low: float = 0.0, high: float = 1.0, tolerance: float = 1e-3, rounds: int = 60, fan: int = 8) -> tuple[list, np.ndarray, float, float]:
+    """Weights of least CVaR over a distributed scenario table: assets, weights,
+    their CVaR and that of equal weights.
+
+    Each round tries a fan of step lengths along the slope at the best weights
+    in one job.  Steps shrink when none helps; the search ends when the last
+    rounds gained less than ``tolerance`` and the shortest step is below it, and
+    raises when that doesn't come.  One number per asset and step reaches the
+    driver, no scenario does.
+    """
+    spark = panel.sparkSession
+    scenarios = checkpointed(panel.select("t", F.col("asset").cast("bigint").alias("asset"), F.col("ret").cast("double").alias("ret")).where("ret is not null"))
+    assets = sorted(r[0] for r in scenarios.select("asset").distinct().collect())
+    n = len(assets)
+    if n * high < 1 or n * low > 1:
+        raise ValueError("no weights meet the bounds")
+
+    def tried(ws: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [(k, a, float(x)) for k, w in enumerate(ws) for a, x in zip(assets, w)]
+        cvar, slope = np.full(len(ws), np.inf), np.zeros((len(ws), n))
+        at = {a: i for i, a in enumerate(assets)}
+        for r in tail_of(scenarios, spark.createDataFrame(rows, "cand int, asset bigint, weight double"), confidence).collect():
+            cvar[r.cand] = r.cvar
+            slope[r.cand, at[r.asset]] = r.slope
+        return cvar, slope
+
+    w = np.full(n, 1 / n)
+    cvar, slope = tried([w])
+    best, equal, g = cvar[0], cvar[0], slope[0]
+    step, idle = 1.0, 0
+    for _ in range(rounds):
+        d = g - g.mean()
+        size = np.abs(d).max() or 1.0
+        ws = [bounded_project(w + step * 0.5**k * d / size, low, high) for k in range(fan)]
+        cvar, slope = tried(ws)
+        k = int(cvar.argmin())
+        gain = best - cvar[k]
+        if gain > 0:
+            # the slope of the old and the new tail together crosses a kink
+            w, best, g, step = ws[k], cvar[k], 0.5 * g + 0.5 * slope[k], step * 0.5 ** max(0, k - 1)
+        else:
+            g, step = 0.5 * g + 0.5 * slope[-1], step * 0.5 ** (fan // 2)
+        idle = idle + 1 if gain <= tolerance * abs(best) else 0
+        if idle >= 2 and step <= tolerance:
+            return assets, w, float(best), float(equal)
+        if idle >= 2:
+            step *= 0.5 ** (fan // 2)
+    raise RuntimeError(f"CVaR did not settle to {tolerance} in {rounds} rounds")
