@@ -43,6 +43,11 @@ DAYS = (189, 773)
 SSNS = (898 * 99, 9999)
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def feistel(kind: str, l: Column, r: Column, m: Column | int, n: Column | int, key: str, undo: bool) -> Column:
     """struct(l, r) after the rounds; even rounds change l, odd ones r."""
     m, n = (x if isinstance(x, Column) else F.lit(x) for x in (m, n))
@@ -69,12 +74,14 @@ def digits_of(s: Column) -> Column:
 def filled(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, one by one, by ``digits``."""
 
-    def put(i: Column) -> Column:
-        c = F.substring(shape, i, F.lit(1))
-        before = F.length(digits_of(F.substring(shape, F.lit(1), i)))
-        return F.when(c.rlike("[0-9]"), F.substring(digits, before, F.lit(1))).otherwise(c)
+    def put(s: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return F.struct(
+            F.concat(s["out"], F.when(digit, F.substring(s["left"], F.lit(1), F.lit(1))).otherwise(c)).alias("out"),
+            F.when(digit, F.substring(s["left"], F.lit(2), F.length(s["left"]))).otherwise(s["left"]).alias("left"),
+        )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), put), "")
+    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), digits.alias("left")), put)["out"]
 
 
 def luhn_sum(digits: Column, shift: int) -> Column:
@@ -95,37 +102,45 @@ def number(kind: str, digits: Column, key: str, undo: bool) -> Column:
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
     ten = lambda k: F.round(F.pow(F.lit(10.0), k)).cast("bigint")
-    s = feistel(kind, F.substring(digits, F.lit(1), a).cast("bigint"), F.substring(digits, a + 1, n - a).cast("bigint"), ten(a), ten(n - a), key, undo)
-    return F.concat(F.lpad(s["l"].cast("string"), a, F.lit("0")), F.lpad(s["r"].cast("string"), n - a, F.lit("0")))
+    halves = feistel(kind, F.substring(digits, F.lit(1), a).cast("bigint"), F.substring(digits, a + 1, n - a).cast("bigint"), ten(a), ten(n - a), key, undo)
+    return let(halves, lambda s: F.concat(F.lpad(s["l"].cast("string"), a, F.lit("0")), F.lpad(s["r"].cast("string"), n - a, F.lit("0"))))
 
 
 def card(v: Column, key: str, undo: bool) -> Column:
-    d = digits_of(v)
-    body = number("card", F.substring(d, F.lit(1), F.length(d) - 1), key, undo)
-    check = (10 - luhn_sum(body, 1) % 10) % 10
-    return F.when(luhn_sum(d, 0) % 10 == 0, filled(v, F.concat(body, check.cast("string"))))
+    def shown(d: Column) -> Column:
+        body = number("card", F.substring(d, F.lit(1), F.length(d) - 1), key, undo)
+        whole = let(body, lambda b: F.concat(b, ((10 - luhn_sum(b, 1) % 10) % 10).cast("string")))
+        return F.when(luhn_sum(d, 0) % 10 == 0, filled(v, whole))
+
+    return let(digits_of(v), shown)
 
 
 def phone(v: Column, key: str, undo: bool) -> Column:
     """The country code is format and stays."""
-    own = F.regexp_replace(v, r"^\+1[ -]", "")
-    return F.concat(F.regexp_extract(v, r"^(\+1[ -])?", 0), filled(own, number("phone", digits_of(own), key, undo)))
+    own = let(F.regexp_replace(v, r"^\+1[ -]", ""), lambda o: filled(o, let(digits_of(o), lambda d: number("phone", d, key, undo))))
+    return F.concat(F.regexp_extract(v, r"^(\+1[ -])?", 0), own)
 
 
 def ssn(v: Column, key: str, undo: bool) -> Column:
     area, group, serial = (F.split_part(v, F.lit("-"), F.lit(i)).cast("bigint") for i in (1, 2, 3))
     fine = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
-    s = feistel("ssn", (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1, serial - 1, *SSNS, key, undo)
-    a = F.floor(s["l"] / 99) + 1
-    a = a + F.when(a >= 666, 1).otherwise(0)
-    return F.when(fine, F.concat(F.lpad(a.cast("string"), 3, "0"), F.lit("-"), F.lpad((s["l"] % 99 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((s["r"] + 1).cast("string"), 4, "0")))
+
+    def shown(s: Column) -> Column:
+        a = F.floor(s["l"] / 99) + 1
+        a = a + F.when(a >= 666, 1).otherwise(0)
+        return F.concat(F.lpad(a.cast("string"), 3, "0"), F.lit("-"), F.lpad((s["l"] % 99 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((s["r"] + 1).cast("string"), 4, "0"))
+
+    return F.when(fine, let(feistel("ssn", (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1, serial - 1, *SSNS, key, undo), shown))
 
 
 def ipv4(v: Column, key: str, undo: bool) -> Column:
     o = [F.split_part(v, F.lit("."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
     fine = (F.greatest(*o) < 256) & ~v.rlike(r"(^|\.)0\d")
-    s = feistel("ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, undo)
-    return F.when(fine, F.concat_ws(".", F.floor(s["l"] / 256).cast("string"), (s["l"] % 256).cast("string"), F.floor(s["r"] / 256).cast("string"), (s["r"] % 256).cast("string")))
+
+    def shown(s: Column) -> Column:
+        return F.concat_ws(".", F.floor(s["l"] / 256).cast("string"), (s["l"] % 256).cast("string"), F.floor(s["r"] / 256).cast("string"), (s["r"] % 256).cast("string"))
+
+    return F.when(fine, let(feistel("ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, undo), shown))
 
 
 def date(v: Column, key: str, undo: bool) -> Column:
@@ -133,10 +148,11 @@ def date(v: Column, key: str, undo: bool) -> Column:
         return F.try_to_timestamp(v, F.lit(fmt)).cast("date")
 
     def shown(day: Column, fmt: str) -> Column:
-        i = F.datediff(day, F.lit(EPOCH).cast("date")).cast("bigint")
-        s = feistel("date", F.floor(i / DAYS[1]), i % DAYS[1], *DAYS, key, undo)
-        back = F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (s["l"] * DAYS[1] + s["r"]).cast("int")), fmt)
-        return F.when((i >= 0) & (i < DAYS[0] * DAYS[1]), back)
+        def moved(i: Column) -> Column:
+            back = let(feistel("date", F.floor(i / DAYS[1]), i % DAYS[1], *DAYS, key, undo), lambda s: F.date_add(F.lit(EPOCH).cast("date"), (s["l"] * DAYS[1] + s["r"]).cast("int")))
+            return F.when((i >= 0) & (i < DAYS[0] * DAYS[1]), F.date_format(back, fmt))
+
+        return let(F.datediff(day, F.lit(EPOCH).cast("date")).cast("bigint"), moved)
 
     return (
         F.when(v.contains("-"), shown(as_date("yyyy-MM-dd"), "yyyy-MM-dd"))
