@@ -3,14 +3,14 @@ Arrow passes over key-sorted rows, bounded work units, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.session import checkpointed, shared_folder
+
 #: Rows of one key that one task takes together; larger keys are cut into chunks.
 UNIT_ROWS = 4096
 
@@ -19,23 +19,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def work_root(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary
-    one only where that is unset (local tests)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        set_already = sc._jsc.sc().getCheckpointDir()
-        if set_already.isDefined():
-            return set_already.get()
-        root = f"file://{tempfile.mkdtemp(prefix='tapeworks-llm-')}"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(root)
-    return root
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the one all executors share (spark.checkpoint.dir)."""
+    return shared_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,8 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one)."""
-    work_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def ascii_lower(c: Column) -> Column:
