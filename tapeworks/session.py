@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str | int = "*", app: str = "tapeworks") -> SparkSession:
-    """A local session for tests and benches. A cluster brings its own."""
+def local_session(cpus: str | int = "*", app: str = "tapeworks", work: str | None = None) -> SparkSession:
+    """A local session for tests and benches. A cluster brings its own.  ``work``
+    becomes spark.checkpoint.dir."""
     cores = 8 if cpus == "*" else int(cpus)
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -17,8 +18,8 @@ def local_session(cpus: str | int = "*", app: str = "tapeworks") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", work) if work else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
