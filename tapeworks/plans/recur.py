@@ -145,14 +145,24 @@ def _value(kind, maps, carry):
 _NSTATE = {Affine: 1, AffinePair: 2, Clamp: 1}
 
 
+class _Lazy(dict):
+    """Columns of a batch as float arrays, converted when first asked for: a
+    recurrence needs one or two of a wide row."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        super().__init__()
+        self.batch = batch
+
+    def __missing__(self, name: str) -> np.ndarray:
+        col = self.batch.column(name)
+        if pa.types.is_boolean(col.type):
+            col = col.cast(pa.int8())
+        self[name] = x = col.to_numpy(zero_copy_only=False).astype(float)
+        return x
+
+
 def _columns(batch: pa.RecordBatch) -> Cols:
-    got: Cols = {}
-    for name, col in zip(batch.schema.names, batch.columns):
-        if pa.types.is_floating(col.type) or pa.types.is_integer(col.type):
-            got[name] = col.to_numpy(zero_copy_only=False).astype(float)
-        elif pa.types.is_boolean(col.type):
-            got[name] = col.cast(pa.int8()).to_numpy(zero_copy_only=False).astype(float)
-    return got
+    return _Lazy(batch)
 
 
 def _null_nan(x: np.ndarray, extra: np.ndarray | None = None) -> pa.Array:
