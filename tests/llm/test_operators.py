@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tapeworks.llm import common, contamination, idcoder, idfiles, lines, pieces, pitman_yor, pseudonyms, repeats, simhash, toxicity, warc
+from tapeworks.llm import common, contamination, idcoder, idfiles, jaccard, lines, pieces, pitman_yor, pseudonyms, repeats, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(60_000))
@@ -496,6 +496,41 @@ def test_pipeline(spark, odd, none, tmp_path):
     assert steps["line_dedup"](spark, docs, str(tmp_path)).count() == docs.count()
 
 
+def test_near_dedup_keeps_no_near_copy(spark, odd, none, monkeypatch):
+    """All pairs by Jaccard of five-word shingles, over 0.8 and just below."""
+    import corpus_pipeline as c
+
+    rng = random.Random(8)
+    data = []
+    for n in (30, 120, 400):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        for k in range(12):
+            w = list(base)
+            for _ in range(k * n // 120):
+                w[rng.randrange(n)] = f"x{rng.randrange(9**9)}"
+            data.append((len(data), " ".join(w)))
+    rng.shuffle(data)
+
+    def brute(data):
+        sets = []
+        for _, t in data:
+            w = split(low(t))
+            sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {None})
+        comp = list(range(len(data)))
+        for i in range(len(data)):
+            for j in range(i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and comp[i] != comp[j]:
+                    comp = [comp[i] if x == comp[j] else x for x in comp]
+        low_id = {x: min((i for (i, _), y in zip(data, comp) if x == y and i is not None), default=None) for x in comp}
+        return [x for x, y in zip(data, comp) if x[0] == low_id[y]]
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for limit in (jaccard.SET_UNIT, 3):
+        monkeypatch.setattr(jaccard, "SET_UNIT", limit)
+        for df in (spark.createDataFrame(data, "doc_id bigint, text string"), odd, none, *([real] if limit > 3 else [])):
+            assert rows(c.near_dedup(spark, df, SF), "doc_id") == sorted(((i,) for i, _ in brute(texts(df))), key=str)
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as c
 
