@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text:
-each gets the words (with a space on either side) whose share of texts sets its
-label apart most, the strongest last, where references are shortest.  A text is
+each gets all words (with a space on either side) whose share of texts sets its
+label apart beyond chance, the strongest last, where references are shortest; its
+size follows from that evidence, and the compressor's tables from its size.  A text is
 cut into windows; the bytes that each dictionary saves on a window, against no
 dictionary, measure how near the window is to either.  A window is padded by a
 run of one byte, so that a block is never stored raw and savings of a few bytes
@@ -41,14 +42,13 @@ FIT_ROWS = 2500
 FIT_CHARS = 10_000
 WINDOW = 256  # bytes
 OVERLAP = 16
-DICT_BYTES = 128
 PAD = b"\0" * 100
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 @dataclass
 class Model:
-    """What scoring needs; picklable and below a few kilobytes."""
+    """What scoring needs; picklable, two dictionaries and a few numbers."""
 
     toxic: bytes
     ordinary: bytes
@@ -64,9 +64,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weight[1:] + self.weight[0], -30, 30)))
 
 
-def compressor(content: bytes) -> zstd.ZstdCompressor:
+def compressor(content: bytes, reach: int = 0) -> zstd.ZstdCompressor:
+    """``reach``: bytes of the larger dictionary; all of it can be referred to."""
+    log = min(27, max(12, (reach + WINDOW + len(PAD)).bit_length()))
     p = zstd.ZstdCompressionParameters(
-        strategy=zstd.STRATEGY_GREEDY, min_match=5, window_log=12, hash_log=12, chain_log=12, search_log=2, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0
+        strategy=zstd.STRATEGY_GREEDY, min_match=5, window_log=log, hash_log=log, chain_log=log, search_log=2, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0
     )
     d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT) if content else None
     return zstd.ZstdCompressor(compression_params=p, dict_data=d)
@@ -78,7 +80,8 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def features(texts: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
-    plain, tox, usual = (compressor(c).compress for c in (b"", toxic, ordinary))
+    reach = max(len(toxic), len(ordinary))
+    plain, tox, usual = (compressor(c, reach).compress for c in (b"", toxic, ordinary))
     out = np.zeros((len(texts), 8))
     for k, t in enumerate(texts):
         w = windows(t.lower())
@@ -90,20 +93,16 @@ def features(texts: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
     return out
 
 
-def dictionary(ours: Counter, n: int, theirs: Counter, m: int, size: int = DICT_BYTES) -> bytes:
-    """The words whose document shares differ most (in standard errors)."""
+def dictionary(ours: Counter, n: int, theirs: Counter, m: int) -> bytes:
+    """The words whose document shares differ by more standard errors than the
+    largest of as many words without a difference is expected to."""
     words = [w for w, c in ours.items() if c > 2 and len(w) > 1]
     a = np.array([ours[w] for w in words], float)
     b = np.array([theirs[w] for w in words], float)
     p = (a + b) / (n + m)
     z = (a / n - b / m) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n + 1 / m))
-    out = b""
-    for i in sorted(range(len(words)), key=lambda i: (-z[i], words[i])):
-        w = b" " + words[i] + b" "
-        if len(out) + len(w) > size:
-            break
-        out = w + out
-    return out
+    bound = np.sqrt(2 * np.log(max(2, len(words))))
+    return b"".join(b" " + words[i] + b" " for i in sorted(range(len(words)), key=lambda i: (z[i], words[i])) if z[i] > bound)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:

@@ -358,6 +358,18 @@ def test_toxicity(spark, odd, none):
     assert toxicity.fit(toxicity.training_rows(odd, no_label)).constant == 0.0
 
 
+def test_toxicity_dictionary_holds_all_evidence():
+    """More telling words than 128 bytes; the least telling still saves bytes."""
+    bad = [b"vileword%03d" % k for k in range(400)]
+    ours, theirs = Counter({w: 50 + k % 40 for k, w in enumerate(bad)}), Counter()
+    for k in range(400):
+        ours[b"usual%03d" % k] = theirs[b"usual%03d" % k] = 60
+    got = toxicity.dictionary(ours, 100, theirs, 100)
+    assert set(got.split()) == set(bad)
+    for w in (bad[0], bad[-1], got.split()[0]):
+        assert toxicity.features([b"so many say " + w + b" to them"], got, b"")[0, 0] >= 4
+
+
 # 8
 
 
