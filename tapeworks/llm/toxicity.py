@@ -11,9 +11,11 @@ show.  A text's features (best, mean and top savings, their spread over windows)
 become a score by logistic weights and a threshold calibrated on labelled rows
 that took no part in training the dictionaries.
 
-Only the fit works on a sample: at most ``FIT_ROWS`` texts of each label, those
-with the lowest hash of doc_id, at most ``FIT_CHARS`` characters of each.  Scoring
-takes every window of every whole text, in one pass without a shuffle.
+Only the fit works on a sample of rows: at most ``FIT_ROWS`` labels of each kind,
+those with the lowest hash of doc_id, with whole texts.  Words and features of
+these are made in tasks; the driver gets counts, the dictionaries' words and a few
+numbers for each row.  Scoring takes every window of every whole text, in one pass
+without a shuffle.
 
 Defined cases: null or empty text scores as one empty window; labels that are
 null and rows without a label or text don't take part in the fit; a doc_id with
@@ -34,12 +36,12 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tapeworks.llm.common import table
+from tapeworks.llm.common import stored, table
 from tapeworks.llm.registry import query
 
 FIT_ROWS = 2500
-FIT_CHARS = 10_000
 WINDOW = 256  # bytes
 OVERLAP = 16
 PAD = b"\0" * 100
@@ -93,7 +95,12 @@ def features(texts: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
     return out
 
 
-def dictionary(ours: Counter, n: int, theirs: Counter, m: int) -> bytes:
+def bound(tested: int) -> float:
+    """What the largest of so many standard normal draws is expected to stay below."""
+    return np.sqrt(2 * np.log(max(2, tested)))
+
+
+def dictionary(ours: Counter, n: int, theirs: Counter, m: int, tested: int | None = None) -> bytes:
     """The words whose document shares differ by more standard errors than the
     largest of as many words without a difference is expected to."""
     words = [w for w, c in ours.items() if c > 2 and len(w) > 1]
@@ -101,8 +108,8 @@ def dictionary(ours: Counter, n: int, theirs: Counter, m: int) -> bytes:
     b = np.array([theirs[w] for w in words], float)
     p = (a + b) / (n + m)
     z = (a / n - b / m) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n + 1 / m))
-    bound = np.sqrt(2 * np.log(max(2, len(words))))
-    return b"".join(b" " + words[i] + b" " for i in sorted(range(len(words)), key=lambda i: (z[i], words[i])) if z[i] > bound)
+    least = bound(len(words) if tested is None else tested)
+    return b"".join(b" " + words[i] + b" " for i in sorted(range(len(words)), key=lambda i: (z[i], words[i])) if z[i] > least)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -118,24 +125,61 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def fit(sample: list[tuple[bytes, int]]) -> Model:
-    """From (text, label) rows in a fixed order: every third row calibrates."""
+def counted(learn: DataFrame) -> DataFrame:
+    """(word, c0, c1): texts of either label that have the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count = {0: Counter(), 1: Counter()}
+            for t, y in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist()):
+                count[y].update(set(WORD.findall(t.as_py().lower())))
+            words = list(count[0] | count[1])
+            yield pa.record_batch([pa.array(words, pa.binary()), *(pa.array([count[y][w] for w in words], pa.int64()) for y in (0, 1))], names=["word", "c0", "c1"])
+
+    each = learn.select("text", "toxic").mapInArrow(run, "word binary, c0 bigint, c1 bigint")
+    return each.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def dictionaries(words: DataFrame, n: dict[int, int]) -> list[bytes]:
+    """``dictionary`` of toxic and of ordinary text; only words within reach of
+    the bound come to the driver."""
+    out = []
+    for y in (1, 0):
+        ours, theirs = F.col(f"c{y}"), F.col(f"c{1 - y}")
+        own = words.where((ours > 2) & (F.octet_length("word") > 1))
+        tested = own.count()
+        p = (ours + theirs) / F.lit(float(n[0] + n[1]))
+        z = (ours / F.lit(float(n[y])) - theirs / F.lit(float(n[1 - y]))) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n[0] + 1 / n[1]))
+        got = own.where(z > float(bound(tested)) - 1e-6).select("word", ours.alias("a"), theirs.alias("b")).collect()
+        out.append(dictionary(Counter({bytes(r.word): r.a for r in got}), n[y], Counter({bytes(r.word): r.b for r in got}), n[1 - y], tested))
+    return out
+
+
+def measured(hold: DataFrame, toxic: bytes, ordinary: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the calibration rows, in a fixed order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = features([t.as_py() for t in b.column(2).cast(pa.binary())], toxic, ordinary)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["_id", "toxic", "x"])
+
+    got = sorted((r._id, r.toxic, r.x) for r in hold.select("_id", "toxic", "text").mapInArrow(run, "_id bigint, toxic int, x array<double>").collect())
+    return np.array([r[2] for r in got]), np.array([r[1] for r in got], float)
+
+
+def fit(sample: DataFrame) -> Model:
+    """From ``training_rows``: every third label calibrates."""
     none = np.zeros(0)
-    labels = {y for _, y in sample}
+    rows = {(r.toxic, r.hold): r["count"] for r in sample.groupBy("toxic", "hold").count().collect()}
+    labels = {y for y, _ in rows}
     if labels != {0, 1}:
         return Model(b"", b"", none, none, none, 1.0 if labels == {1} else 0.0)
-    seen = Counter()
-    learn, hold = [], []
-    for t, y in sample:
-        (hold if seen[y] % 3 == 2 else learn).append((t, y))
-        seen[y] += 1
-    hold = hold if {y for _, y in hold} == {0, 1} else learn
-    count, n = {0: Counter(), 1: Counter()}, Counter(y for _, y in learn)
-    for t, y in learn:
-        count[y].update(set(WORD.findall(t.lower())))
-    toxic, ordinary = dictionary(count[1], n[1], count[0], n[0]), dictionary(count[0], n[0], count[1], n[1])
-    x = features([t for t, _ in hold], toxic, ordinary)
-    y = np.array([v for _, v in hold], float)
+    learn, hold = sample.where("not hold"), sample.where("hold")
+    learn = learn if {(0, False), (1, False)} <= set(rows) else sample
+    hold = hold if {(0, True), (1, True)} <= set(rows) else learn
+    n = {r.toxic: r["count"] for r in learn.groupBy("toxic").count().collect()}
+    toxic, ordinary = dictionaries(stored(counted(learn), "words"), n)
+    x, y = measured(hold, toxic, ordinary)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     w = logistic((x - mean) / scale, y)
     # the threshold with the best F1 on the calibration rows becomes 0.5
@@ -149,15 +193,18 @@ def fit(sample: list[tuple[bytes, int]]) -> Model:
     return Model(toxic, ordinary, mean, scale, w)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[bytes, int]]:
-    """The bounded sample: rows with crc32(doc_id) mod 5 other than 0."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """_id, toxic, text (whole) and hold of the sample: a bounded number of
+    labels with crc32(doc_id) mod 5 other than 0."""
     l = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
     ids = l.where(F.crc32(F.col("_id").cast("string")) % 5 != 0).withColumn("_h", F.xxhash64("_id"))
     picked = [ids.where(F.col("toxic") == y).orderBy("_h", "_id").limit(rows) for y in (1, 0)]
     chosen = picked[0].union(picked[1])
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.substring(F.col("text").cast("string"), 1, FIT_CHARS).alias("text")).where("text is not null")
-    got = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_h", "_id", "text", "toxic").distinct().collect()
-    return [(r.text.encode(), r.toxic) for r in sorted(got, key=lambda r: (r._h, r._id, r.text))]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("text").cast("string").alias("text")).where("text is not null")
+    got = stored(texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_h", "_id", "toxic", "text").distinct(), "sample")
+    order = Window.partitionBy("toxic").orderBy("_h", "_id")
+    kept = got.select("toxic", "_h", "_id").distinct().withColumn("hold", F.row_number().over(order) % 3 == 0)
+    return got.join(F.broadcast(kept.select("toxic", "_id", "hold")), ["toxic", "_id"]).select("_id", "toxic", "text", "hold")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

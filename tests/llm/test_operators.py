@@ -370,6 +370,20 @@ def test_toxicity_dictionary_holds_all_evidence():
         assert toxicity.features([b"so many say " + w + b" to them"], got, b"")[0, 0] >= 4
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Toxic passages that begin after 12,000 characters, and longer windows."""
+    rng = random.Random(9)
+    plain = lambda n: " ".join(f"p{rng.randrange(300)}" for _ in range(n))
+    data = [(k, plain(3000) + (" vileword nastyword " + plain(20) if k % 2 else plain(20)), k % 2) for k in range(240)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, toxic int").repartition(4)
+    sample = toxicity.training_rows(docs, docs)
+    assert {len(r.text) for r in sample.collect()} <= {len(t) for _, t, _ in data} and sample.count() > 100
+    model = toxicity.fit(sample)
+    assert {b"vileword", b"nastyword"} <= set(model.toxic.split())
+    out = toxicity.score(docs, model).join(docs, "doc_id").where("held_out").collect()
+    assert out and all(r.predicted == r.toxic for r in out)
+
+
 # 8
 
 
