@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["pieces", "lines", "contamination", "repeats", "pitman_yor", "pseudonyms", "toxicity", "simhash", "idfiles", "warc", "hashtree", "periods"]
+MODULES = ["pieces", "lines", "contamination", "repeats", "pitman_yor", "pseudonyms", "toxicity", "simhash", "idfiles", "warc", "hashtree", "turns", "periods"]
 
 
 def query(name: str, sql: str | None = None):

@@ -578,5 +578,5 @@ def test_registered():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     assert json.dumps(sorted(e.oracle_sql()))
