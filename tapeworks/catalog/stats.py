@@ -9,6 +9,7 @@ from tapeworks.catalog.base import bar_series, r
 from tapeworks.catalog.joins import ALIGN, aligned
 from tapeworks.catalog.risk import panel
 from tapeworks.catalog.sql import ASSET, BARS, R, SERIES, full, over
+from tapeworks.operators import regimes as H
 from tapeworks.operators import stats as Z
 from tapeworks.plans.pairs import corr, pair_sums
 from tapeworks.plans.series import IDX, Series
@@ -118,6 +119,45 @@ def m17(spark, sf):
     return Z.garch_forecast(gfit(spark, sf), ["symbol"], 10).select("symbol", "step", r("variance", 6).alias("variance"))
 
 
+# one iteration of a two-state model: forward and backward recursions, row by row
+HMM = f"""{LR}, rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r, t) - 1 AS j, count(*) OVER (PARTITION BY symbol) AS n FROM lr),
+pt AS (SELECT symbol, CASE WHEN j < (n % 2) * (n // 2 + 1) THEN j // (n // 2 + 1) ELSE n % 2 + (j - (n % 2) * (n // 2 + 1)) // (n // 2) END AS part, avg(r) AS mu, stddev_pop(r) + 1e-8 AS sd FROM rk WHERE n >= 4 GROUP BY 1, 2),
+pp AS (SELECT symbol, max(mu) FILTER (part = 0) AS u1, max(mu) FILTER (part = 1) AS u2, max(sd) FILTER (part = 0) AS s1, max(sd) FILTER (part = 1) AS s2 FROM pt GROUP BY 1),
+em AS MATERIALIZED (SELECT symbol, i, r, u1, u2, exp(-0.5 * pow((r - u1) / s1, 2)) / (s1 * sqrt(2 * pi())) AS b1, exp(-0.5 * pow((r - u2) / s2, 2)) / (s2 * sqrt(2 * pi())) AS b2, max(i) OVER (PARTITION BY symbol) AS n FROM lr JOIN pp USING (symbol)),
+fw AS (SELECT symbol, i, 0.5 * b1 / (0.5 * b1 + 0.5 * b2) AS a1, 0.5 * b2 / (0.5 * b1 + 0.5 * b2) AS a2, ln(0.5 * b1 + 0.5 * b2) AS l FROM em WHERE i = 1
+  UNION ALL SELECT symbol, i, x1 / (x1 + x2), x2 / (x1 + x2), ln(x1 + x2) FROM (SELECT em.symbol, em.i, (0.8 * a1 + 0.2 * a2) * b1 AS x1, (0.2 * a1 + 0.8 * a2) * b2 AS x2 FROM fw JOIN em ON em.symbol = fw.symbol AND em.i = fw.i + 1)),
+bw AS (SELECT symbol, i, 0.5::DOUBLE AS v1, 0.5::DOUBLE AS v2 FROM em WHERE i = n
+  UNION ALL SELECT symbol, i, y1 / (y1 + y2), y2 / (y1 + y2) FROM (SELECT em.symbol, em.i - 1 AS i, 0.8 * b1 * v1 + 0.2 * b2 * v2 AS y1, 0.2 * b1 * v1 + 0.8 * b2 * v2 AS y2 FROM bw JOIN em ON em.symbol = bw.symbol AND em.i = bw.i WHERE em.i > 1)),
+gm AS (SELECT em.*, l, a1 * v1 / (a1 * v1 + a2 * v2) AS g1, a2 * v2 / (a1 * v1 + a2 * v2) AS g2, v1, v2, lag(a1) OVER w AS p1, lag(a2) OVER w AS p2 FROM em JOIN fw USING (symbol, i) JOIN bw USING (symbol, i) WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+xi AS (SELECT symbol, sum(0.8 * p1 * b1 * v1 / z) AS x11, sum(0.2 * p1 * b2 * v2 / z) AS x12, sum(0.2 * p2 * b1 * v1 / z) AS x21, sum(0.8 * p2 * b2 * v2 / z) AS x22 FROM (SELECT *, 0.8 * p1 * b1 * v1 + 0.2 * p1 * b2 * v2 + 0.2 * p2 * b1 * v1 + 0.8 * p2 * b2 * v2 AS z FROM gm WHERE p1 IS NOT NULL) GROUP BY 1),
+ms AS (SELECT symbol, count(*) AS n, sum(l) AS ll, sum(g1 * r) / sum(g1) AS m1, sum(g2 * r) / sum(g2) AS m2, sum(g1) AS c1, sum(g2) AS c2, max(g1) FILTER (i = 1) AS start_1 FROM gm GROUP BY 1),
+vs AS (SELECT symbol, sqrt(sum(g1 * pow(r - m1, 2)) / max(c1)) + 1e-8 AS d1, sqrt(sum(g2 * pow(r - m2, 2)) / max(c2)) + 1e-8 AS d2 FROM gm JOIN ms USING (symbol) GROUP BY 1)"""
+
+
+@query(
+    "m11_hmm_step",
+    f"WITH RECURSIVE {BARS}, {HMM} SELECT symbol, ms.n, {R('ll', 5)} AS log_likelihood, {R('start_1', 6)} AS start_1, {R('x11 / (x11 + x12)', 6)} AS stay_1, {R('x22 / (x21 + x22)', 6)} AS stay_2, {R('m1', 6)} AS mean_1, {R('m2', 6)} AS mean_2, {R('d1', 6)} AS sd_1, {R('d2', 6)} AS sd_2 FROM ms JOIN vs USING (symbol) JOIN xi USING (symbol)",
+)
+def m11s(spark, sf):
+    """One iteration of a two-state model over chunks of 64 rows."""
+    s = log_returns(spark, sf)
+    size = s.rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    first = H.starts(s, "r", [2], stay=0.8).select("symbol", "states", "theta", F.lit(None).cast("double").alias("ll"), F.lit(0).alias("rounds"))
+    x = H.step(H.chunked(s, "r", 64), first, ["symbol"]).join(size, "symbol")
+    at = lambda k: r(F.get("theta", F.lit(k)), 6)
+    return x.select("symbol", "n", r("ll", 5).alias("log_likelihood"), *[at(k).alias(n) for k, n in ((0, "start_1"), (2, "stay_1"), (5, "stay_2"), (6, "mean_1"), (7, "mean_2"), (8, "sd_1"), (9, "sd_2"))])
+
+
+@query("m11_hmm_regimes")
+def m11(spark, sf):
+    """Fitted regimes: state count by BIC, and the share of rows in each state."""
+    rows, models = H.regimes(log_returns(spark, sf), "r", max_states=4)
+    share = rows.groupBy("symbol", "states", "state").agg(F.count(F.lit(1)).alias("rows"))
+    x = share.join(models.select("symbol", "theta", "ll", "score"), "symbol", "left")
+    mean, dev = (F.get("theta", (k + c("state")).cast("int")) for k in (c("states") + c("states") * c("states"), 2 * c("states") + c("states") * c("states")))
+    return x.select("symbol", "states", "state", "rows", r(mean, 6).alias("mean"), r(dev, 6).alias("sd"), r("ll", 4).alias("log_likelihood"), r("score", 4).alias("bic"))
+
+
 def _kalman_sql() -> str:
     return f"""WITH RECURSIVE {BARS}, gk AS (SELECT 1 AS n, CAST(1.01 / 2.01 AS DOUBLE) AS k, CAST((1 - 1.01 / 2.01) * 1.01 AS DOUBLE) AS p UNION ALL SELECT n + 1, (p + 0.01) / (p + 1.01), (1 - (p + 0.01) / (p + 1.01)) * (p + 0.01) FROM gk WHERE n < 500), q AS MATERIALIZED (SELECT symbol, t, i, close, k FROM bar LEFT JOIN gk ON n = i - 1),
 f AS (SELECT symbol, t, i, close AS y FROM q WHERE i = 1 UNION ALL SELECT q.symbol, q.t, q.i, f.y + q.k * (q.close - f.y) FROM f JOIN q ON q.symbol = f.symbol AND q.i = f.i + 1) SELECT symbol, t, {R('y')} AS trend FROM f"""
@@ -128,6 +168,24 @@ def m12(spark, sf):
     return Z.local_level(bar_series(spark, sf), "close").df.select("symbol", "t", r("trend").alias("trend"))
 
 
+def _hedge_sql() -> str:
+    # a, b, d: covariance, e: its determinant (kept apart, so nothing cancels)
+    pred = "a + 1e-5 AS a, b, d + 1e-5 AS d, e + 1e-5 * (a + d) + 1e-10 AS e"
+    step = "SELECT p, q, t, i, y, x, m0, m1, a, b, d, e, a + 2 * x * b + x * x * d + 0.01 AS s"
+    upd = "m0 + (a + x * b) / s * (y - m0 - m1 * x) AS m0, m1 + (b + x * d) / s * (y - m0 - m1 * x) AS m1, (x * x * e + 0.01 * a) / s AS a, (0.01 * b - x * e) / s AS b, (e + 0.01 * d) / s AS d, 0.01 * e / s AS e"
+    return f"""WITH RECURSIVE {BARS}, {ALIGN}, q AS MATERIALIZED (SELECT a AS p, b AS q, t, ca AS y, cb AS x, row_number() OVER (PARTITION BY a, b ORDER BY t) AS i, count(*) OVER (PARTITION BY a, b) AS n FROM al),
+f AS (SELECT p, q, t, i, {upd} FROM ({step} FROM (SELECT p, q, t, i, y, x, 0.0::DOUBLE AS m0, 1.0::DOUBLE AS m1, {pred} FROM (SELECT *, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS d, 1.0::DOUBLE AS e FROM q WHERE i = 1)))
+UNION ALL SELECT p, q, t, i, {upd} FROM ({step} FROM (SELECT q.p, q.q, q.t, q.i, q.y, q.x, m0, m1, {pred} FROM f JOIN q ON q.p = f.p AND q.q = f.q AND q.i = f.i + 1)))
+SELECT f.p AS a, f.q AS b, f.t, {R('CASE WHEN n < 10 THEN 1 ELSE m1 END', 6)} AS hedge_ratio, {R('CASE WHEN n < 10 THEN 0 ELSE m0 END', 4)} AS intercept FROM f JOIN q ON q.p = f.p AND q.q = f.q AND q.i = f.i"""
+
+
+@query("m12_hedge_ratio", _hedge_sql())
+def m12h(spark, sf):
+    """Slope and intercept at each bar of every instrument pair."""
+    s = Z.hedge_ratio(Series.of(aligned(spark, sf), ["a", "b"], ["t"]), "ca", "cb")
+    return s.df.select("a", "b", "t", r("hedge_ratio", 6).alias("hedge_ratio"), r("intercept").alias("intercept"))
+
+
 @query(
     "m14_haar_energy",
     f"WITH {BARS}, l0 AS (SELECT symbol, i - 1 AS i, close AS v FROM bar), "

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.plans.recur import Affine
+from tapeworks.plans.recur import Affine, Filter
 from tapeworks.plans.series import IDX, Series
 
 c = lambda n: F.col(n)
@@ -169,6 +169,34 @@ def local_level(s: Series, col: str, q: float = 1e-2, r_: float = 1.0) -> Series
     return s.scan(Affine("trend", coef))
 
 
+def hedge_ratio(s: Series, y: str, x: str, q: float = 1e-5, r_: float = 1e-2, least: int = 10) -> Series:
+    """Intercept and slope of y on x as two random walks (variance ``q`` a step,
+    ``r_`` of an observation), filtered row by row from intercept 0, slope 1 and
+    unit covariance.  The covariance depends on x, so there is no gain table:
+    each row is a map of (mean, covariance), and maps compose (recur.Filter).
+    Series of fewer than ``least`` rows keep slope 1 and intercept 0.
+    """
+    def coef(v, i):
+        a, b = v[y], v[x]
+        first = i == 1
+        p = np.where(first, 1 + q, q)             # predicted variance of what is new
+        d = p * (1 + b * b) + r_
+        z = np.zeros(len(i))
+        later = lambda value: np.where(first, 0.0, value)
+        k0, k1, gap = p / d, p * b / d, np.where(first, a - b, a)
+        # differences such as 1 - p / d are written as sums of positive terms
+        keep0, keep1, cross = (p * b * b + r_) / d, (p + r_) / d, -p * b / d
+        return (
+            later(keep0), later(cross), later(cross), later(keep1), k0 * gap, np.where(first, 1.0, 0.0) + k1 * gap,
+            p * keep0, p * cross, p * keep1, later(a / d), later(a * b / d), later(1 / d) + z, later(b / d), later(b * b / d),
+        )
+
+    s = s.totals(_n=F.count(F.lit(1))).scan(Filter("_icpt", coef, ("_slope",)))
+    enough = c("_n") >= least
+    s = s.mutate(hedge_ratio=F.when(enough, c("_slope")).otherwise(1.0), intercept=F.when(enough, c("_icpt")).otherwise(0.0))
+    return s._with(s.rows.drop("_n", "_icpt", "_slope"))
+
+
 def haar_energy(s: Series, col: str, levels: int) -> DataFrame:
     """Energy of the Haar details per level: each level pairs neighbours by
     index, so it is a grouped sum over half as many rows."""

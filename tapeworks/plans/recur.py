@@ -5,6 +5,9 @@
 * affine        ``y -> a*y + b``            (averages, filters, decays)
 * affine pair   ``(y, z) -> M (y, z) + v``  (second-order filters)
 * clamp         ``y -> min(hi, max(lo, y))``  (trailing bands)
+* filter        ``(m, P) -> (A (I + P J)^-1 (m + P e) + b, A (I + P J)^-1 P A' + C)``
+                (mean and covariance of a two-state linear filter, whose Riccati
+                step is linear-fractional; this form composes without growing)
 
 so a task computes the composition of its own rows, a slice of a series is
 summarised by one small tuple, and summaries are carried forward between
@@ -63,7 +66,26 @@ class Clamp:
     warm: int = 0
 
 
-Step = Calc | Affine | AffinePair | Clamp
+@dataclass(frozen=True)
+class Filter:
+    """Mean and covariance of two hidden states after each observation.
+
+    ``coef`` returns A00, A01, A10, A11, b0, b1, C00, C01, C11, e0, e1, J00, J01,
+    J11; the first row of a series has A, e and J 0.  ``out`` is the first mean,
+    ``more`` names the second and then P00, P01, P11, as far as it goes.
+    """
+
+    out: str
+    coef: Callable[[Cols, np.ndarray], tuple[np.ndarray, ...]]
+    more: tuple[str, ...] = ()
+    warm: int = 0
+
+
+Step = Calc | Affine | AffinePair | Clamp | Filter
+
+
+def _outs(s: Step) -> list[str]:
+    return [s.out, *getattr(s, "more", ())]
 
 
 def ema(out: str, src: str | Callable[[Cols], np.ndarray], n: int, skip: int = 0, k: float | None = None) -> Affine:
@@ -107,10 +129,48 @@ def _clamp(p, q):
     return np.minimum(hi, np.maximum(lo, p[0])), np.minimum(hi, np.maximum(lo, p[1]))
 
 
+def _bend(c00, c01, c11, j00, j01, j11):
+    """(I + C J)^-1 for symmetric 2 x 2 matrices."""
+    d00, d01 = 1 + c00 * j00 + c01 * j01, c00 * j01 + c01 * j11
+    d10, d11 = c01 * j00 + c11 * j01, 1 + c01 * j01 + c11 * j11
+    det = d00 * d11 - d01 * d10
+    return d11 / det, -d01 / det, -d10 / det, d00 / det
+
+
+def _mul(p, q):
+    return p[0] * q[0] + p[1] * q[2], p[0] * q[1] + p[1] * q[3], p[2] * q[0] + p[3] * q[2], p[2] * q[1] + p[3] * q[3]
+
+
+def _moved(a, b, c, inv, m0, m1, p00, p01, p11, e0, e1):
+    """Mean and covariance (m, P) after a map with A, b, C, e."""
+    g = _mul(a, inv)
+    n0, n1 = m0 + p00 * e0 + p01 * e1, m1 + p01 * e0 + p11 * e1
+    k = _mul(g, (p00, p01, p01, p11))
+    return (
+        g[0] * n0 + g[1] * n1 + b[0], g[2] * n0 + g[3] * n1 + b[1],
+        k[0] * a[0] + k[1] * a[1] + c[0], k[0] * a[2] + k[1] * a[3] + c[1], k[2] * a[2] + k[3] * a[3] + c[2],
+    )
+
+
+def _filter(p, q):
+    a, b, (c00, c01, c11), (e0, e1), (j00, j01, j11) = p[:4], p[4:6], p[6:9], p[9:11], p[11:]
+    f0, f1, (k00, k01, k11) = q[9], q[10], q[11:]
+    inv = _bend(c00, c01, c11, k00, k01, k11)
+    w = _mul(inv, a)
+    u0, u1 = f0 - k00 * b[0] - k01 * b[1], f1 - k01 * b[0] - k11 * b[1]
+    ja = _mul((k00, k01, k01, k11), a)
+    return (
+        *_mul(_mul(q[:4], inv), a), *_moved(q[:4], q[4:6], q[6:9], inv, b[0], b[1], c00, c01, c11, f0, f1),
+        w[0] * u0 + w[2] * u1 + e0, w[1] * u0 + w[3] * u1 + e1,
+        w[0] * ja[0] + w[2] * ja[2] + j00, w[0] * ja[1] + w[2] * ja[3] + j01, w[1] * ja[1] + w[3] * ja[3] + j11,
+    )
+
+
 _RULES = {
     Affine: (_affine, (1.0, 0.0)),
     AffinePair: (_pair, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)),
     Clamp: (_clamp, (-np.inf, np.inf)),
+    Filter: (_filter, (1.0, 0.0, 0.0, 1.0, *(0.0,) * 10)),
 }
 
 
@@ -139,10 +199,13 @@ def _value(kind, maps, carry):
         return (maps[0] * carry[0] + maps[1],)
     if kind is AffinePair:
         return (maps[0] * carry[0] + maps[1] * carry[1] + maps[4], maps[2] * carry[0] + maps[3] * carry[1] + maps[5])
+    if kind is Filter:
+        inv = _bend(*carry[2:], *maps[11:])
+        return _moved(maps[:4], maps[4:6], maps[6:9], inv, *carry, maps[9], maps[10])
     return (np.minimum(maps[1], np.maximum(maps[0], carry[0])),)
 
 
-_NSTATE = {Affine: 1, AffinePair: 2, Clamp: 1}
+_NSTATE = {Affine: 1, AffinePair: 2, Clamp: 1, Filter: 5}
 
 
 class _Lazy(dict):
@@ -180,7 +243,7 @@ def run_plain(df: DataFrame, idx: str, steps) -> DataFrame:
     """Whole series lie in one partition, in order (row number ``idx``): one
     streaming pass over Arrow batches keeps one small state per step."""
     steps = list(steps)
-    outs = [s.out for s in steps]
+    outs = [o for s in steps for o in _outs(s)]
 
     def go(batches):
         last_i = None
@@ -218,8 +281,9 @@ def run_plain(df: DataFrame, idx: str, steps) -> DataFrame:
                             st[lo:hi] = g
                 carry[s.out] = tuple(st[-1] for st in state)
                 warm = i <= s.warm
-                cols[s.out] = np.where(warm, np.nan, state[0])
-                arrays.append(_null_nan(state[0], warm))
+                for o, st in zip(_outs(s), state):
+                    cols[o] = np.where(warm, np.nan, st)
+                    arrays.append(_null_nan(st, warm))
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names + outs)
 
     return df.mapInArrow(go, _schema(df, outs))
@@ -316,6 +380,9 @@ def _one_blocked(df, keys, block, order, idx, s, cut):
     before = ends.groupBy(*keys).applyInArrow(carry, schema)
     got = rows.join(before, [*keys, block])
     c = F.col
+    if kind is Filter:
+        ys = _value(kind, tuple(c(n) for n in names), tuple(c(n) for n in carried))
+        return got.withColumns({o: F.when(c(idx) > s.warm, y) for o, y in zip(_outs(s), ys)}).drop(*names, *carried)
     if kind is Affine:
         y = c("_m0") * c("_s0") + c("_m1")
     elif kind is AffinePair:
