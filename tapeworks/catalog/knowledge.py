@@ -8,6 +8,8 @@ from tapeworks.catalog.base import bar_series, r
 from tapeworks.catalog.scalars import EP, episodes
 from tapeworks.catalog.sql import ASSET, R, TICK, TRADE
 from tapeworks.functions import scalars as X
+from tapeworks.operators import episodes as E
+from tapeworks.operators import fronts as P
 from tapeworks.operators import knowledge as N
 from tapeworks.plans.series import IDX, Series
 from tapeworks.sources import market
@@ -126,17 +128,38 @@ VEC = "vv AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x A
 COS = lambda a, b: f"list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
 
+# episodes: each vector, and two blends with the next one of its type (0.97 and 0.94 alike)
+BLEND = (0.0, 0.25, 0.35)
+EPI = f"""{VEC}, nx AS (SELECT label, vec_id, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM vv),
+ep AS (SELECT label, vec_id * 3 + (vec_id + k) % 3 AS id, list_transform(range(1, len(v) + 1), lambda e: CAST(v[e] AS DOUBLE) + f * CAST(w[e] AS DOUBLE)) AS v FROM nx, (VALUES {', '.join(f'({k}, {f}::DOUBLE)' for k, f in enumerate(BLEND))}) b(k, f) WHERE w IS NOT NULL),
+pr AS (SELECT b.label, b.id, list(a.id) AS near FROM ep a JOIN ep b ON a.label = b.label AND a.id < b.id WHERE {COS('a.v', 'b.v')} >= 0.95 GROUP BY 1, 2),
+od AS (SELECT ep.label, ep.id, coalesce(near, []) AS near, row_number() OVER (PARTITION BY ep.label ORDER BY ep.id) AS i FROM ep LEFT JOIN pr USING (label, id)),
+gr AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS heads FROM od UNION ALL SELECT od.label, od.i, CASE WHEN list_has_any(near, heads) THEN heads ELSE list_append(heads, id) END FROM gr JOIN od ON od.label = gr.label AND od.i = gr.i + 1),
+hd AS (SELECT label, arg_max(heads, i) AS heads FROM gr GROUP BY 1),
+ld AS (SELECT label, id, coalesce(list_min(list_intersect(near, heads)), id) AS leader FROM od JOIN hd USING (label))"""
+
+
+def vector_episodes(spark, sf):
+    v = market.table(spark, sf, "embeddings").select("label", "vec_id", c("embedding").cast("array<double>").alias("v"))
+    nx = Series.of(v, ["label"], ["vec_id"]).bounded(0, {"w": lambda w: w.lead("v")}, ahead=1).df.where("w is not null")
+    b = nx.select("label", "vec_id", "v", "w", F.posexplode(F.array(*[F.lit(f) for f in BLEND])).alias("k", "f"))
+    i = c("vec_id") * 3 + (c("vec_id") + c("k")) % 3
+    x = b.select("label", i.alias("id"), F.zip_with("v", "w", lambda p, q: p + c("f") * q).alias("v"))
+    pnl, slip = F.create_map(F.lit("pnl"), (c("id") % 17 - 8) / 10.0), F.create_map(F.lit("slip"), (c("id") % 5) / 10.0)
+    tags = F.array(F.concat(F.lit("t"), (c("id") % 4).cast("string")), F.concat(F.lit("k"), (c("id") % 3).cast("string")))
+    return x.withColumns({"outcomes": F.when(c("id") % 3 == 0, F.map_concat(pnl, slip)).otherwise(pnl), "tags": tags, "replays": c("id") % 3})
+
+
 @query(
     "a45_merge_similar",
-    f"""WITH {VEC}, ld AS (SELECT label, min(vec_id) AS lid, arg_min(v, vec_id) AS lv FROM vv GROUP BY 1), j AS (SELECT vec_id, label, CASE WHEN {COS('v', 'lv')} >= 0.2 THEN lid ELSE vec_id END AS leader FROM vv JOIN ld USING (label))
-SELECT label, leader, count(*) AS members, CAST(sum(vec_id) AS BIGINT) AS id_sum FROM j GROUP BY 1, 2""",
+    f"""WITH RECURSIVE {EPI}, tg AS (SELECT label, leader, string_agg(DISTINCT t, ',' ORDER BY t) AS tags FROM (SELECT label, leader, unnest(['t' || id % 4, 'k' || id % 3]) AS t FROM ld) GROUP BY 1, 2)
+SELECT label, leader, count(*) AS members, CAST(sum(id % 3) AS BIGINT) AS replays, tags, {R('avg((id % 17 - 8) / 10.0)', 6)} AS pnl, CASE WHEN leader % 3 = 0 THEN {R('sum(CASE WHEN id % 3 = 0 THEN id % 5 / 10.0 ELSE 0 END) / count(*)', 6)} END AS slip FROM ld JOIN tg USING (label, leader) GROUP BY label, leader, tags""",
 )
 def a45(spark, sf):
-    """Episodes near their group's first episode are merged into it."""
-    v = market.table(spark, sf, "embeddings")
-    lead = v.groupBy("label").agg(F.min("vec_id").alias("leader_id"), F.min_by("embedding", "vec_id").alias("leader_vec"))
-    x = N.near_merge(v, "label", lead, 0.2)
-    return x.groupBy("label", "leader").agg(F.count(F.lit(1)).alias("members"), F.sum("vec_id").alias("id_sum"))
+    """Episodes join the first similar leader before them; outcomes are averaged."""
+    e = vector_episodes(spark, sf)
+    g = E.merged(e, E.leaders(e.select("label", "id", "v"), "label", "id", "v"), "label", "id", "outcomes", "tags", "replays")
+    return g.select("label", "leader", "members", "replays", F.array_join("tags", ",").alias("tags"), r(F.try_element_at("outcomes", F.lit("pnl")), 6).alias("pnl"), r(F.try_element_at("outcomes", F.lit("slip")), 6).alias("slip"))
 
 
 CEN = f"{VEC}, up AS (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS p FROM vv), mn AS (SELECT label, p, avg(x) AS m FROM up GROUP BY 1, 2), ce AS (SELECT label, list(m ORDER BY p) AS ce FROM mn GROUP BY 1), sm AS (SELECT vec_id, label, {COS('v', 'ce')} AS sim FROM vv JOIN ce USING (label))"
@@ -292,8 +315,46 @@ def x35(spark, sf):
     return N.dependents(e)
 
 
-@query("a56_pareto_front", f"WITH {TRADE}, s AS (SELECT strategy_id, venue, side, avg(pnl) AS ret, -stddev_pop(pnl) AS risk, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS win FROM trade GROUP BY 1, 2, 3) SELECT strategy_id, venue, side, {R('ret')} AS ret, {R('risk')} AS risk, {R('win', 6)} AS win FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.ret >= a.ret AND b.risk >= a.risk AND b.win >= a.win AND (b.ret > a.ret OR b.risk > a.risk OR b.win > a.win))")
+GOALS = {"ret": 4, "risk": 4, "win": 6, "pace": 4, "size": 4}
+OPT = f"""{TRADE}, s AS (SELECT symbol, venue, side, {R('avg(pnl)')} AS ret, {R('-stddev_pop(pnl)')} AS risk, {R('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END)', 6)} AS win, {R('-avg(hours)')} AS pace, {R('avg(qty)')} AS size FROM trade GROUP BY 1, 2, 3)"""
+BEATS = " AND ".join(f"a.{g} >= b.{g}" for g in GOALS) + " AND (" + " OR ".join(f"a.{g} > b.{g}" for g in GOALS) + ")"
+
+
+def options(spark, sf):
+    """Five goals of each (symbol, venue, side), all to be large."""
+    one = {"ret": F.avg("pnl"), "risk": -F.stddev_pop("pnl"), "win": F.avg(F.when(c("pnl") > 0, 1.0).otherwise(0.0)), "pace": -F.avg("hours"), "size": F.avg("qty")}
+    return market.trades(spark, sf).groupBy("symbol", "venue", "side").agg(*[r(v, GOALS[g]).alias(g) for g, v in one.items()])
+
+
+@query("a56_pareto_front", f"WITH {OPT} SELECT b.* FROM s b WHERE NOT EXISTS (SELECT 1 FROM s a WHERE {BEATS})")
 def a56(spark, sf):
-    """First front: each task keeps its own front, fronts meet in fewer tasks."""
-    s = market.trades(spark, sf).groupBy("strategy_id", "venue", "side").agg(F.avg("pnl").alias("ret"), (-F.stddev_pop("pnl")).alias("risk"), F.avg(F.when(c("pnl") > 0, 1.0).otherwise(0.0)).alias("win"))
-    return N.front(s, ["ret", "risk", "win"]).select("strategy_id", "venue", "side", r("ret").alias("ret"), r("risk").alias("risk"), r("win", 6).alias("win"))
+    """First front of five goals."""
+    return P.fronts(options(spark, sf), list(GOALS)).where("front = 1").drop("front")
+
+
+@query(
+    "a56_front_ranks",
+    f"WITH RECURSIVE {OPT}, ids AS (SELECT *, row_number() OVER (ORDER BY symbol, venue, side) AS id FROM s), dm AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM ids a JOIN ids b ON {BEATS}), ch AS (SELECT id, 1 AS front FROM ids UNION SELECT dm.b, front + 1 FROM ch JOIN dm ON dm.a = ch.id) SELECT symbol, venue, side, CAST(max(front) AS BIGINT) AS front FROM ch JOIN ids USING (id) GROUP BY 1, 2, 3",
+)
+def a56r(spark, sf):
+    """Front number of every option: the longest chain of options that beat it."""
+    return P.fronts(options(spark, sf), list(GOALS)).select("symbol", "venue", "side", "front")
+
+
+CROWD = ", ".join(f"CASE WHEN lag({g}) OVER w{k} IS NULL OR lead({g}) OVER w{k} IS NULL THEN NULL WHEN max({g}) OVER f > min({g}) OVER f THEN (lead({g}) OVER w{k} - lag({g}) OVER w{k}) / (max({g}) OVER f - min({g}) OVER f) ELSE 0 END AS d{k}" for k, g in enumerate(GOALS))
+
+
+@query(
+    "p10_front_choice",
+    f"""WITH {OPT}, fr AS (SELECT * FROM s b WHERE NOT EXISTS (SELECT 1 FROM s a WHERE {BEATS})), cr AS (SELECT *, {CROWD} FROM fr WINDOW f AS (PARTITION BY 1), {', '.join(f'w{k} AS (PARTITION BY 1 ORDER BY {g}, symbol, venue, side)' for k, g in enumerate(GOALS))}),
+sc AS (SELECT symbol, venue, side, {' + '.join(f'd{k}' for k in range(len(GOALS)))} AS crowding, {' + '.join(f'0.2 * ({g} - min({g}) OVER f) / greatest(max({g}) OVER f - min({g}) OVER f, 1e-12)' for g in GOALS)} AS score FROM cr WINDOW f AS (PARTITION BY 1))
+SELECT symbol, venue, side, crowding IS NULL AS at_edge, {R('crowding', 6)} AS crowding, {R('score', 6)} AS score, row_number() OVER (ORDER BY round(score, 9) DESC, symbol, venue, side) AS place FROM sc""",
+)
+def p10(spark, sf):
+    """The first front with crowding distances, ordered by equal weights of all
+    goals on the front's own scale."""
+    x = P.crowding(P.fronts(options(spark, sf), list(GOALS)).where("front = 1"), "front", list(GOALS), ["symbol", "venue", "side"])
+    x = P.compromise(x, "front", {g: 0.2 for g in GOALS})
+    s = Series.of(x.withColumn("_s", -F.round("score", 9)), ["front"], ["_s", "symbol", "venue", "side"])
+    edge = c("crowding") == float("inf")
+    return s.rows.select("symbol", "venue", "side", edge.alias("at_edge"), F.when(~edge, r("crowding", 6)).alias("crowding"), r("score", 6).alias("score"), c(IDX).alias("place"))

@@ -67,42 +67,6 @@ def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(gone, "id", "left_anti"), left
 
 
-def _undominated(x: np.ndarray) -> np.ndarray:
-    """Marks rows that no row equals or beats everywhere and beats somewhere."""
-    order = np.lexsort(-x.T[::-1])                        # a row can only be beaten by an earlier one
-    keep: list[int] = []
-    best = np.empty((0, x.shape[1]))
-    for i in order.tolist():
-        if not ((best >= x[i]).all(axis=1) & (best > x[i]).any(axis=1)).any():
-            keep.append(i)
-            best = np.vstack((best, x[i]))
-    mark = np.zeros(len(x), bool)
-    mark[keep] = True
-    return mark
-
-
-def front(df: DataFrame, goals: list[str], fan: int = 8) -> DataFrame:
-    """Rows that no other row dominates (every goal is to be large).
-
-    Each batch, then each task, keeps its own front; fronts are gathered in
-    ``fan`` times fewer tasks until one is left, so what meets is front rows.
-    """
-    import pyarrow as pa
-
-    def run(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            held = t.filter(pa.array(_undominated(np.column_stack([t.column(g).to_numpy() for g in goals]).astype(float))))
-        if held is not None:
-            yield from held.to_batches()
-
-    part = df.where(" and ".join(f"{g} is not null" for g in goals)).mapInArrow(run, df.schema)
-    for n in (fan * fan, fan, 1):
-        part = part.repartition(n).mapInArrow(run, df.schema)
-    return part
-
-
 def centroids(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     """Mean vector per key from partial sums per (key, position)."""
     x = vectors.select(key, F.posexplode(vec).alias("_p", "_x"))
@@ -126,14 +90,6 @@ def top_similar(queries: DataFrame, items: DataFrame, key: str, k: int, floor: f
     return x.withColumn("k", F.row_number().over(w)).where(c("k") <= k)
 
 
-def near_merge(items: DataFrame, key: str, anchor: DataFrame, threshold: float) -> DataFrame:
-    """Leader rule in one pass: an item joins the leader of its group when it
-    is similar enough, otherwise it stays alone."""
-    x = items.join(anchor, key)
-    sim = cosine(c("embedding"), c("leader_vec"))
-    return x.withColumn("leader", F.when(sim >= threshold, c("leader_id")).otherwise(c("vec_id")))
-
-
 def state_embedding(assets: DataFrame, key: str, asset: str, dim: int) -> DataFrame:
     """(key, j, value): the vector of equal weights, then m, s and dd by asset,
     standardised and projected on the first ``dim`` cosine waves.  Rows of

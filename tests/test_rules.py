@@ -51,14 +51,6 @@ def test_triangles_once_with_hubs(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_front(spark):
-    rng = np.random.default_rng(2)
-    x = rng.integers(0, 12, (300, 3)).astype(float)
-    want = {i for i in range(300) if not any((y >= x[i]).all() and (y > x[i]).any() for y in x)}
-    df = one(spark, "i int, a double, b double, c double", [(i, *map(float, v)) for i, v in enumerate(x)])
-    assert {r.i for r in knowledge.front(df, ["a", "b", "c"], 2).collect()} == want
-
-
 def test_stress_deepens_losses(spark):
     pos = one(spark, "leverage double, signed double", [(1.0, 100.0)])
     now = {r.scenario: r.total_pnl for r in risk.stress(pos).collect()}
