@@ -8,6 +8,7 @@ from tapeworks.catalog.base import bar_series, r
 from tapeworks.catalog.sql import BARS, R, TICK, bars_cte
 from tapeworks.functions import messages, quality as Q
 from tapeworks.functions.draws import uniform
+from tapeworks.operators import books as B
 from tapeworks.operators.candles import candle_shape
 from tapeworks.plans.series import IDX, Series
 from tapeworks.session import shared_folder
@@ -127,6 +128,49 @@ def s11(spark, sf):
     )
 
 
+# one depth message a symbol and day: some ids are old, some start the count anew
+MSG = f"""{TICK}, msg AS (SELECT symbol, day, CASE WHEN (day + symbol) % 97 = 0 THEN 0 WHEN (day * 7 + symbol) % 11 = 0 THEN day - 40 ELSE day END AS u FROM tick GROUP BY 1, 2),
+lv AS (SELECT symbol, day, side, floor(price / 50) * 50 AS price, CASE WHEN CAST(sum(qty) AS BIGINT) % 5 = 0 THEN 0 ELSE sum(qty) END AS qty FROM tick GROUP BY 1, 2, 3, 4)"""
+
+
+def depth_messages(spark, sf):
+    """Raw (day, body) rows, one message a symbol and day."""
+    tk = market.ticks(spark, sf)
+    lv = tk.groupBy("symbol", "day", "side", (F.floor(F.col("price") / 50) * 50).alias("price")).agg(F.sum("qty").alias("qty"))
+    qty = F.when(F.col("qty").cast("bigint") % 5 == 0, F.lit("0")).otherwise(F.col("qty").cast("string"))
+    side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.array(F.col("price").cast("string"), qty))))
+    day, sym = F.col("day"), F.col("symbol")
+    u = F.when((day + sym) % 97 == 0, 0).when((day * 7 + sym) % 11 == 0, day - 40).otherwise(day)
+    m = lv.groupBy("symbol", "day").agg(side("buy").alias("b"), side("sell").alias("a"))
+    return m.select("day", F.to_json(F.struct(F.lit("depthUpdate").alias("e"), sym.cast("string").alias("s"), u.alias("u"), "b", "a")).alias("body"))
+
+
+@query("s11_book_deltas", f"WITH {MSG} SELECT symbol, side, count(*) AS n, count(*) FILTER (qty = 0) AS deletes, {R('sum(price * qty)', 2)} AS notional, CAST(sum(u) AS BIGINT) AS id_sum FROM lv JOIN msg USING (symbol, day) GROUP BY 1, 2")
+def s11d(spark, sf):
+    """Depth updates rendered as messages and read back, one row a level."""
+    d = messages.deltas_from_raw(depth_messages(spark, sf))
+    return d.groupBy(F.col("symbol").cast("bigint").alias("symbol"), "side").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("qty") == 0).alias("deletes"), r(F.sum(F.col("price") * F.col("qty")), 2).alias("notional"), F.sum("update_id").alias("id_sum")
+    )
+
+
+@query(
+    "t06_local_book",
+    f"""WITH {MSG}, sg AS (SELECT *, sum(CASE WHEN u = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY day) AS seg FROM msg), ac AS (SELECT * FROM (SELECT *, max(u) OVER (PARTITION BY symbol, seg ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM sg) WHERE u = 0 OR u > coalesce(b, 0)),
+lf AS (SELECT lv.*, lead(lv.day) OVER (PARTITION BY lv.symbol, side, price ORDER BY lv.day) AS until FROM lv JOIN ac USING (symbol, day)), mo AS (SELECT DISTINCT symbol, day // 60 * 60 + 59 AS at_day FROM tick),
+bk AS (SELECT mo.symbol, at_day, side, price, qty, row_number() OVER (PARTITION BY mo.symbol, at_day, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS k FROM lf JOIN mo ON mo.symbol = lf.symbol AND day <= at_day AND (until IS NULL OR until > at_day) WHERE qty > 0)
+SELECT symbol, CAST(at_day AS BIGINT) AS at_day, side, k, price, {R('qty', 2)} AS qty FROM bk WHERE k <= 3""",
+)
+def t06(spark, sf):
+    """Best three levels of each side at the end of every 60 days, from the lives
+    of levels; old updates are dropped, a quantity of 0 ends a level."""
+    d = messages.deltas_from_raw(depth_messages(spark, sf)).withColumn("symbol", F.col("symbol").cast("bigint"))
+    ids = B.accepted(d.select("symbol", "day", "update_id").distinct(), ["symbol"], "day", "update_id").drop("update_id")
+    lives = B.level_lives(d.join(ids, ["symbol", "day"]), ["symbol"], "day", "place")
+    moments = market.ticks(spark, sf).select("symbol", (F.floor(F.col("day") / 60) * 60 + 59).alias("at_day")).distinct()
+    return B.book_at(lives, moments, ["symbol"], "at_day", 3).select("symbol", "at_day", "side", "k", "price", r("qty", 2).alias("qty"))
+
+
 @query("s12_feature_target_pairs", f"WITH {TICK}, x AS (SELECT symbol, count(*) AS n, avg(price) AS f FROM tick GROUP BY 1) SELECT symbol, {R('f')} AS feature, {R('s_acctbal')} AS target FROM x JOIN supplier ON symbol = s_suppkey")
 def s12(spark, sf):
     """Feature and target tables paired on the row key (not by position)."""

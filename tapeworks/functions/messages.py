@@ -96,3 +96,20 @@ def ticks_from_raw(raw: DataFrame, venues: tuple[str, str, str]) -> DataFrame:
     many_c = F.transform(data, lambda x: tick(F.replace(x["instId"], F.lit("-"), F.lit("")), x["px"], x["sz"], x["side"], x["ts"], x["tradeId"]))
     rows = F.when(F.col("venue") == a, one).when(F.col("venue") == b, many_b).when(F.col("venue") == c, many_c)
     return raw.select("venue", F.explode(rows).alias("k")).select("venue", "k.*")
+
+
+def deltas_from_raw(raw: DataFrame) -> DataFrame:
+    """Depth updates ``{"s": symbol, "u": id, "b": [[price, qty], ...], "a": ...}``
+    to one row a level: raw columns but ``body``, symbol, update_id, side, price,
+    qty, place.  Entries shorter than a pair are left out; a message with a
+    price or quantity that is no number gives no rows."""
+    body = F.from_json(F.col("body"), "s string, u bigint, b array<array<string>>, a array<array<string>>")
+
+    def entries(col: Column, side: str) -> Column:
+        pairs = F.filter(F.coalesce(col, F.array().cast("array<array<string>>")), lambda e: F.size(e) >= 2)
+        return F.transform(pairs, lambda e: F.struct(F.lit(side).alias("side"), e[0].try_cast("double").alias("price"), e[1].try_cast("double").alias("qty")))
+
+    keep = [c for c in raw.columns if c != "body"]
+    m = raw.withColumn("_m", body).where(F.col("_m.s").isNotNull()).withColumn("_l", F.concat(entries(F.col("_m.b"), "buy"), entries(F.col("_m.a"), "sell")))
+    whole = m.where(~F.exists("_l", lambda e: e["price"].isNull() | e["qty"].isNull()))
+    return whole.select(*keep, F.col("_m.s").alias("symbol"), F.coalesce("_m.u", F.lit(0)).cast("bigint").alias("update_id"), F.posexplode("_l").alias("place", "_e")).select(*keep, "symbol", "update_id", "place", "_e.side", "_e.price", "_e.qty")

@@ -65,3 +65,62 @@ def whale_share(trades: DataFrame, keys: list[str], size: str, factor: float = 1
     avg = trades.groupBy(*keys).agg(F.avg(size).alias("_a"))
     big = F.sum(F.when(F.col(size) > factor * F.col("_a"), F.col(size)).otherwise(0.0))
     return trades.join(avg, keys).groupBy(*keys).agg(F.least(F.lit(1.0), big / F.sum(size) * 5).alias("whale_score"))
+
+
+# --- local books from depth updates -----------------------------------------------------
+def accepted(messages: DataFrame, keys: list[str], seq: str, update_id: str) -> DataFrame:
+    """Messages that a local book applies, in order of arrival (``seq``): an id
+    above all applied before it.  An id of 0 is always applied and starts the
+    count anew."""
+    c = F.col
+    s = Series.of(messages, keys, [seq]).running(_seg=("sum", F.when(c(update_id) == 0, 1).otherwise(0)))
+    t = Series.of(s.df, [*keys, "_seg"], [seq]).running(_top=("max", update_id)).bounded(1, {"_before": lambda w: w.lag("_top")})
+    ok = (c(update_id) == 0) | (c(update_id) > F.coalesce("_before", F.lit(0)))
+    return t.df.where(ok).drop("_seg", "_top", "_before")
+
+
+def level_lives(updates: DataFrame, keys: list[str], seq: str, place: str) -> DataFrame:
+    """keys, side, price, qty, since, until: how long each quantity of a level
+    stood (``until`` is null while it stands).  Of one message the last entry of
+    a price counts; a quantity of 0 or less ends the level."""
+    c = F.col
+    last = updates.groupBy(*keys, "side", "price", seq).agg(F.max_by("qty", place).alias("qty"))
+    s = Series.of(last, [*keys, "side", "price"], [seq]).bounded(0, {"until": lambda w: w.lead(seq)}, ahead=1)
+    return s.df.where(c("qty") > 0).select(*keys, "side", "price", "qty", c(seq).alias("since"), "until")
+
+
+def book_at(lives: DataFrame, moments: DataFrame, keys: list[str], at: str, depth: int) -> DataFrame:
+    """The best ``depth`` levels of each side at each moment (keys, ``at``, an
+    integer of the same kind as ``since``); k is 1 for the best.
+
+    No book is replayed.  A life is cut into dyadic blocks, at most two of each
+    length, a moment lies in one block of each length, and both meet on (keys,
+    length, block).  What is cut to a block stands all through it, so only the
+    block's best ``depth`` levels go on: a moment meets a few of each length,
+    however deep the book is.
+    """
+    from pyspark.sql import Window
+
+    c = F.col
+    end = moments.agg((F.max(at) + 1).alias("_end"), F.min(at).alias("_begin"))
+    spans = lives.join(F.broadcast(end), F.lit(True)).withColumns({"_a": F.greatest(c("since"), c("_begin")) - c("_begin"), "_b": F.least(F.coalesce("until", c("_end")), c("_end")) - c("_begin")}).where("_a < _b")
+    size = moments.agg((F.max(at) - F.min(at) + 1).alias("n")).first()["n"] or 1
+    levels = F.sequence(F.lit(0), F.lit(int(size).bit_length()))
+    two = lambda l: F.pow(F.lit(2.0), l).cast("bigint")
+    low = lambda l: F.floor((c("_a") + two(l) - 1) / two(l))
+    high = lambda l: F.floor(c("_b") / two(l))
+
+    def blocks(l):
+        a, b = low(l), high(l)
+        one = lambda v: F.struct(l.alias("lv"), v.cast("bigint").alias("id"))
+        return F.array(F.when((a < b) & (a % 2 == 1), one(a)), F.when((a < b) & (b % 2 == 1), one(b - 1)))
+
+    cut = spans.select(*lives.columns, F.explode(F.array_compact(F.flatten(F.transform(levels, blocks)))).alias("_x")).select(*lives.columns, "_x.lv", "_x.id")
+    better = F.when(c("side") == "buy", -c("price")).otherwise(c("price"))
+    best = Window.partitionBy(*keys, "lv", "id", "side").orderBy(better)
+    cut = cut.withColumn("_r", F.row_number().over(best)).where(c("_r") <= depth).drop("_r")
+    m = moments.select(*keys, at).distinct().join(F.broadcast(end), F.lit(True)).withColumn("lv", F.explode(levels))
+    m = m.select(*keys, at, "lv", F.floor((c(at) - c("_begin")) / F.pow(F.lit(2.0), c("lv")).cast("bigint")).cast("bigint").alias("id"))
+    met = m.join(cut, [*keys, "lv", "id"])
+    w = Window.partitionBy(*keys, at, "side").orderBy(better)
+    return met.withColumn("k", F.row_number().over(w)).where(c("k") <= depth).select(*keys, at, "side", "k", "price", "qty")

@@ -17,6 +17,8 @@ class Breaker(Machine):
     """Closed -> open on a trip -> half-open after the cooldown -> closed when
     the next observation is calm, open again when it is not."""
 
+    FIELDS = "state string, since bigint"
+
     def __init__(self, cooldown: int):
         self.cooldown, self.state, self.since = cooldown, "closed", None
 

@@ -222,6 +222,8 @@ def turtle(s: Series, entry: int = 20, leave: int = 10, atr_n: int = 20, units:
 class _Ledger(Machine):
     """Average-cost position: open, add, reduce, close, flip."""
 
+    FIELDS = "qty double, avg double, realised double, n int"
+
     def __init__(self):
         self.qty, self.avg, self.realised, self.n = 0.0, 0.0, 0.0, 0
 

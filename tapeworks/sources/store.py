@@ -103,12 +103,13 @@ def split_valid(df: DataFrame, topic: str, json: str = "value") -> tuple[DataFra
 
 
 def dead_letter_batch(topic: str, good_path: str, dead_path: str):
-    """``foreachBatch`` function writing both sides of a stream."""
+    """``foreachBatch`` function writing both sides of a stream.  An epoch has its
+    own folder, so one that is tried again replaces what it wrote."""
 
-    def write(batch: DataFrame, _epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         good, dead = split_valid(batch, topic)
-        good.write.mode("append").parquet(good_path)
-        dead.write.mode("append").parquet(dead_path)
+        good.write.mode("overwrite").parquet(f"{good_path}/epoch={epoch}")
+        dead.write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch}")
 
     return write
 

@@ -92,6 +92,8 @@ def keyed_machine(df: DataFrame, keys: list[str], order: list[str], cols: list[s
 class TickQuality(Machine):
     """Gap and move counters of one symbol with running rates."""
 
+    FIELDS = "last bigint, price double, n int, gaps int, moves int"
+
     def __init__(self, gap: float, move: float):
         self.gap, self.move = gap, move
         self.last, self.price, self.n, self.gaps, self.moves = None, None, 0, 0, 0
@@ -108,6 +110,8 @@ class TickQuality(Machine):
 class BookLevel(Machine):
     """One price level: older updates are dropped, zero quantity deletes."""
 
+    FIELDS = "seen bigint"
+
     def __init__(self):
         self.seen = None
 
@@ -120,6 +124,8 @@ class BookLevel(Machine):
 class TokenBucket(Machine):
     """Violations of a rate limit with refill per unit of time."""
 
+    FIELDS = "tokens double, at bigint"
+
     def __init__(self, size: float, refill: float):
         self.size, self.refill, self.tokens, self.at = size, refill, size, None
 
@@ -136,6 +142,8 @@ class TokenBucket(Machine):
 class AlertGate(Machine):
     """An alert repeats only after a gap; after ``limit`` repeats it escalates."""
 
+    FIELDS = "at bigint, n int"
+
     def __init__(self, gap: float, limit: int):
         self.gap, self.limit, self.at, self.n = gap, limit, None, 0
 
