@@ -522,6 +522,21 @@ def test_pipeline(spark, odd, none, tmp_path):
     assert steps["line_dedup"](spark, docs, str(tmp_path)).count() == docs.count()
 
 
+def jaccard_brute(data):
+    """The documents that stay when all pairs of five-word sets are compared."""
+    sets = []
+    for _, t in data:
+        w = split(low(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {None})
+    comp = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and comp[i] != comp[j]:
+                comp = [comp[i] if x == comp[j] else x for x in comp]
+    low_id = {x: min((i for (i, _), y in zip(data, comp) if x == y and i is not None), default=None) for x in comp}
+    return [x for x, y in zip(data, comp) if x[0] == low_id[y]]
+
+
 def test_near_dedup_keeps_no_near_copy(spark, odd, none, monkeypatch):
     """All pairs by Jaccard of five-word shingles, over 0.8 and just below."""
     import corpus_pipeline as c
@@ -537,24 +552,25 @@ def test_near_dedup_keeps_no_near_copy(spark, odd, none, monkeypatch):
             data.append((len(data), " ".join(w)))
     rng.shuffle(data)
 
-    def brute(data):
-        sets = []
-        for _, t in data:
-            w = split(low(t))
-            sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {None})
-        comp = list(range(len(data)))
-        for i in range(len(data)):
-            for j in range(i):
-                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and comp[i] != comp[j]:
-                    comp = [comp[i] if x == comp[j] else x for x in comp]
-        low_id = {x: min((i for (i, _), y in zip(data, comp) if x == y and i is not None), default=None) for x in comp}
-        return [x for x, y in zip(data, comp) if x[0] == low_id[y]]
-
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    for limit in (jaccard.SET_UNIT, 3):
-        monkeypatch.setattr(jaccard, "SET_UNIT", limit)
+    for limit in (jaccard.MEMBERS, 3):
+        monkeypatch.setattr(jaccard, "MEMBERS", limit)
         for df in (spark.createDataFrame(data, "doc_id bigint, text string"), odd, none, *([real] if limit > 3 else [])):
-            assert rows(c.near_dedup(spark, df, SF), "doc_id") == sorted(((i,) for i, _ in brute(texts(df))), key=str)
+            assert rows(c.near_dedup(spark, df, SF), "doc_id") == sorted(((i,) for i, _ in jaccard_brute(texts(df))), key=str)
+
+
+def test_near_dedup_candidates():
+    """Share of pairs at similarity 0.8 that meet in a band, and the SimHash."""
+    rng = np.random.default_rng(9)
+    met = 0
+    for n in [9, 45, 450] * 300:
+        both = rng.integers(0, 1 << 63, n * 8 // 9, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, n - len(both), dtype=np.uint64)))) for _ in range(2))
+        met += bool(set(jaccard.bands(a).tolist()) & set(jaccard.bands(b).tolist()))
+    assert met >= 0.999 * 900
+    for _, t in TEXTS:
+        data = (t or "").encode()
+        assert jaccard.fingerprint(jaccard.marks(data, 4)) == simhash.fingerprint(data, 4)
 
 
 def test_pipeline_against_brute_force(spark):
@@ -565,8 +581,7 @@ def test_pipeline_against_brute_force(spark):
     measured = repeats.measure([t.encode() for _, t in data])
     ok = (measured["n_words"] >= 10) & (100 * measured["n_repeat_words"] <= 20 * measured["n_words"]) & (measured["covered_words"] <= repeats.MAX_COVERED * measured["n_words"]) & (measured["longest_repeat"] <= repeats.MAX_LONGEST)
     data = line_brute([x for x, k in zip(data, ok) if k])
-    kept = {i for i, _, root in simhash_brute(data) if i == root}
-    data = [x for x in data if x[0] in kept]
+    data = jaccard_brute(data)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {r[0] for r in contamination_brute(data, items) if r[5]}
     lib = pieces.Merger(public_tokenizers.path(pieces.MODEL)).lib
