@@ -67,6 +67,39 @@ def t07(spark, sf):
     return M.circuit_breaker(s.df, ["symbol"], "t", "trip", 3)
 
 
+# exponential averages of squared log returns, started with the first one
+EMAS = """lr AS (SELECT symbol, t, i, close, volume, low, high, pc, ln(close / pc) AS r FROM bar),
+em AS (SELECT symbol, i, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS DOUBLE) AS s FROM lr WHERE i = 1 UNION ALL SELECT lr.symbol, lr.i, CASE WHEN em.f IS NULL THEN r * r ELSE 0.1 * r * r + 0.9 * f END, CASE WHEN em.s IS NULL THEN r * r ELSE 0.02 * r * r + 0.98 * s END FROM em JOIN lr ON lr.symbol = em.symbol AND lr.i = em.i + 1)"""
+REASON = f"""{EMAS}, rs AS (SELECT symbol, t, i, CASE WHEN abs(close / pc - 1) > 0.9 THEN 'price' WHEN volume > 4 * avg(volume) {over(20)} THEN 'volume' WHEN (high - low) / ((high + low) / 2) * 100 > 120 THEN 'spread' WHEN i >= 10 AND s > 0 AND f / s > 1.5 THEN 'volatility' END AS reason FROM lr JOIN em USING (symbol, i))"""
+
+
+def opened(cte: str, key: str, i: str, t: str, trip: str, cooldown: int) -> str:
+    """Closed, open and half-open states of a breaker, row by row."""
+    return f"""k AS (SELECT {key}, {i}, {t}, CASE WHEN {trip} THEN 'open' ELSE 'closed' END AS st, CASE WHEN {trip} THEN {t} END AS since, {trip} AS emit FROM {cte} WHERE {i} = 1
+ UNION ALL SELECT {key}, {i}, {t}, CASE WHEN tr AND st2 <> 'open' THEN 'open' WHEN st2 = 'half' THEN 'closed' ELSE st2 END, CASE WHEN tr AND st2 <> 'open' THEN {t} ELSE since END, (tr AND st2 <> 'open') OR st2 = 'half' FROM (
+  SELECT q.{key}, q.{i}, q.{t}, {trip.replace('reason', 'q.reason')} AS tr, k.since, CASE WHEN k.st = 'open' AND q.{t} - k.since >= {cooldown} THEN 'half' ELSE k.st END AS st2 FROM k JOIN {cte} q ON q.{key} = k.{key} AND q.{i} = k.{i} + 1))"""
+
+
+@query("t07_breaker_reasons", f"WITH RECURSIVE {BARS}, {REASON}, {opened('rs', 'symbol', 'i', 't', '(reason IS NOT NULL)', 3)} SELECT k.symbol, k.t, k.st AS state, CASE WHEN k.st = 'open' THEN rs.reason END AS reason FROM k JOIN rs USING (symbol, i) WHERE emit")
+def t07r(spark, sf):
+    """Four rules, first reason wins; three bars of cooldown, half-open probe."""
+    s = M.trip_reasons(bar_series(spark, sf).mutate(bid=c("low"), ask=c("high")), 0.9, 4.0, 120.0, 1.5)
+    x = s.df.select("symbol", "t", "reason", c("reason").isNotNull().alias("trip"))
+    got = M.circuit_breaker(x, ["symbol"], "t", "trip", 3)
+    return got.join(x.select("symbol", "t", "reason"), ["symbol", "t"]).select("symbol", "t", "state", F.when(c("state") == "open", c("reason")).alias("reason"))
+
+
+@query("t09_breaker_cooldown", f"WITH RECURSIVE {EQUITY}, b AS (SELECT strategy_id, day, row_number() OVER (PARTITION BY strategy_id ORDER BY day) AS j, CASE WHEN sum(pnl) OVER (PARTITION BY strategy_id ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) < -10000 THEN 'loss' WHEN stddev_samp(ret) OVER (PARTITION BY strategy_id ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 0.05 THEN 'volatility' END AS reason FROM er), {opened('b', 'strategy_id', 'j', 'day', '(reason IS NOT NULL)', 10)} SELECT strategy_id, k.day, k.st AS state FROM k WHERE emit")
+def t09c(spark, sf):
+    """The loss and volatility breaker holds for ten days before a probe."""
+    s = Series.of(equity(spark, sf), ["strategy_id"], ["day"]).bounded(
+        20, {"ret": lambda w: c("equity") / w.lag("equity") - 1}, {"loss": lambda w: F.sum("pnl").over(w(5)), "vol": lambda w: F.stddev_samp("ret").over(w(20))}
+    )
+    trip = F.coalesce((c("loss") < -10000) | (c("vol") > 0.05), F.lit(False))
+    x = s.df.select("strategy_id", "day", trip.alias("trip"))
+    return M.circuit_breaker(x, ["strategy_id"], "day", "trip", 10).withColumnRenamed("t", "day")
+
+
 @query(
     "t09_loss_breaker",
     f"""WITH {EQUITY}, b AS (SELECT strategy_id, day, pnl, sum(pnl) OVER (PARTITION BY strategy_id ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS loss, stddev_samp(ret) OVER (PARTITION BY strategy_id ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vol FROM er)
@@ -128,6 +161,30 @@ def t15(spark, sf):
     return g.select("user_id", F.floor(age / 3600000000.0).alias("age_hours"), (age > 48 * 3600000000).alias("stale"))
 
 
+@query("t15_newly_stale", "WITH g AS (SELECT user_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) SELECT user_id, us + 172800000000 AS stale_us, nx AS fresh_us FROM g WHERE coalesce(nx, 1706745600000000) - us > 172800000000")
+def t15n(spark, sf):
+    """When a user's feature became stale (48 hours without an event), and the
+    event that made it fresh again."""
+    s = Series.of(market.events(spark, sf).select("user_id", "us", "event_id"), ["user_id"], ["us", "event_id"]).bounded(0, {"nx": lambda w: w.lead("us")}, ahead=1)
+    limit = 48 * 3600000000
+    return s.df.where(F.coalesce("nx", F.lit(1706745600000000)) - c("us") > limit).select("user_id", (c("us") + limit).alias("stale_us"), c("nx").alias("fresh_us"))
+
+
+@query(
+    "t12_alert_gate",
+    """WITH RECURSIVE h AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value > 60),
+g AS (SELECT user_id, us, i, us AS at_us, 1 AS n, true AS emit FROM h WHERE i = 1 UNION ALL SELECT h.user_id, h.us, h.i, CASE WHEN h.us - g.at_us >= 86400000000 THEN h.us ELSE g.at_us END, CASE WHEN h.us - g.at_us >= 86400000000 THEN g.n + 1 ELSE g.n END, h.us - g.at_us >= 86400000000 FROM g JOIN h ON h.user_id = g.user_id AND h.i = g.i + 1)
+SELECT user_id, us, CASE WHEN n > 3 THEN 'escalated' ELSE 'sent' END AS state FROM g WHERE emit""",
+)
+def t12g(spark, sf):
+    """Alerts on large values: one a day at most, escalated after three."""
+    from tapeworks.plans.fold import ordered_fold
+    from tapeworks.streaming.jobs import AlertGate
+
+    e = market.events(spark, sf).where("value > 60")
+    return ordered_fold(e, ["user_id"], ["us", "event_id"], ["us"], lambda: AlertGate(86400000000, 3), "us bigint, state string")
+
+
 @query(
     "t18_auto_disable",
     f"WITH {EQUITY}, s AS (SELECT strategy_id, day, i, avg(pnl) OVER w / stddev_pop(pnl) OVER w * sqrt(252) AS sh FROM eq WINDOW w AS (PARTITION BY strategy_id ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT strategy_id, day, {R('CASE WHEN i >= 20 THEN sh END')} AS sharpe, coalesce(i >= 20 AND sh < 0, false) AS disabled FROM s",

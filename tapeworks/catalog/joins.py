@@ -255,6 +255,20 @@ def j21(spark, sf):
     )
 
 
+@query(
+    "b16_anchored_windows",
+    f"""WITH {BARS}, n AS (SELECT symbol, max(i) AS n FROM bar GROUP BY 1), w AS (SELECT symbol, k, k * 52 + 104 AS cut, k * 52 + 110 AS lo, k * 52 + 136 AS hi FROM n, range(0, 100) AS r(k) WHERE k * 52 + 136 <= n)
+SELECT w.symbol, k AS win, count(*) FILTER (i <= cut) AS train_rows, count(*) FILTER (i > lo) AS test_rows, {R('avg(close) FILTER (i <= cut)')} AS train_mean, {R('avg(close) FILTER (i > lo)')} AS test_mean FROM w JOIN bar ON bar.symbol = w.symbol AND i <= hi GROUP BY 1, 2""",
+)
+def b16a(spark, sf):
+    """Expanding windows: trained from the first bar, six bars left out before
+    the test of 26, 52 bars on each time."""
+    return walk_windows(bar_series(spark, sf), 104, 26, 52, gap=6, anchored=True).groupBy("symbol", "win").agg(
+        F.count_if(F.col("part") == "train").alias("train_rows"), F.count_if(F.col("part") == "test").alias("test_rows"),
+        r(F.avg(F.when(F.col("part") == "train", F.col("close")))).alias("train_mean"), r(F.avg(F.when(F.col("part") == "test", F.col("close")))).alias("test_mean"),
+    )
+
+
 def walk_windows(s, train: int, test: int, step: int, gap: int = 0, anchored: bool = False):
     """Bars with the number of each window that holds them and the part they
     play; sliding by default, ``anchored`` trains from the first bar."""

@@ -315,6 +315,19 @@ def x35(spark, sf):
     return N.dependents(e)
 
 
+@query(
+    "x35_feature_order",
+    "WITH RECURSIVE e AS (SELECT DISTINCT p_size AS child, CAST(p_size - 1 - p_size % 3 AS INTEGER) AS parent FROM part WHERE p_size > 1 UNION SELECT DISTINCT p_size, CAST(p_size // 2 AS INTEGER) FROM part WHERE p_size > 1 UNION SELECT 100, 101 UNION SELECT 101, 100 UNION SELECT 102, 101), n AS (SELECT child AS node FROM e UNION SELECT parent FROM e), d AS (SELECT node, 0 AS layer FROM n WHERE node NOT IN (SELECT child FROM e) UNION SELECT e.child, layer + 1 FROM d JOIN e ON e.parent = d.node) SELECT node, max(layer) AS layer FROM n LEFT JOIN d USING (node) GROUP BY 1",
+)
+def x35o(spark, sf):
+    """Order of computation: the layer of each feature; a cycle and what hangs
+    on it have none."""
+    size, p = c("p_size"), market.table(spark, sf, "part").where("p_size > 1")
+    e = p.select(size.alias("child"), F.explode(F.array((size - 1 - size % 3).cast("int"), F.expr("CAST(p_size div 2 AS INT)"))).alias("parent"))
+    loop = p.limit(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("child"), F.lit(b).alias("parent")) for a, b in ((100, 101), (101, 100), (102, 101))])))
+    return N.dependency_layers(e.unionByName(loop))
+
+
 GOALS = {"ret": 4, "risk": 4, "win": 6, "pace": 4, "size": 4}
 OPT = f"""{TRADE}, s AS (SELECT symbol, venue, side, {R('avg(pnl)')} AS ret, {R('-stddev_pop(pnl)')} AS risk, {R('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END)', 6)} AS win, {R('-avg(hours)')} AS pace, {R('avg(qty)')} AS size FROM trade GROUP BY 1, 2, 3)"""
 BEATS = " AND ".join(f"a.{g} >= b.{g}" for g in GOALS) + " AND (" + " OR ".join(f"a.{g} > b.{g}" for g in GOALS) + ")"

@@ -62,6 +62,30 @@ def p08(spark, sf):
     return g.select("assets", "weight_sum", r(F.lit(equal), 6).alias("equal_cvar"), (c("_hi") & c("_lo")).alias("within_bounds"), (F.lit(cvar) <= F.lit(equal)).alias("below_equal"))
 
 
+@query("p09_cvar_budget", f"WITH {ASSET}, n AS (SELECT asset, count(*) OVER () AS n FROM (SELECT DISTINCT asset FROM ret)) SELECT CAST(asset AS BIGINT) AS asset, {R('1.0 / n', 6)} AS budget, CAST(1 AS DOUBLE) AS share_sum, CAST(1 AS DOUBLE) AS weight_sum, true AS closer FROM n")
+def p09(spark, sf):
+    """Equal budgets of the tail loss: sums of shares and weights, and whether the
+    shares are closer to the budgets than those of equal weights."""
+    x = O.risk_budget(panel(spark, sf))
+    t = x.agg(F.round(F.sum("share"), 6).alias("share_sum"), F.round(F.sum("weight"), 6).alias("weight_sum"))
+    return x.join(F.broadcast(t), F.lit(True)).select("asset", r("budget", 6).alias("budget"), "share_sum", "weight_sum", (c("residual") < c("start")).alias("closer"))
+
+
+@query("p09_budget_weights")
+def p09w(spark, sf):
+    x = O.risk_budget(panel(spark, sf))
+    return x.select("asset", r("weight", 6).alias("weight"), r("share", 6).alias("share"), r("residual", 6).alias("residual"))
+
+
+@query("p08_min_cvar_weights")
+def p08w(spark, sf):
+    """The weights of least CVaR themselves, with their CVaR and that of equal ones."""
+    assets, w, cvar, equal = O.min_cvar(panel(spark, sf), high=0.2)
+    rows = [(a, float(x), float(cvar), float(equal)) for a, x in zip(assets, w)]
+    x = spark.createDataFrame(rows, "asset bigint, weight double, cvar double, equal double")
+    return x.select("asset", r("weight", 4).alias("weight"), r("cvar").alias("cvar"), r("equal").alias("equal_cvar"))
+
+
 N_C = 200
 DIR = lambda k: f"-ln(((('0x' || substr(md5('23:' || {k}), 1, 8))::BIGINT + 0.5) / 4294967296.0))"
 

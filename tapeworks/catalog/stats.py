@@ -9,8 +9,10 @@ from tapeworks.catalog.base import bar_series, r
 from tapeworks.catalog.joins import ALIGN, aligned
 from tapeworks.catalog.risk import panel
 from tapeworks.catalog.sql import ASSET, BARS, R, SERIES, full, over
+from tapeworks.operators import bootstrap as B
 from tapeworks.operators import regimes as H
 from tapeworks.operators import stats as Z
+from tapeworks.operators import wavelets as V
 from tapeworks.plans.pairs import corr, pair_sums
 from tapeworks.plans.series import IDX, Series
 from tapeworks.sources import market
@@ -240,3 +242,108 @@ def m16p(spark, sf):
     m = PCA(k=3, inputCol="features", outputCol="pc").fit(v)
     x = m.transform(v).select("vec_id", vector_to_array("pc").alias("p"))
     return x.select("vec_id", *[r(F.abs(F.get("p", F.lit(k))), 6).alias(f"abs_pc{k + 1}") for k in range(3)])
+
+
+# --- 8-tap wavelets -----------------------------------------------------------------------
+DEEP = 3
+
+
+def _wavelet_sql() -> str:
+    taps = ", ".join(f"({k}, {h!r}::DOUBLE, {g!r}::DOUBLE)" for k, (h, g) in enumerate(zip(V.LOW, V.HIGH)))
+    unit = 1 << DEEP
+    levels = ", ".join(
+        f"p{k} AS (SELECT symbol, j AS i, sum(h * v) AS v, sum(g * v) AS d, max(n) // 2 AS n FROM (SELECT o.symbol, o.i // 2 AS j, o.n, tp.h, tp.g, x.v FROM p{k - 1} o JOIN tp ON true JOIN p{k - 1} x ON x.symbol = o.symbol AND x.i = (o.i + tp.k) % o.n WHERE o.i % 2 = 0) GROUP BY 1, 2)"
+        for k in range(1, DEEP + 1)
+    )
+    return f"""WITH {BARS}, tp(k, h, g) AS (VALUES {taps}), sz AS (SELECT symbol, count(*) AS m, CAST(ceil((count(*) + 8) / {unit}.0) * {unit} AS BIGINT) AS n FROM bar GROUP BY 1),
+p0 AS (SELECT symbol, i, coalesce(close, 0) AS v, n FROM (SELECT symbol, n, unnest(range(n)) AS i FROM sz) LEFT JOIN (SELECT symbol, i - 1 AS i, close FROM bar) USING (symbol, i)), {levels}
+""" + " UNION ALL ".join(f"SELECT symbol, {k} AS level, count(*) AS n, {R('sum(d * d) / 1000000', 3)} AS detail_millions, {R('sum(v * v) / 1000000', 3)} AS approx_millions FROM p{k} GROUP BY 1" for k in range(1, DEEP + 1))
+
+
+@query("m14_wavelet_levels", _wavelet_sql())
+def m14w(spark, sf):
+    """Energy of approximation and detail of three levels of the 8-tap wavelet."""
+    out = None
+    for k, t in enumerate(V.transform(bar_series(spark, sf), "close", DEEP), 1):
+        e = lambda n: r(F.sum(c(n) * c(n)) / 1e6, 3)
+        x = t.groupBy("symbol").agg(F.lit(k).alias("level"), F.count(F.lit(1)).alias("n"), e("detail").alias("detail_millions"), e("approx").alias("approx_millions"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("m14_wavelet_inverse", f"WITH {BARS} SELECT symbol, t, {R('close', 2)} AS close FROM bar")
+def m14i(spark, sf):
+    """The series that the three levels rebuild."""
+    return V.denoised(bar_series(spark, sf), "close", DEEP, 0.0).select("symbol", "t", r("denoised", 2).alias("close"))
+
+
+# --- bootstrap intervals -------------------------------------------------------------------
+REPS, BLK = 100, 10
+
+
+def _probit_sql(p: str) -> str:
+    """Text of :func:`Z.probit` (the same published coefficients, read from it)."""
+    a, b, lo, hi = Z.PROBIT
+    poly = lambda x, ks: "(" * (len(ks) - 1) + repr(ks[0]) + "".join(f" * {x} + {k!r})" for k in ks[1:])
+    q, r2 = f"({p} - 0.5)", f"(({p} - 0.5) * ({p} - 0.5))"
+    side = lambda x: f"({poly(x, lo)} / ({poly(x, hi)} * {x} + 1))"
+    return f"CASE WHEN {p} < 0.02425 THEN {side(f'sqrt(-2 * ln({p}))')} WHEN {p} > 0.97575 THEN -{side(f'sqrt(-2 * ln(1 - {p}))')} ELSE {poly(r2, a)} * {q} / ({poly(r2, b)} * {r2} + 1) END"
+
+
+def _cdf_sql(x: str) -> str:
+    """Normal distribution of the column x, |x| < 4, by the series of erf."""
+    z = f"({x} * {x} / 2)"
+    acc = "1.0::DOUBLE"
+    for n in range(40, 0, -1):
+        acc = f"(1.0 + {acc} * (2.0 * {z} / {2 * n + 1}))"
+    return f"(0.5 * (1 + sign({x}) * 2 / 1.7724538509055159 * abs({x}) / 1.4142135623730951 * exp(-{z}) * {acc}))"
+
+
+def _bootstrap_sql() -> str:
+    def weighted(name: str, src: str, seed: str, rate: str) -> str:
+        x = f"SELECT asset, i, n, s, ss, nn, b, (('0x' || substr(md5('{seed}:' || asset), 1, 7))::BIGINT + i * 7919 + b * 104729) % {B.PRIME} AS x, CAST({rate} AS DOUBLE) AS l FROM {src}, range(0, {REPS}) AS r(b)"
+        for k in B.STEPS:
+            x = f"SELECT * REPLACE ((x * x + {k} * (x + b + 1)) % {B.PRIME} AS x) FROM ({x})"
+        p, total, w = "exp(-l)", "exp(-l)", []
+        for k in range(1, B.MOST + 1):
+            w.append(f"CASE WHEN u > {total} THEN 1 ELSE 0 END")
+            p = f"{p} * l / {k}"
+            total = f"{total} + {p}"
+        sums = f"SELECT asset, b, sum(w * nn) AS c, sum(w * s) AS x, sum(w * ss) AS xx FROM (SELECT *, {' + '.join(w)} AS w FROM (SELECT *, (x + 0.5::DOUBLE) / {B.PRIME} AS u FROM ({x}))) GROUP BY 1, 2"
+        return f"{name} AS (SELECT asset, list(v ORDER BY v) AS v, stddev_pop(v) AS sd FROM (SELECT asset, x / c / sqrt(greatest(xx / c - pow(x / c, 2), 1e-300)) AS v FROM ({sums})) GROUP BY 1)"
+
+    at = lambda v, p: f"(CASE WHEN floor({p} * (len({v}) - 1)) + 1 >= len({v}) THEN {v}[len({v})] ELSE {v}[CAST(floor({p} * (len({v}) - 1)) AS BIGINT) + 1] + ({p} * (len({v}) - 1) - floor({p} * (len({v}) - 1))) * ({v}[CAST(floor({p} * (len({v}) - 1)) AS BIGINT) + 2] - {v}[CAST(floor({p} * (len({v}) - 1)) AS BIGINT) + 1]) END)"
+    sr = lambda c_, x, xx: f"({x} / {c_}) / sqrt(greatest({xx} / {c_} - ({x} / {c_}) * ({x} / {c_}), 1e-300))"
+    return f"""WITH {ASSET}, rw AS (SELECT asset, ret, row_number() OVER (PARTITION BY asset ORDER BY t) AS i, count(*) OVER (PARTITION BY asset) AS n FROM ret), pl AS (SELECT asset, i, n, ret AS s, ret * ret AS ss, 1.0::DOUBLE AS nn FROM rw),
+bl AS (SELECT * FROM (SELECT asset, i, n, sum(ret) OVER w AS s, sum(ret * ret) OVER w AS ss, {BLK}.0::DOUBLE AS nn FROM rw WINDOW w AS (PARTITION BY asset ORDER BY i ROWS BETWEEN CURRENT ROW AND {BLK - 1} FOLLOWING)) WHERE i <= n - {BLK - 1} AND n >= {2 * BLK}),
+{weighted('pv', 'pl', '83', '1')}, {weighted('bv', 'bl', '83b', f'floor(n / {BLK}) / (n - {BLK - 1})')},
+tt AS (SELECT asset, count(*) AS c, sum(ret) AS x, sum(ret * ret) AS xx FROM rw GROUP BY 1), jk AS (SELECT asset, {sr('(c - 1)', '(x - ret)', '(xx - ret * ret)')} AS j FROM rw JOIN tt USING (asset)),
+ac AS (SELECT asset, sum(pow(m - j, 3)) / (6 * pow(sum(pow(m - j, 2)), 1.5)) AS a FROM (SELECT *, avg(j) OVER (PARTITION BY asset) AS m FROM jk) GROUP BY 1),
+e0 AS (SELECT asset, {sr('c', 'x', 'xx')} AS est, a, pv.v, pv.sd, bv.v AS w FROM tt JOIN ac USING (asset) JOIN pv USING (asset) LEFT JOIN bv USING (asset) WHERE c >= 5), e1 AS (SELECT *, len(list_filter(v, lambda y: y < est)) / CAST(len(v) AS DOUBLE) AS sh FROM e0),
+e2 AS (SELECT *, CASE WHEN sh > 0 AND sh < 1 THEN {_probit_sql('sh')} ELSE 0 END AS z0, {_probit_sql('0.025::DOUBLE')} AS zl, {_probit_sql('0.975::DOUBLE')} AS zh FROM e1), e3 AS (SELECT *, z0 + (z0 + zl) / (1 - a * (z0 + zl)) AS ql, z0 + (z0 + zh) / (1 - a * (z0 + zh)) AS qh FROM e2), e4 AS (SELECT *, {_cdf_sql('ql')} AS sl, {_cdf_sql('qh')} AS sg FROM e3)
+SELECT asset, {R('est', 6)} AS estimate, {R('sd', 6)} AS std_error, {R('z0', 6)} AS z0, {R('a', 6)} AS acceleration, {R(at('v', '0.025'), 6)} AS lower, {R(at('v', '0.975'), 6)} AS upper, {R(at('w', '0.025'), 6)} AS block_lower, {R(at('w', '0.975'), 6)} AS block_upper, {R(at('v', 'sl'), 6)} AS bca_lower, {R(at('v', 'sg'), 6)} AS bca_upper FROM e4"""
+
+
+@query("m09_intervals", _bootstrap_sql())
+def m09i(spark, sf):
+    """Percentile, corrected and block intervals of mean over deviation."""
+    x = B.intervals(Series.of(panel(spark, sf).select("asset", "t", "ret"), ["asset"], ["t"]), B.sharpe("ret"), REPS, 0.05, BLK, "83")
+    return x.select("asset", *[r(n, 6).alias(n) for n in x.columns if n != "asset"])
+
+
+# --- rank correlation and the t copula -----------------------------------------------------
+@query(
+    "m15_kendall",
+    f"WITH {BARS}, {ALIGN}, g0 AS (SELECT a, b, round(ln(ca / lag(ca) OVER w), 2) AS y, round(ln(cb / lag(cb) OVER w), 2) AS x, t FROM al WINDOW w AS (PARTITION BY a, b ORDER BY t)), g1 AS (SELECT * FROM g0 WHERE y IS NOT NULL), pr AS (SELECT p.a, p.b, sign(p.x - q.x) AS sx, sign(p.y - q.y) AS sy FROM g1 p JOIN g1 q ON p.a = q.a AND p.b = q.b AND p.t < q.t), s AS (SELECT a, b, sum(sx * sy) AS s, sum(abs(sx)) AS nx, sum(abs(sy)) AS ny FROM pr GROUP BY 1, 2), n AS (SELECT a, b, count(*) AS n FROM g1 GROUP BY 1, 2) SELECT a, b, n, {R('s / sqrt(nx * ny)', 6)} AS tau FROM s JOIN n USING (a, b)",
+)
+def m15k(spark, sf):
+    """Kendall's tau-b of the (rounded) returns of instrument pairs."""
+    x = pair_returns(spark, sf).df.select("a", "b", "t", F.round("y", 2).alias("y"), F.round("x", 2).alias("x"))
+    return Z.kendall(Series.of(x, ["a", "b"], ["t"]), "x", "y").where("n > 1").select("a", "b", "n", r("tau", 6).alias("tau"))
+
+
+@query("m15_t_copula", f"WITH {UR}, z AS (SELECT t, avg({_probit_sql('u')}) AS m FROM ur GROUP BY 1), k AS (SELECT count(*) AS n, kurtosis_pop(m) AS k FROM z) SELECT n, {R('k', 6)} AS kurtosis, {R('CASE WHEN k > 0 THEN greatest(2.5, 6 / k + 4) ELSE 10 END', 4)} AS df FROM k")
+def m15t(spark, sf):
+    """Degrees of freedom by the kurtosis of the mean normal score."""
+    u = Z.uniform_ranks(panel(spark, sf).select("asset", "t", "ret"), ["asset"], "ret", ["t"]).withColumn("v", Z.probit(c("u")))
+    return Z.t_copula_freedom(u, "t", "v").select("n", r("kurtosis", 6).alias("kurtosis"), r("df").alias("df"))

@@ -139,3 +139,23 @@ def dependents(edges: DataFrame) -> DataFrame:
         n = grown
     loops = closure.where("child = parent").select("child", F.lit(True).alias("cyclic"))
     return closure.join(loops, "child", "left").select("child", "parent", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def dependency_layers(edges: DataFrame) -> DataFrame:
+    """node, layer: 0 for nodes without parents, else one above the highest
+    parent; null for nodes on a cycle or behind one.  Layers are peeled until no
+    node without open parents is left."""
+    e = checkpointed(edges.select("child", "parent").distinct())
+    left = checkpointed(e.select(c("child").alias("node")).unionByName(e.select(c("parent").alias("node"))).distinct())
+    out, k = None, 0
+    while True:
+        free = checkpointed(left.join(e.select(c("child").alias("node")).distinct(), "node", "left_anti"))
+        if free.isEmpty():
+            break
+        layer = free.withColumn("layer", F.lit(k))
+        out = layer if out is None else out.unionByName(layer)
+        left = checkpointed(left.join(free, "node", "left_anti"))
+        e = checkpointed(e.join(free.withColumnRenamed("node", "parent"), "parent", "left_anti"))
+        k += 1
+    rest = left.withColumn("layer", F.lit(None).cast("int"))
+    return rest if out is None else out.unionByName(rest)

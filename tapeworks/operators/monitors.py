@@ -139,6 +139,28 @@ def detectors(df: DataFrame, keys: list[str], order: list[str], idx: str, err: s
     return run("ddm", lambda: DriftDetector(warm)).unionByName(run("eddm", lambda: EarlyDetector(warm))).unionByName(run("adwin", lambda: AdaptiveWindow(0.002, 32)))
 
 
+def trip_reasons(s: Series, move: float = 0.05, volume: float = 5.0, spread_pct: float = 2.0, ratio: float = 2.0, short: float = 0.1, long: float = 0.02, least: int = 10, window: int = 20) -> Series:
+    """Adds ``reason``, the first rule a row breaks, else null: price (change of
+    more than ``move``), volume (over ``volume`` times its mean of ``window``
+    rows), spread (``ask`` - ``bid`` over ``spread_pct`` percent of the mid),
+    volatility (fast over slow average of squared log returns beyond ``ratio``,
+    once ``least`` prices are seen).  Both averages start with the first return.
+    """
+    c = F.col
+    s = s.bounded(window - 1, {"_r": lambda w: F.log(c("close") / w.lag("close")), "_m": lambda w: F.abs(c("close") / w.lag("close") - 1), "_v": lambda w: F.avg("volume").over(w(window))})
+
+    def average(a):
+        return lambda v, i: (np.where(i <= 2, 0.0, 1 - a), np.where(i == 1, 0.0, np.where(i == 2, 1.0, a) * np.nan_to_num(v["_r"]) ** 2))
+
+    s = s.scan(Affine("_fast", average(short)), Affine("_slow", average(long)))
+    mid = (c("bid") + c("ask")) / 2
+    reason = (
+        F.when(c("_m") > move, "price").when(c("volume") > volume * c("_v"), "volume").when((mid > 0) & ((c("ask") - c("bid")) / mid * 100 > spread_pct), "spread")
+        .when((c(IDX) >= least) & (c("_slow") > 0) & (c("_fast") / c("_slow") > ratio), "volatility")
+    )
+    return s._with(s.mutate(reason=reason).rows.drop("_r", "_m", "_v", "_fast", "_slow"))
+
+
 def ewma_volatility(s: Series, ret: str, decay: float = 0.94) -> Series:
     """Exponential variance seeded with the first squared return."""
     s = s.scan(Affine("_v", lambda c, i: (np.where(i == 1, 0.0, decay), np.where(i == 1, c[ret] ** 2, (1 - decay) * c[ret] ** 2))))

@@ -273,3 +273,70 @@ def min_cvar(panel: DataFrame, confidence: float = 0.95, low: float = 0.0, high:
         if idle >= 2:
             step *= 0.5 ** (fan // 2)
     raise RuntimeError(f"CVaR did not settle to {tolerance} in {rounds} rounds")
+
+
+def soft_tail(scenarios: DataFrame, weights: DataFrame, confidence: float, width: float = 0.9) -> DataFrame:
+    """cand, asset, slope: the asset's mean return in each candidate's tail.  A
+    scenario counts fully below the percentile at (1 - ``width``) of the tail's
+    share, not at all above (1 + ``width``), and linearly between, so slopes move
+    smoothly with the weights."""
+    from tapeworks.plans.quantiles import exact_percentiles
+
+    p = scenarios.join(weights, "asset").groupBy("cand", "t").agg(F.sum(F.col("ret") * F.col("weight")).alias("p"))
+    cut = {"_lo": (1 - confidence) * (1 - width), "_hi": (1 - confidence) * (1 + width)}
+    q = exact_percentiles(p, ["cand"], "p", cut).select("cand", *cut)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_hi") - F.col("p")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))))
+    tail = p.join(q, "cand").where("p < _hi").select("cand", "t", share.alias("_w"))
+    total = tail.groupBy("cand").agg(F.sum("_w").alias("_n"))
+    slope = scenarios.join(tail, "t").groupBy("cand", "asset").agg(F.sum(F.col("ret") * F.col("_w")).alias("_s"))
+    return slope.join(total, "cand").select("cand", "asset", (F.col("_s") / F.col("_n")).alias("slope"))
+
+
+def risk_budget(panel: DataFrame, budget: dict | None = None, confidence: float = 0.95, low: float = 0.01, high: float = 0.99, tolerance: float = 0.1, rounds: int = 60, fan: int = 8, patience: int = 5) -> DataFrame:
+    """asset, budget, weight, share, residual, start: weights whose shares of the
+    tail loss meet their budgets (equal ones unless given).
+
+    A share is the asset's weight times its mean loss in the (soft) tail of the
+    whole.  Each round moves every weight by a power of budget over share, tries a
+    fan of powers in one job and goes on from the best.  The search ends when
+    every share is within ``tolerance`` times its budget, or when ``patience``
+    rounds found no better weights: few scenarios make the tail jump, and shares
+    in between don't exist then.  ``residual`` is the largest miss, as a part of
+    the budget, ``start`` that of equal weights; raises when weights still get
+    better after ``rounds``.
+    """
+    spark = panel.sparkSession
+    scenarios = checkpointed(panel.select("t", F.col("asset").cast("bigint").alias("asset"), F.col("ret").cast("double").alias("ret")).where("ret is not null"))
+    assets = sorted(r[0] for r in scenarios.select("asset").distinct().collect())
+    n = len(assets)
+    want = np.array([budget[a] for a in assets]) if budget else np.full(n, 1 / n)
+    want = want / want.sum()
+    at = {a: i for i, a in enumerate(assets)}
+
+    def shares(ws: list[np.ndarray]) -> np.ndarray:
+        rows = [(k, a, float(x)) for k, w in enumerate(ws) for a, x in zip(assets, w)]
+        loss = np.zeros((len(ws), n))
+        for r in soft_tail(scenarios, spark.createDataFrame(rows, "cand int, asset bigint, weight double"), confidence).collect():
+            loss[r.cand, at[r.asset]] = abs(ws[r.cand][at[r.asset]] * r.slope)
+        return loss / loss.sum(axis=1, keepdims=True)
+
+    miss = lambda s: np.abs(s / want - 1).max() + ((s / want - 1) ** 2).mean()
+    w = bounded_project(np.full(n, 1 / n), low, high)
+    share, power, idle = shares([w])[0], 0.5, 0
+    best = (miss(share), w, share)
+    start = float(np.abs(share / want - 1).max())
+    for _ in range(rounds):
+        if idle >= patience or (np.abs(best[2] / want - 1) <= tolerance).all():
+            out = [(a, float(b), float(x), float(s), float(np.abs(best[2] / want - 1).max()), start) for a, b, x, s in zip(assets, want, best[1], best[2])]
+            return spark.createDataFrame(out, "asset bigint, budget double, weight double, share double, residual double, start double")
+        ratio = np.clip(want / np.maximum(share, 1e-9), 0.2, 5.0)
+        ws = [bounded_project((y := w * ratio ** (power * 0.6**k)) / y.sum(), low, high) for k in range(fan)]
+        got = shares(ws)
+        k = int(np.argmin([miss(s) for s in got]))
+        better = miss(got[k]) < miss(share)
+        w, share = ws[k], got[k]
+        power = min(0.9, power * (1.5 if k == 0 else 0.6 ** max(0, k - 1))) if better else max(0.05, power * 0.5)
+        idle = 0 if miss(share) < 0.98 * best[0] else idle + 1
+        if miss(share) < best[0]:
+            best = (miss(share), w, share)
+    raise RuntimeError(f"weights did not settle in {rounds} rounds")

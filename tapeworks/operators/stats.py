@@ -222,14 +222,19 @@ def haar_denoise(s: Series, col: str, limit: float) -> Series:
     return s._with(s.mutate(denoised=y).rows.drop("_nx", "_pv"))
 
 
-def probit(p: Column) -> Column:
-    """Normal quantile by rational approximation (relative error 1e-9).
+# The published coefficients of the normal quantile's rational
+# approximation (middle: over and under the line, then the same for the sides).
+PROBIT = (
+    [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239],
+    [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572],
+    [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783],
+    [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416],
+)
+
 
-    Fixed values: the published coefficients of the approximation."""
-    a = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
-    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572]
-    cc = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
-    d = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416]
+def probit(p: Column) -> Column:
+    """Normal quantile by rational approximation (relative error 1e-9)."""
+    a, b, cc, d = PROBIT
 
     def poly(x, ks, tail=None):
         out = F.lit(ks[0])
@@ -249,3 +254,37 @@ def probit(p: Column) -> Column:
 def uniform_ranks(df: DataFrame, keys: list[str], col: str, ties: list[str]) -> DataFrame:
     s = Series.of(df, keys, [col, *ties]).totals(_n=F.count(F.lit(1)))
     return s.rows.withColumn("u", c(IDX) / (c("_n") + 1)).drop(IDX, "_n")
+
+
+def kendall(s: Series, x: str, y: str) -> DataFrame:
+    """Kendall's tau-b of two columns in each series: keys, n, tau.
+
+    Discordant pairs are the inversions of y's ranks in the order of x.  They are
+    counted bit by bit: of rows that agree above a bit, each row without the bit
+    is inverted with the rows before it that have it.  Every bit is a running
+    count, so no pair is formed and long series are sliced as any other.
+    """
+    rows = s.df.where(c(x).isNotNull() & c(y).isNotNull()).select(*s.keys, c(x).alias("_x"), c(y).alias("_y"), *s.order)
+    ties = lambda *by: rows.groupBy(*s.keys, *by).agg(F.count(F.lit(1)).alias("_k")).groupBy(*s.keys).agg(F.sum(c("_k") * (c("_k") - 1) / 2).alias("_t"))
+    ranked = Series.of(rows, s.keys, ["_y", *s.order]).bounded(1, {"_new": lambda w: F.when(w.lag("_y") == c("_y"), 0).otherwise(1)}).running(_v=("sum", "_new"))
+    n = rows.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n"))
+    top = n.agg(F.max("n")).first()[0] or 1
+    bits = F.sequence(F.lit(0), F.lit(max(1, int(top).bit_length())))
+    at = ranked.df.withColumn("_b", F.explode(bits)).withColumn("_g", F.expr("shiftright(_v, _b + 1)")).withColumn("_one", F.expr("shiftright(_v, _b) % 2"))
+    run = Series.of(at, [*s.keys, "_b", "_g"], ["_x", "_y", *s.order]).running(_ones=("sum", "_one"))
+    swapped = run.df.groupBy(*s.keys).agg(F.sum(F.when(c("_one") == 0, c("_ones")).otherwise(0)).alias("_d"))
+    g = n.join(swapped, s.keys)
+    for name, by in (("_n1", ["_x"]), ("_n2", ["_y"]), ("_n3", ["_x", "_y"])):
+        g = g.join(ties(*by).withColumnRenamed("_t", name), s.keys)
+    all_ = c("n") * (c("n") - 1) / 2
+    agree = all_ - c("_n1") - c("_n2") + c("_n3") - c("_d")
+    free = (all_ - c("_n1")) * (all_ - c("_n2"))
+    return g.select(*s.keys, "n", F.when(free > 0, (agree - c("_d")) / F.sqrt(free)).alias("tau"))
+
+
+def t_copula_freedom(scores: DataFrame, at: str, score: str) -> DataFrame:
+    """n, kurtosis, df: degrees of freedom from the excess kurtosis of the mean
+    normal score at each ``at``."""
+    m = scores.groupBy(at).agg(F.avg(score).alias("_m"))
+    g = m.agg(F.count(F.lit(1)).alias("n"), F.kurtosis("_m").alias("kurtosis"))
+    return g.withColumn("df", F.when(c("kurtosis") > 0, F.greatest(F.lit(2.5), 6 / c("kurtosis") + 4)).otherwise(10.0))
