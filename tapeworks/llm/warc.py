@@ -1,14 +1,16 @@
 """Sharded WARC writer and reader.
 
-Records are range-sorted by page_id; each task writes its range as one or more
+Records are range-sorted by page_id, in ranges that follow from the counted ids
+alone, so the same pages give the same files however they are partitioned; each task writes its range as one or more
 gzip-per-record files, starting a new file once the compressed size of the
 current one reaches the limit.  Headers (type, ids, lengths, block and payload
 digests) are made anew from the payload.  Records whose payload of at least 1000
 bytes equals that of a record with a larger page_id are revisits of it.
 
-Every file is written under a temporary name of its task attempt and renamed at
-its end; a manifest row (path, bytes, records, digest of the file) is what
-commits it.  The manifest is a Parquet table written by Spark's own commit
+Every file is written under a temporary name of its task attempt and renamed to
+its range and shard at its end (an attempt that comes again writes the same
+bytes); a manifest row (path, bytes, records, digest of the file) is what commits
+it.  The manifest is a Parquet table written by Spark's own commit
 protocol, so files of lost or repeated attempts are never named by it.
 
 Paths go through pyarrow's file systems: any store that all executors share.
@@ -36,8 +38,10 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import table, work_folder
 from tapeworks.llm.registry import query
+from tapeworks.plans.series import Series
 
 ROLL_BYTES = 16 << 20
+PART_BYTES = 16 << 20  # of payload that a range of ids should have
 MIN_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"  # records carry no crawl time
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -103,6 +107,27 @@ def keyed(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     return notes.union(p.select("page_id", F.lit(1), "url", "payload", F.lit(None).cast("bigint")))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of the writer in sorted ranges of page_id with about ``PART_BYTES``
+    of payload each.  The ranges come from counts of the ids, not from a sample,
+    so any partitioning of the same pages gives the same shards."""
+    own = rows.where("kind = 1")
+    total = own.agg(F.sum(F.octet_length("payload")).alias("b")).first()["b"] or 0
+    n = max(1, -(-total // PART_BYTES))
+    cells = own.where("page_id IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("_c")).withColumn("_all", F.lit(0))
+    counted = Series.of(cells, ["_all"], ["page_id"]).totals(_t=F.sum("_c")).running(_cum=("sum", "_c")).df
+    starts = counted.groupBy(F.floor((F.col("_cum") - F.col("_c")) * n / F.col("_t")).alias("k")).agg(F.min("page_id").alias("lo"))
+    # at most n starts, cut into about sqrt(n) lists, so that a lookup is short
+    m = max(1, round(n**0.5))
+    lists = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("s"), F.lit(1)) - 1) / m).cast("int")), lambda g: F.slice("s", g * m + 1, m))
+    bounds = starts.agg(F.sort_array(F.collect_list("lo")).alias("s")).select(lists.alias("_lists"))
+    group = F.greatest(F.size(F.filter("_lists", lambda b: F.get(b, F.lit(0)) <= F.col("page_id"))) - 1, F.lit(0))
+    inside = F.size(F.filter(F.get("_lists", group), lambda b: b <= F.col("page_id"))) - 1
+    part = F.when(F.col("page_id").isNull(), 0).otherwise(F.greatest(group * m + inside, F.lit(0)))
+    placed = rows.join(F.broadcast(bounds), F.lit(True)).withColumn("_part", part.cast("int")).drop("_lists")
+    return placed.repartitionById(n, "_part").drop("_part").sortWithinPartitions("page_id", "kind", "payload", "url")
+
+
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Write ``pages`` below ``folder`` and return the manifest."""
     spark = pages.sparkSession
@@ -122,7 +147,9 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes
         def close() -> pa.RecordBatch:
             nonlocal shard, out
             out.close()
-            name = f"{root}/part-{part:05d}-{shard:05d}-{attempt}.warc.gz"
+            name = f"{root}/part-{part:05d}-{shard:05d}.warc.gz"
+            if store.get_file_info(name).type != fs.FileType.NotFound:
+                store.delete_file(name)  # of an attempt that was lost, with the same bytes
             store.move(temp, name)
             shard, out = shard + 1, None
             row = [[f"{folder}/data/{name.rsplit('/', 1)[1]}"], [n_bytes], [n], [first], [last], [sha.hexdigest()]]
@@ -159,7 +186,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes
             if out is not None:
                 out.close()
 
-    ready = keyed(pages, min_bytes).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "payload")
+    ready = dealt(keyed(pages, min_bytes))
     ready.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

@@ -503,6 +503,22 @@ def test_warc(spark):
     assert warc.archive(spark, empty).count() == 0
 
 
+def test_warc_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    rng = random.Random(10)
+    data = [(rng.choice([i, i, 7, None]), f"http://h/{i}", "p" * rng.randint(0, 3000) + str(i % 40)) for i in range(400)]
+    data += data[:50]
+    monkeypatch.setattr(warc, "PART_BYTES", 40_000)
+    seen = []
+    for n in (1, 5, 11):
+        rng.shuffle(data)
+        df = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(n)
+        m = warc.write(df, common.work_folder(spark, "t"), roll_bytes=3000).collect()
+        assert sum(r.n_records for r in m) == len(data)
+        seen.append(sorted((r.path.rsplit("/", 1)[1], r.sha1, r.first_id is None, r.first_id or 0) for r in m))
+    assert seen[0] == seen[1] == seen[2] and len({x[0][:10] for x in seen[0]}) > 8
+    assert [x[2:] for x in seen[0]] == sorted((x[2:] for x in seen[0]), key=lambda x: (not x[0], x[1]))
+
+
 # the pipeline
 
 
