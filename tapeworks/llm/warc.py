@@ -42,6 +42,7 @@ from tapeworks.plans.series import Series
 
 ROLL_BYTES = 16 << 20
 PART_BYTES = 16 << 20  # of payload that a range of ids should have
+SLICE_IDS = 8192  # ids that a task counts along
 MIN_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"  # records carry no crawl time
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -115,7 +116,7 @@ def dealt(rows: DataFrame) -> DataFrame:
     total = own.agg(F.sum(F.octet_length("payload")).alias("b")).first()["b"] or 0
     n = max(1, -(-total // PART_BYTES))
     cells = own.where("page_id IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("_c")).withColumn("_all", F.lit(0))
-    counted = Series.of(cells, ["_all"], ["page_id"]).totals(_t=F.sum("_c")).running(_cum=("sum", "_c")).df
+    counted = Series.of(cells, ["_all"], ["page_id"], max_rows=SLICE_IDS, block_rows=SLICE_IDS).totals(_t=F.sum("_c")).running(_cum=("sum", "_c")).df
     starts = counted.groupBy(F.floor((F.col("_cum") - F.col("_c")) * n / F.col("_t")).alias("k")).agg(F.min("page_id").alias("lo"))
     # at most n starts, cut into about sqrt(n) lists, so that a lookup is short
     m = max(1, round(n**0.5))

@@ -508,6 +508,7 @@ def test_warc_shards_do_not_depend_on_partitions(spark, monkeypatch):
     data = [(rng.choice([i, i, 7, None]), f"http://h/{i}", "p" * rng.randint(0, 3000) + str(i % 40)) for i in range(400)]
     data += data[:50]
     monkeypatch.setattr(warc, "PART_BYTES", 40_000)
+    monkeypatch.setattr(warc, "SLICE_IDS", 100)
     seen = []
     for n in (1, 5, 11):
         rng.shuffle(data)
