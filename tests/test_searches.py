@@ -74,13 +74,13 @@ def noisy(spark):
 @pytest.mark.parametrize("chunk", [512, 50])
 def test_regimes_one_chunk_and_many(spark, noisy, chunk):
     df, data = noisy
-    rows, models = regimes.regimes(Series.of(df, ["k"], ["t"]), "x", max_states=3, rounds=12, rows=chunk)
+    rows, models = regimes.regimes(Series.of(df, ["k"], ["t"]), "x", max_states=3, rounds=6, rows=chunk)
     got = {r.k: r for r in models.collect()}
     assert set(got) == {"a", "b"}
     for k, r in got.items():
         best = None
         for n in (2, 3):
-            flat, ll, took = slow_fit(data[k], n, 1e-6, 12)
+            flat, ll, took = slow_fit(data[k], n, 1e-6, 6)
             bic = -2 * ll + (n * (n - 1) + 2 * n + n - 1) * np.log(len(data[k]))
             if best is None or bic < best[0]:
                 best = bic, n, flat, ll, took
@@ -97,7 +97,7 @@ def test_regime_likelihood_does_not_fall(spark, noisy):
     chunks = regimes.chunked(s, "x", 32)
     now = regimes.starts(s, "x", [2, 3]).select("k", "states", "theta", F.lit(None).cast("double").alias("ll"), F.lit(0).alias("rounds"))
     seen = []
-    for _ in range(4):
+    for _ in range(2):
         sums = {(r.k, r.states): r.sums for r in regimes._round(chunks, now, ["k"]).collect()}
         for (k, n), v in sums.items():
             assert abs(sum(v[:n]) - len(data[k])) < 1e-8 and abs(sum(v[3 * n:3 * n + n * n]) - len(data[k]) + 1) < 1e-8
