@@ -156,15 +156,17 @@ def spectrum(pairs: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def exposure_sets(pos: DataFrame) -> DataFrame:
     """Long, short, gross, net, leverage-adjusted exposure and HHI for the total,
-    each currency group and each symbol (grouping sets in one pass)."""
+    each currency group and each symbol (grouping sets in one pass).  A group
+    whose net positions are all zero has no concentration: its HHI is NaN."""
     c = F.col
+    total = F.sum("notional")
     g = pos.groupingSets([[], ["nation"], ["symbol"]], "nation", "symbol").agg(
         F.grouping_id().alias("gid"),
         F.sum(F.when(c("signed") > 0, c("notional")).otherwise(0.0)).alias("long_exposure"),
         F.sum(F.when(c("signed") > 0, 0.0).otherwise(c("notional"))).alias("short_exposure"),
         F.sum("signed").alias("net_exposure"),
         F.sum(c("signed") * c("leverage")).alias("leverage_adjusted"),
-        (F.sum(c("notional") * c("notional")) / F.pow(F.sum("notional"), 2)).alias("hhi"),
+        F.when(total == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.sum(c("notional") * c("notional")), total * total)).alias("hhi"),
     )
     return g.withColumn("gross_exposure", c("long_exposure") + c("short_exposure"))
 

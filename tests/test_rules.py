@@ -98,3 +98,10 @@ def test_bounded_weights_and_cvar(spark):
     assert assets == [0, 1, 2] and equal == pytest.approx(cvar(np.full(3, 1 / 3)), rel=1e-9) and best == pytest.approx(cvar(w), rel=1e-9)
     grid = min(cvar(np.array([a, b, 1 - a - b])) for a in np.linspace(0, 1, 41) for b in np.linspace(0, 1 - a, 41))
     assert best <= grid * 1.05
+
+
+def test_exposures_of_a_flat_symbol(spark):
+    rows = [("a", 1, 0.0, 0.0, 1.0), ("b", 1, 30.0, -30.0, 2.0), ("c", 2, None, None, 1.0)]
+    got = {(r.nation, r.symbol): r for r in risk.exposure_sets(one(spark, "symbol string, nation int, notional double, signed double, leverage double", rows)).collect()}
+    assert np.isnan(got[None, "a"].hhi) and got[None, "a"].gross_exposure == 0 and got[None, "b"].hhi == 1 and got[1, None].hhi == 1
+    assert got[None, "c"].hhi is None and got[None, None].net_exposure == -30
