@@ -67,7 +67,9 @@ def psi(df: DataFrame, bins: int = 10) -> DataFrame:
 
 def rank_tests(df: DataFrame, **series_args) -> DataFrame:
     """Two-sample KS (exact statistic, asymptotic p) and rank-sum (average
-    ranks for ties) per feature from one value-ordered pass over value counts."""
+    ranks for ties) per feature from one value-ordered pass over value counts.
+    Products of counts are doubles: m * n * (m + n) passes a bigint from a few
+    million rows a part."""
     ref = F.col("part") == "reference"
     cell = df.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count_if(ref).alias("_r"), F.count_if(~ref).alias("_c"))
     s = Series.of(cell, ["feature"], ["value"], **series_args).totals(m=F.sum("_r"), n=F.sum("_c")).running(_cr=("sum", "_r"), _cc=("sum", "_c"))
@@ -76,14 +78,14 @@ def rank_tests(df: DataFrame, **series_args) -> DataFrame:
     here = c("_r") + c("_c")
     rank = c("_cr") + c("_cc") - here + (here + 1) / 2
     g = x.groupBy("feature", "m", "n").agg(F.max(F.abs(c("_cr") / c("m") - c("_cc") / c("n"))).alias("ks"), F.sum(c("_r") * rank).alias("rank_sum"))
-    ne = c("m") * c("n") / (c("m") + c("n"))
+    m, n = c("m").cast("double"), c("n").cast("double")
+    ne = m * n / (m + n)
     lam = (F.sqrt(ne) + 0.12 + 0.11 / F.sqrt(ne)) * c("ks")
     series = sum(((-1) ** (k - 1) * F.exp(-2.0 * k * k * F.col("_lam") * F.col("_lam")) for k in range(1, 101)), F.lit(0.0))
-    big = c("m") + c("n")
-    z = (c("rank_sum") - c("m") * (big + 1) / 2) / F.sqrt(c("m") * c("n") * (big + 1) / 12)
+    z = (c("rank_sum") - m * (m + n + 1) / 2) / F.sqrt(m * n * (m + n + 1) / 12)
     g = g.withColumn("_lam", lam).withColumn("ks_p", F.when(c("_lam") < 0.01, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))).withColumn("rank_z", z)
     p = normal_cdf(c("rank_z"))
-    return g.withColumn("rank_p", 2 * F.least(p, 1 - p)).withColumn("u_statistic", c("rank_sum") - c("m") * (c("m") + 1) / 2).drop("_lam")
+    return g.withColumn("rank_p", 2 * F.least(p, 1 - p)).withColumn("u_statistic", c("rank_sum") - m * (m + 1) / 2).drop("_lam")
 
 
 def two_sample(df: DataFrame, keys: list[str], part: str, a: str, b: str, value: str) -> DataFrame:

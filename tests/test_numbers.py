@@ -130,3 +130,12 @@ def test_store_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(exchange" in plan and "GreaterThanOrEqual(open_time" in plan and "high" not in plan
     assert got.count() == df.where("timeframe = '1d' and symbol = 2 and open_time between timestamp_ntz'2024-01-10' and timestamp_ntz'2024-03-01'").count()
     assert st.exists("x", "1d", 2) and not st.exists("x", "1d", 9) and st.symbols("x").count() == 5
+
+
+def test_rank_tests_of_millions_of_rows(spark):
+    n = 2_000_000        # n * n * (2 n + 1) is more than a bigint
+    rows = spark.range(2 * n).select(F.lit("f").alias("feature"), F.when(F.col("id") < n, "reference").otherwise("current").alias("part"), (F.col("id") % 1000 * 1.0 + F.when(F.col("id") < n, 0.0).otherwise(100.0)).alias("value"))
+    r = drift.rank_tests(rows).first()
+    less = sum(max(0, v - 100) + 0.5 * (v >= 100) for v in range(1000)) * (n / 1000) ** 2      # reference above current, ties half
+    z = (less - n * n / 2) / math.sqrt(n * n * (2 * n + 1) / 12)
+    assert (r.m, r.n) == (n, n) and r.ks == pytest.approx(0.1) and r.u_statistic == pytest.approx(less, rel=1e-12) and r.rank_z == pytest.approx(z, rel=1e-9) and r.ks_p == 0
