@@ -144,7 +144,7 @@ def drift_verdict(ranks: DataFrame, psis: DataFrame, effect: DataFrame, alpha: f
 def histogram(df: DataFrame, bins: int) -> DataFrame:
     """Shared-bin counts and densities of both parts."""
     span = df.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    x = df.join(span, "feature")
+    x = df.join(F.broadcast(span), "feature")       # one row per feature: the rows stay where they are
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("_lo")) / width))).otherwise(0)
     cell = x.groupBy("feature", at.cast("int").alias("bin")).agg(F.count_if(F.col("part") == "reference").alias("ref_count"), F.count_if(F.col("part") != "reference").alias("cur_count"))
