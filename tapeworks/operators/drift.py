@@ -53,7 +53,7 @@ def psi(df: DataFrame, bins: int = 10) -> DataFrame:
     ref = F.col("part") == "reference"
     cuts = [f"_q{k}" for k in range(1, bins)]
     edges = exact_percentiles(df.where(ref), ["feature"], "value", {c: k / bins for k, c in enumerate(cuts, 1)}).drop("n")
-    x = df.join(edges, "feature")
+    x = df.join(F.broadcast(edges), "feature")      # one row per feature: the rows stay where they are
     at = sum((F.when(F.col("value") >= F.col(c), 1).otherwise(0) for c in cuts), F.lit(0))
     cell = x.groupBy("feature", at.alias("bin")).agg(F.count_if(ref).alias("_r"), F.count_if(~ref).alias("_c"))
     tot = cell.groupBy("feature").agg(F.sum("_r").alias("_nr"), F.sum("_c").alias("_nc"), F.count(F.lit(1)).alias("_k"))

@@ -139,3 +139,10 @@ def test_rank_tests_of_millions_of_rows(spark):
     less = sum(max(0, v - 100) + 0.5 * (v >= 100) for v in range(1000)) * (n / 1000) ** 2      # reference above current, ties half
     z = (less - n * n / 2) / math.sqrt(n * n * (2 * n + 1) / 12)
     assert (r.m, r.n) == (n, n) and r.ks == pytest.approx(0.1) and r.u_statistic == pytest.approx(less, rel=1e-12) and r.rank_z == pytest.approx(z, rel=1e-9) and r.ks_p == 0
+
+
+def test_parts_are_compared_without_moving_rows(spark):
+    rows = spark.createDataFrame([("f", "reference" if i % 2 else "current", float(i)) for i in range(100)], "feature string, part string, value double").repartition(4)
+    for x in (drift.psi(rows), drift.histogram(rows, 5)):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
