@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tapeworks.plans.recur import Affine
 from tapeworks.plans.series import IDX, Series
@@ -35,20 +38,90 @@ def neighbours(edges: DataFrame, nodes: DataFrame, edge_type: str | None = None)
     return out.unionByName(into).join(nodes.withColumnRenamed("id", "other"), "other")
 
 
-def triangles(edges: DataFrame) -> DataFrame:
+CELL_EDGES = 1_000_000      # edges between two groups of nodes
+LIST = 100_000              # neighbours in a list
+
+
+def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (node, neighbour) of rows with lists."""
+    ends = t.column("_ns").combine_chunks()
+    return np.repeat(t.column("_n").to_numpy(), ends.value_lengths().to_numpy()), ends.flatten().to_numpy(zero_copy_only=False)
+
+
+def _closed(kind: pa.DataType, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cycles a -> b -> c -> a of one cell from its edges a -> b, c -> a and
+    b -> c, ``most`` wedges at a time."""
+    t = pa.Table.from_batches(list(batches))
+    role = t.column("_role").to_numpy()
+    (a1, b), (a2, cc), (b3, c3) = (_flat(t.filter(pa.array(role == k))) for k in range(3))
+    if not (len(b) and len(cc) and len(b3)):
+        return
+    an, a2 = np.unique(a2, return_inverse=True)
+    bn, b3 = np.unique(b3, return_inverse=True)
+    cn, both = np.unique(np.concatenate((cc, c3)), return_inverse=True)
+    order = np.argsort(a2, kind="stable")
+    own = both[:len(cc)][order]                                  # c of each a, side by side
+    first = np.searchsorted(a2[order], np.arange(len(an) + 1))
+    want = np.sort(b3 * len(cn) + both[len(cc):])
+
+    def place(x, names):
+        i = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        return i, names[i] == x
+
+    (ai, in_a), (bi, in_b) = place(a1, an), place(b, bn)
+    ai, bi = ai[in_a & in_b], bi[in_a & in_b]
+    n = first[ai + 1] - first[ai]
+    done = np.concatenate(([0], np.cumsum(n)))
+    lo = 0
+    while lo < len(ai):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + most, "right")) - 1)
+        at = np.repeat(np.arange(lo, hi), n[lo:hi])
+        ci = own[first[ai[at]] + np.arange(len(at)) - (done[at] - done[lo])]
+        wedge = bi[at] * len(cn) + ci
+        hit = np.flatnonzero(want[np.minimum(np.searchsorted(want, wedge), len(want) - 1)] == wedge)
+        at, ci = at[hit], ci[hit]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in (an[ai[at]], bn[bi[at]], cn[ci])], names=["a", "b", "c"])
+        lo = hi
+
+
+def triangles(edges: DataFrame, cell_edges: int = CELL_EDGES, wedges: int = 1 << 20) -> DataFrame:
     """Directed cycles of three edges, each once (its smallest node first).
 
     A cycle is built at its node of lowest degree (ties by id) and nowhere else,
-    so a hub's edges only meet in cycles of hubs: wedges in -> node -> out of the
-    lowest node are closed by an equi-join on both ends.
+    so a hub's edges only meet in cycles of hubs.  Nodes are dealt to groups by
+    hash, so many that two groups share some ``cell_edges`` edges; a cell is three
+    groups and gets the edges between them as lists of neighbours.  Wedges
+    in -> node -> out are closed inside a cell and never shuffled.
     """
     e = edges.select("source", "target").where(c("source") != c("target")).distinct()
+    node = e.select(c("source").alias("n")).unionAll(e.select(c("target").alias("n")))
+    kind = node.schema["n"].dataType
+    e = checkpointed(e.select(c("source").cast(kind).alias("source"), c("target").cast(kind).alias("target")))
+    groups = max(1, math.ceil(math.sqrt(e.count() / cell_edges)))
     ends = e.select(c("source").alias("n")).unionAll(e.select(c("target").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("deg"))
     rank = lambda n: F.struct(c(f"{n}_deg"), c(n))
     ranked = e.join(ends.select(c("n").alias("source"), c("deg").alias("source_deg")), "source").join(ends.select(c("n").alias("target"), c("deg").alias("target_deg")), "target")
-    ab = ranked.where(rank("source") < rank("target")).select(c("source").alias("a"), c("target").alias("b"))
-    ca = ranked.where(rank("target") < rank("source")).select(c("target").alias("a"), c("source").alias("c"))
-    found = ab.join(ca, "a").where("b != c").join(e.select(c("source").alias("b"), c("target").alias("c")), ["b", "c"])
+    group = lambda n: F.pmod(F.xxhash64(n), F.lit(groups))
+    share = lambda n, deg: F.pmod(F.xxhash64(n, F.lit(1)), F.floor(deg / LIST) + 1)      # long lists come in parts
+
+    def lists(x: DataFrame, role: int, n: str, other: str, cell) -> DataFrame:
+        """Neighbours of n by group, sent to the cells of all third groups."""
+        own = x.groupBy(c(n).alias("_n"), group(other).alias("_h"), share(other, c(f"{n}_deg")).alias("_s")).agg(F.collect_list(other).alias("_ns"))
+        cells = own.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        return cells.select(cell(group("_n"), c("_h"), c("_k")).alias("_cell"), F.lit(role).alias("_role"), "_n", "_ns")
+
+    at = lambda i, j, k: (i * groups + j) * groups + k           # groups of a, b, c
+    met = (
+        lists(ranked.where(rank("source") < rank("target")), 0, "source", "target", lambda g, h, k: at(g, h, k))
+        .unionByName(lists(ranked.where(rank("target") < rank("source")), 1, "target", "source", lambda g, h, k: at(g, k, h)))
+        .unionByName(lists(ranked, 2, "source", "target", lambda g, h, k: at(k, g, h)))
+    )
+    arrow = to_arrow_type(kind)
+
+    def close(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _closed(arrow, wedges, batches)
+
+    found = met.groupBy("_cell").applyInArrow(close, ", ".join(f"{n} {kind.simpleString()}" for n in "abc"))
     low = F.least("a", "b", "c")
     turn = lambda x, y, z: F.when(low == c("a"), c(x)).when(low == c("b"), c(y)).otherwise(c(z))
     return found.select(low.alias("a"), turn("b", "c", "a").alias("b"), turn("c", "a", "b").alias("c"))

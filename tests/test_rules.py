@@ -51,6 +51,18 @@ def test_triangles_once_with_hubs(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_triangles_in_cells_of_node_groups(spark):
+    rng = np.random.default_rng(2)
+    e = {(f"n{a}", f"n{b}") for a, b in zip(rng.integers(0, 30, 300), rng.integers(0, 30, 300))} | {("n0", f"n{k}") for k in range(30)}
+    rows = one(spark, "source string, target string", sorted(e) + [(None, "n1"), ("n1", None)])
+    ids = [f"n{k}" for k in range(30)]
+    want = {(a, b, c) for a in ids for b in ids for c in ids if len({a, b, c}) == 3 and a == min(a, b, c) and {(a, b), (b, c), (c, a)} <= e}
+    x = knowledge.triangles(rows, cell_edges=20, wedges=50)
+    assert sorted(map(tuple, x.collect())) == sorted(want)
+    assert "SortMergeJoin [b" not in x._jdf.queryExecution().executedPlan().toString()      # wedges stay in their cell
+    assert knowledge.triangles(rows.where("source = 'n0'")).collect() == []
+
+
 def test_stress_deepens_losses(spark):
     pos = one(spark, "leverage double, signed double", [(1.0, 100.0)])
     now = {r.scenario: r.total_pnl for r in risk.stress(pos).collect()}
