@@ -41,6 +41,14 @@ def l01(spark, sf):
     return acc.select(F.inline(rows), r("accuracy").alias("test_accuracy"))
 
 
+def quartile_counts(lf):
+    """Rows by feature, quartile bin and label; the quartiles, one row a feature,
+    are sent to the rows."""
+    q = exact_percentiles(lf, ["feature"], "value", {"a": 0.25, "b": 0.5, "d": 0.75}).drop("n")
+    at = F.when(c("value") >= c("d"), 3).when(c("value") >= c("b"), 2).when(c("value") >= c("a"), 1).otherwise(0)
+    return lf.join(F.broadcast(q), "feature").groupBy("feature", at.alias("bin"), c("label_class").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "l02_mutual_information",
     f"WITH {BARS}, {MX}, " + ", ".join(f"e_{f} AS (SELECT quantile_cont({f}, 0.25) AS a, quantile_cont({f}, 0.5) AS b, quantile_cont({f}, 0.75) AS c FROM mx)" for f in X4)
@@ -52,9 +60,7 @@ def l02(spark, sf):
     from tapeworks.operators.drift import long_form
 
     lf = long_form(matrix(spark, sf), ["label_class"], {f: c(f) for f in X4})
-    q = exact_percentiles(lf, ["feature"], "value", {"a": 0.25, "b": 0.5, "d": 0.75}).drop("n")
-    at = F.when(c("value") >= c("d"), 3).when(c("value") >= c("b"), 2).when(c("value") >= c("a"), 1).otherwise(0)
-    ct = lf.join(q, "feature").groupBy("feature", at.alias("bin"), c("label_class").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    ct = quartile_counts(lf)
     t = ct.groupBy("feature").agg(F.sum("n").alias("t"))
     b = ct.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
     y = ct.groupBy("feature", "y").agg(F.sum("n").alias("ny"))

@@ -146,3 +146,12 @@ def test_parts_are_compared_without_moving_rows(spark):
     for x in (drift.psi(rows), drift.histogram(rows, 5)):
         plan = x._jdf.queryExecution().optimizedPlan().toString()
         assert "strategy=broadcast" in plan
+
+
+def test_quartile_counts_leave_rows_where_they_are(spark):
+    from tapeworks.catalog.models import quartile_counts
+
+    rows = spark.createDataFrame([("f", i % 2, float(i)) for i in range(9)], "feature string, label_class int, value double")
+    x = quartile_counts(rows)
+    assert "strategy=broadcast" in x._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.bin, r.y): r.n for r in x.collect()} == {(0, 0): 1, (0, 1): 1, (1, 0): 1, (1, 1): 1, (2, 0): 1, (2, 1): 1, (3, 0): 2, (3, 1): 1}
