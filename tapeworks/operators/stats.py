@@ -199,16 +199,18 @@ def hedge_ratio(s: Series, y: str, x: str, q: float = 1e-5, r_: float = 1e-2, le
 
 def haar_energy(s: Series, col: str, levels: int) -> DataFrame:
     """Energy of the Haar details per level: each level pairs neighbours by
-    index, so it is a grouped sum over half as many rows."""
-    cur = s.rows.select(*s.keys, (c(IDX) - 1).alias("i"), F.col(col).alias("v"))
-    out = None
+    index.  A level's pairs lie 2**(level - 1) rows apart, so all levels are
+    bounded looks ahead in one ordered pass; a pair that is not whole is null."""
+    looks = []
     for lv in range(1, levels + 1):
-        pair = cur.groupBy(*s.keys, F.floor(c("i") / 2).alias("j")).agg(F.sum(F.when(c("i") % 2 == 0, c("v"))).alias("a"), F.sum(F.when(c("i") % 2 == 1, c("v"))).alias("b"))
-        pair = pair.where(c("a").isNotNull() & c("b").isNotNull())
-        e = pair.groupBy(*s.keys).agg(F.sum(F.pow((c("a") - c("b")) / math.sqrt(2), 2)).alias("energy"), F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(lv))
-        out = e if out is None else out.unionByName(e)
-        cur = pair.select(*s.keys, c("j").alias("i"), ((c("a") + c("b")) / math.sqrt(2)).alias("v"))
-    return out
+        v, step = (F.col(col) if lv == 1 else c(f"_a{lv - 1}")), 1 << (lv - 1)
+        other = lambda w, v=v, step=step: w.lead(v, step)
+        looks.append({f"_d{lv}": (lambda w, v=v, other=other: (v - other(w)) / math.sqrt(2)), f"_a{lv}": (lambda w, v=v, other=other: (v + other(w)) / math.sqrt(2))})
+    rows = s.bounded(0, *looks, ahead=(1 << levels) - 1).rows
+    own = lambda lv: F.when((c(IDX) - 1) % (1 << lv) == 0, c(f"_d{lv}"))
+    g = rows.groupBy(*s.keys).agg(*[x for lv in range(1, levels + 1) for x in (F.sum(F.pow(own(lv), 2)).alias(f"_e{lv}"), F.count(own(lv)).alias(f"_n{lv}"))])
+    each = F.array(*[F.struct(c(f"_e{lv}").alias("energy"), c(f"_n{lv}").alias("n"), F.lit(lv).alias("level")) for lv in range(1, levels + 1)])
+    return g.select(*s.keys, F.inline(each)).where("n > 0")
 
 
 def haar_denoise(s: Series, col: str, limit: float) -> Series:
