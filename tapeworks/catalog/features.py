@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tapeworks.catalog import query
@@ -296,20 +297,48 @@ RT = "rt AS (SELECT *, close / pc - 1 AS r FROM bar)"
 SQ = "sqrt(252)"
 
 
+def deviations(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of ``x`` (NaN is no value): count, mean, differences to the
+    mean; those of equal values are exactly zero."""
+    ok = ~np.isnan(x)
+    n = ok.sum(axis=-1)
+    mean = np.where(ok, x, 0.0).sum(axis=-1) / n
+    flat = np.where(ok, x, np.inf).min(axis=-1) == np.where(ok, x, -np.inf).max(axis=-1)
+    return n, mean, np.where(ok & ~flat[..., None], x - mean[..., None], 0.0)
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    n, _, d = deviations(x)
+    return np.sqrt((d * d).sum(axis=-1) / n)
+
+
+def some(x: np.ndarray) -> np.ndarray:
+    """Sums of the values; NaN where there is none."""
+    ok = ~np.isnan(x)
+    return np.where(ok.any(axis=-1), np.where(ok, x, 0.0).sum(axis=-1), np.nan)
+
+
+def _regimes(v: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    i = v[IDX][:, -1]
+    own = np.arange(100) >= 100 - i[:, None]      # the rest lies before the series
+    ret, close, volume = (np.where(own, v[k], np.nan) for k in ("r", "close", "volume"))
+    chunks = [spread(ret[:, 80 - 20 * j : 100 - 20 * j]) for j in range(5)]
+    y = close[:, 50:]
+    k = np.where(np.isnan(y), np.nan, np.arange(50.0))
+    _, level, dy = deviations(y)
+    _, _, dk = deviations(k)
+    slope = (dy * dk).sum(axis=1) / (dk * dk).sum(axis=1)
+    n = lambda x: (~np.isnan(x)).sum(axis=1)
+    volume_20, volume_100 = some(volume[:, 80:]), some(volume)
+    return chunks[0], spread(ret), slope / level, some((ret * volume)[:, 80:]) / volume_20, (volume_20 / n(volume[:, 80:])) / (volume_100 / n(volume)), *chunks
+
+
 def regime_features(s: Series) -> Series:
     s = s.bounded(1, {"r": lambda w: F.col("close") / w.lag("close") - 1})
-    k = F.col(IDX).cast("double")
-    chunk = lambda j: (lambda w: F.stddev_pop("r").over(w.span(-20 * (j + 1) + 1, -20 * j)))
-    s = s.bounded(
-        99,
-        {
-            "realised": lambda w: w.full(101, F.stddev_pop("r").over(w(20)) * math.sqrt(252)), "_long": lambda w: w.full(101, F.stddev_pop("r").over(w(100)) * math.sqrt(252)),
-            "trend": lambda w: w.full(101, F.regr_slope(F.col("close"), k).over(w(50)) / F.avg("close").over(w(50))),
-            "ad_score": lambda w: w.full(101, F.sum(F.col("r") * F.col("volume")).over(w(20)) / F.sum("volume").over(w(20))),
-            "volume_pct": lambda w: w.full(101, F.avg("volume").over(w(20)) / F.avg("volume").over(w(100))),
-            **{f"_c{j}": chunk(j) for j in range(5)},
-        },
-    )
+    full = ["realised", "_long", "trend", "ad_score", "volume_pct"]
+    s = s.rolling(100, ["r", "close", "volume", IDX], [*full, *[f"_c{j}" for j in range(5)]], _regimes, short_ok=True)
+    root = {"realised": math.sqrt(252), "_long": math.sqrt(252)}
+    s = s.mutate(**{k: F.when(F.col(IDX) >= 101, F.col(k) * F.lit(root.get(k, 1.0))) for k in full})
     cs = [F.col(f"_c{j}") for j in range(5)]
     mean = sum(cs, F.lit(0.0)) / 5
     sd = F.sqrt(sum((F.pow(x - mean, 2) for x in cs), F.lit(0.0)) / 5)
@@ -329,30 +358,31 @@ SELECT symbol, t, {R('rv')} AS realised, {R('rv / (lg + 1e-8)')} AS vol_pct, {R(
  CASE WHEN rv / (lg + 1e-8) < 0.5 THEN 0 WHEN rv / (lg + 1e-8) > 1.5 THEN 2 ELSE 1 END AS vol_regime, CASE WHEN abs(tr) < 1e-5 THEN 0 WHEN tr > 0 THEN 1 ELSE -1 END AS trend_regime, CASE WHEN vp < 0.5 THEN 0 WHEN vp > 1.5 THEN 2 ELSE 1 END AS liquidity_regime FROM c WHERE i >= 101""",
 )
 def w75(spark, sf):
-    s = regime_features(bar_series(spark, sf))
+    s = regime_features(bar_series(spark, sf).only("close", "volume"))
     return s.rows.where(F.col(IDX) >= 101).select(
         "symbol", "t", r("realised").alias("realised"), r("vol_pct").alias("vol_pct"), r("trend", 6).alias("trend"), r("ad_score", 6).alias("ad_score"), r("volume_pct").alias("volume_pct"), r("stability").alias("stability"),
         "vol_regime", "trend_regime", "liquidity_regime",
     )
 
 
+def _return_moments(v: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    n, mean, d = deviations(v["_r"])
+    m2, m3, m4 = ((d ** k).sum(axis=1) / n for k in (2, 3, 4))
+    return mean, np.sqrt(m2), m3 / m2 ** 1.5, m4 / (m2 * m2) - 3, some(v["volume"]) / (~np.isnan(v["volume"])).sum(axis=1)
+
+
 def moments(s: Series, n: int = 60) -> Series:
-    s = s.bounded(1, {"_r": lambda w: F.log(F.col("close") / w.lag("close"))})
-    s = s.bounded(
-        n,
-        {
-            "ret_mean": lambda w: w.full(n + 1, F.avg("_r").over(w(n))), "ret_std": lambda w: w.full(n + 1, F.stddev_pop("_r").over(w(n))),
-            "ret_skew": lambda w: w.full(n + 1, F.skewness("_r").over(w(n))), "ret_kurt": lambda w: w.full(n + 1, F.kurtosis("_r").over(w(n))),
-            "momentum_5": lambda w: w.full(n + 1, F.col("close") / w.lag("close", 4) - 1), "momentum_20": lambda w: w.full(n + 1, F.col("close") / w.lag("close", 19) - 1),
-            "volume_ratio": lambda w: w.full(n + 1, F.col("volume") / F.avg("volume").over(w(n))),
-        },
-    )
-    return s
+    s = s.bounded(19, {"_r": lambda w: F.log(F.col("close") / w.lag("close")), "momentum_5": lambda w: w.full(n + 1, F.col("close") / w.lag("close", 4) - 1), "momentum_20": lambda w: w.full(n + 1, F.col("close") / w.lag("close", 19) - 1)})
+    outs = ["ret_mean", "ret_std", "ret_skew", "ret_kurt", "_vm"]
+    s = s.rolling(n, ["_r", "volume"], outs, _return_moments)
+    full = lambda x: F.when(F.col(IDX) >= n + 1, x)
+    s = s.mutate(**{k: full(F.col(k)) for k in outs[:4]}, volume_ratio=full(F.col("volume") / F.col("_vm")))
+    return s._with(s.rows.drop("_vm"))
 
 
 LR = f"lr AS (SELECT *, ln(close / pc) AS r FROM bar), ls AS (SELECT *, list(r) {over(60)} AS l FROM lr), mo AS (SELECT *, list_avg(l) AS m, list_stddev_pop(l) AS s FROM ls)"
 windowed(
-    "w76_return_moments", moments,
+    "w76_return_moments", lambda s: moments(s.only("close", "volume")),
     {
         "ret_mean": full(61, "m"), "ret_std": full(61, "s"), "ret_skew": full(61, "list_avg(list_transform(l, lambda x: pow((x - m) / s, 3)))"), "ret_kurt": full(61, "list_avg(list_transform(l, lambda x: pow((x - m) / s, 4))) - 3"),
         "momentum_5": full(61, f"close / lag(close, 4) {SERIES} - 1"), "momentum_20": full(61, f"close / lag(close, 19) {SERIES} - 1"), "volume_ratio": full(61, f"volume / avg(volume) {over(60)}"),
