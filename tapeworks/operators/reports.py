@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.structure import streak_maxima
-from tapeworks.plans.series import IDX, Series
-from tapeworks.session import no_larger_than
+from tapeworks.plans.series import IDX, SMALL_BYTES, Series
+from tapeworks.session import checkpointed, no_larger_than, size_estimate
 
 
 def trade_statistics(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -35,6 +35,8 @@ def equity_curve(trades: DataFrame, keys: list[str], t: str, capital: float) ->
     daily = trades.groupBy(*keys, t).agg(F.sum("pnl").alias("pnl"))
     if hasattr(trades, "_size_bound"):
         daily = no_larger_than(daily, trades)
+    if size_estimate(daily) >= SMALL_BYTES:      # readers of the curve don't sum the trades again
+        daily = no_larger_than(checkpointed(daily), daily)
     eq = Series.of(daily, keys, [t]).running(_c=("sum", "pnl")).mutate(equity=F.round(capital + F.col("_c"), 2)).df.drop("_c")
     return no_larger_than(eq, daily)
 

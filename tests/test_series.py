@@ -4,11 +4,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tapeworks.catalog.features import moments, regime_features
 from tapeworks.functions import averages as A
 from tapeworks.functions import bands, oscillators as O, structure as S
+from tapeworks.operators import reports, stats
+from tapeworks.plans import series
 from tapeworks.plans.joins import asof
 from tapeworks.plans.quantiles import exact_percentiles
 from tapeworks.plans.series import Series
+from tapeworks.session import counted_by
 
 BARS = "open double, high double, low double, close double, volume double"
 
@@ -143,3 +147,96 @@ def test_plain_windows_share_one_exchange(bars):
     executed = s.df._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning(symbol") == 1
     assert "CartesianProduct" not in plan
+
+
+def test_cheaper_count_decides_the_form(spark, monkeypatch):
+    """The rows themselves are not read when their source has few of each key."""
+    monkeypatch.setattr(series, "SMALL_BYTES", 0)
+    source = spark.range(20).select((F.col("id") % 3).alias("k"), "id")
+    costly = source.select("k", "id", F.raise_error(F.lit("read")).cast("double").alias("x")).groupBy("k", "id").agg(F.max("x").alias("x"))
+    costly = costly.where("x is null")          # a count must read x
+    s = Series.of(counted_by(costly, source), ["k"], ["id"])
+    assert not s.blocked
+    few = counted_by(source.where("id < 12"), source)
+    assert Series.of(few, ["k"], ["id"], max_rows=3, block_rows=5).blocked
+    assert not Series.of(few, ["k"], ["id"], max_rows=4, block_rows=5).blocked
+    left = Series.of(source, ["k"], ["id"]).kept("id > 4")
+    assert sorted((r.k, r.id, r._i) for r in left.rows.collect()) == sorted((i % 3, i, sum(j % 3 == i % 3 for j in range(5, i + 1))) for i in range(5, 20))
+
+
+def walk(n, seed):
+    x = 100 + np.cumsum(np.random.default_rng(seed).normal(size=n))
+    return [float(v) for v in x]
+
+
+def ragged(spark):
+    """A long series with a gap and a flat stretch, one that ends in its warm-up."""
+    data = {1: walk(180, 1), 2: walk(40, 2), 3: [7.0] * 150}
+    data[1][20] = None
+    rows = [(k, i, v, None if (k, i) == (1, 30) else float(i % 7 + 1)) for k, x in data.items() for i, v in enumerate(x)]
+    return data, spark.createDataFrame(rows, "symbol bigint, t bigint, close double, volume double").repartition(5).cache()
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_rows": 10, "block_rows": 60}])
+def test_rolling_moments_and_regimes(spark, limits):
+    data, df = ragged(spark)
+    s = Series.of(df, ["symbol"], ["t"], **limits)
+    got = moments(s)
+    assert "skewness" not in got.df._jdf.queryExecution().executedPlan().toString()   # one pass, no frame of aggregates
+    w = Series.of(df, ["symbol"], ["t"])
+    w = w.bounded(1, {"_r": lambda f: F.log(F.col("close") / f.lag("close"))})
+    w = w.bounded(60, {"ret_mean": lambda f: f.full(61, F.avg("_r").over(f(60))), "ret_std": lambda f: f.full(61, F.stddev_pop("_r").over(f(60))), "ret_skew": lambda f: f.full(61, F.skewness("_r").over(f(60))), "ret_kurt": lambda f: f.full(61, F.kurtosis("_r").over(f(60))), "volume_ratio": lambda f: f.full(61, F.col("volume") / F.avg("volume").over(f(60)))})
+    same(got.df, w.df, ["ret_mean", "ret_std", "ret_skew", "ret_kurt", "volume_ratio"])
+    got = regime_features(s)
+    assert "stddev_pop" not in got.df._jdf.queryExecution().executedPlan().toString()
+    w = Series.of(df, ["symbol"], ["t"])
+    w = w.bounded(1, {"r": lambda f: F.col("close") / f.lag("close") - 1})
+    k = F.col("_i").cast("double")
+    w = w.bounded(99, {
+        "realised": lambda f: f.full(101, F.stddev_pop("r").over(f(20)) * 252 ** 0.5), "_long": lambda f: f.full(101, F.stddev_pop("r").over(f(100)) * 252 ** 0.5),
+        "trend": lambda f: f.full(101, F.regr_slope(F.col("close"), k).over(f(50)) / F.avg("close").over(f(50))),
+        "ad_score": lambda f: f.full(101, F.sum(F.col("r") * F.col("volume")).over(f(20)) / F.sum("volume").over(f(20))),
+        "volume_pct": lambda f: f.full(101, F.avg("volume").over(f(20)) / F.avg("volume").over(f(100))),
+        **{f"_c{j}": (lambda f, j=j: F.stddev_pop("r").over(f.span(-20 * (j + 1) + 1, -20 * j))) for j in range(5)},
+    })
+    same(got.df, w.df, ["realised", "_long", "trend", "ad_score", "volume_pct", *[f"_c{j}" for j in range(5)]])
+
+
+def same(a, b, cols):
+    x, y = ([tuple(r) for r in d.select("symbol", "t", *cols).orderBy("symbol", "t").collect()] for d in (a, b))
+    assert len(x) == len(y)
+    for p, q in zip(x, y):
+        assert p[:2] == q[:2]
+        for name, u, v in zip(cols, p[2:], q[2:]):
+            assert (u is None) == (v is None) and (u is None or abs(u - v) < 1e-9 * max(1, abs(v))), (p[:2], name, u, v)
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_rows": 10, "block_rows": 60}])
+def test_haar_energy_in_one_pass(spark, limits):
+    data, df = ragged(spark)
+    e = stats.haar_energy(Series.of(df, ["symbol"], ["t"], **limits), "close", 3)
+    if not limits:      # no aggregate for each pair of each level
+        assert e._jdf.queryExecution().executedPlan().toString().count("Aggregate(") <= 2
+    got = {(r.symbol, r.level): (r.n, r.energy) for r in e.collect()}
+    want = {}
+    for k, x in data.items():
+        cur = x
+        for level in (1, 2, 3):
+            pairs = [(a, b) if a is not None and b is not None else None for a, b in zip(cur[::2], cur[1::2])]
+            d = [(p[0] - p[1]) / 2 ** 0.5 for p in pairs if p]
+            if d:
+                want[k, level] = (len(d), sum(v * v for v in d))
+            cur = [(p[0] + p[1]) / 2 ** 0.5 if p else None for p in pairs]
+    assert got.keys() == want.keys()
+    for k, (n, v) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - v) < 1e-9 * max(1, v)
+
+
+def test_equity_sums_trades_once(spark, monkeypatch):
+    """Readers of a large curve don't read the trades again."""
+    monkeypatch.setattr(reports, "SMALL_BYTES", 0)
+    trades = spark.range(40).select((F.col("id") % 2).alias("k"), (F.col("id") % 7).alias("day"), F.col("id").cast("double").alias("pnl"))
+    eq = reports.equity_curve(trades, ["k"], "day", 100.0)
+    assert "Range" not in eq._jdf.queryExecution().executedPlan().toString()
+    want = [(k, d, 100.0 + sum(i for i in range(40) if i % 2 == k and i % 7 <= d)) for k in (0, 1) for d in range(7)]
+    assert sorted((r.k, r.day, r.equity) for r in eq.collect()) == want
