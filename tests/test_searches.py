@@ -203,3 +203,19 @@ def test_front_numbers(spark, goals, size, monkeypatch):
     got = {r.i: r.front for r in fronts.fronts(df, names, size).collect()}
     assert got == want | {-1: None}
     assert fronts.fronts(df.limit(0), names).count() == 0
+
+
+@pytest.mark.parametrize("size", [5000, 60, 7])
+def test_first_front_is_found_alone(spark, monkeypatch, size):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(0, 1, (500, 3)), 1)
+    x[10] = x[20]
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(900, None, 9.0, 9.0), (901, float("nan"), 9.0, 9.0)]
+    rounds = []
+    whole = fronts._round
+    monkeypatch.setattr(fronts, "_round", lambda *a: rounds.append(1) or whole(*a))
+    names = ["p", "q", "r"]
+    df = spark.createDataFrame(rows, "i int, p double, q double, r double").repartition(3)
+    got = sorted(r.i for r in fronts.undominated(df, names, size).collect())
+    assert got == [i for i in range(500) if not ((x >= x[i]).all(axis=1) & (x > x[i]).any(axis=1)).any()]
+    assert len(rounds) <= 1 and fronts.undominated(df.limit(0), names).count() == 0
