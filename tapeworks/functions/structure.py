@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,6 +207,77 @@ def streak_maxima(s: Series, win: Column) -> DataFrame:
     )
 
 
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Streaks of two stretches of rows, one after the other: (first kind, its
+    length, last kind, its length, rows, longest wins, longest losses)."""
+    first, head, last, tail, n, wins, losses = a
+    met = last == b[0]
+    run = tail + b[1] if met else 0
+    wins, losses = max(wins, b[5], run if last == 1 else 0), max(losses, b[6], run if last == 0 else 0)
+    return first, run if met and head == n else head, b[2], run if met and b[3] == b[4] else b[3], n + b[4], wins, losses
+
+
+def _stretch(kind: np.ndarray) -> tuple:
+    at = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+    size, of = np.diff(np.append(at, len(kind))), kind[at]
+    best = lambda k: int(size[of == k].max(initial=0))
+    return int(of[0]), int(size[0]), int(of[-1]), int(size[-1]), len(kind), best(1), best(0)
+
+
+def _stretches(n_keys: int, batches):
+    """One row for each key of a sorted task: its streaks there."""
+    key, held, block, names = None, None, 0, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, block, *held), types)], names=names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = [*b.schema.names[: n_keys + 1], "first", "head", "last", "tail", "n", "wins", "losses"]
+        types = [*b.schema.types[: n_keys + 1], *[pa.int64()] * 7]
+        kind = b.column(n_keys + 1).to_numpy()
+        new = np.zeros(b.num_rows, bool)
+        for i in range(n_keys):
+            k = b.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= k[1:] != k[:-1]
+        edge = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            now, part = tuple(b.column(i)[lo].as_py() for i in range(n_keys)), _stretch(kind[lo:hi])
+            if held is not None and now != key:
+                yield row()
+                held = None
+            key, block = now, b.column(n_keys)[lo].as_py()
+            held = part if held is None else _joined(held, part)
+    if held is not None:
+        yield row()
+
+
+class _Streaks(Machine):
+    def __init__(self):
+        self.held = None
+
+    def row(self, *part):
+        self.held = part if self.held is None else _joined(self.held, part)
+        return ()
+
+    def end(self):
+        yield self.held[5:]
+
+
+def longest_streaks(df: DataFrame, keys: list[str], order: list[str], win: Column) -> DataFrame:
+    """``streak_maxima`` of rows that aren't a series yet.  Rows are dealt to tasks
+    by range with what orders them and the outcome only; a task passes on one row
+    for each of its keys, and these are joined in the order of the tasks."""
+    cols = list(dict.fromkeys([*keys, *order]))
+    x = df.select(*cols, F.when(win, 1).when(~win, 0).otherwise(-1).alias("_win"))
+    x = x.repartitionByRange(*[*keys, *order]).sortWithinPartitions(*keys, *order).select(*keys, F.spark_partition_id().alias("_task"), "_win")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields[:-1])
+    parts = ["first", "head", "last", "tail", "n", "wins", "losses"]
+    got = x.mapInArrow(partial(_stretches, len(keys)), ddl + ", " + ", ".join(f"{p} bigint" for p in parts))
+    return ordered_fold(got, keys, ["_task"], parts, _Streaks, "consecutive_wins bigint, consecutive_losses bigint")
+
+
 def rolling_max_drawdown(s: Series, n: int, col: str = "close", out: str = "rolling_max_dd") -> Series:
     def f(v):
         x = v[col]

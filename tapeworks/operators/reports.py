@@ -7,14 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.structure import streak_maxima
+from tapeworks.functions.structure import longest_streaks
 from tapeworks.plans.series import IDX, SMALL_BYTES, Series
 from tapeworks.session import checkpointed, no_larger_than, size_estimate
 
 
 def trade_statistics(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Counts, win rate, profit factor (no losses -> 9999), best / worst,
-    averages and duration in one grouped aggregate; streaks from the series."""
+    averages and duration in one grouped aggregate; streaks from one ordered pass."""
     p = F.col("pnl")
     win = p > 0
     g = trades.groupBy(*keys).agg(
@@ -25,7 +25,7 @@ def trade_statistics(trades: DataFrame, keys: list[str], order: list[str]) -> Da
         F.avg("hours").alias("avg_trade_duration_hours"), F.sum("pnl").alias("total_pnl"),
     )
     pf = F.when(F.col("_gl") > 0, F.col("_gp") / F.col("_gl")).when(F.col("_gp") > 0, 9999.0).otherwise(0.0)
-    streaks = streak_maxima(Series.of(trades, keys, order), win)
+    streaks = longest_streaks(trades, keys, order, win)
     return g.withColumn("profit_factor", pf).drop("_gp", "_gl").join(streaks, keys)
 
 

@@ -155,3 +155,35 @@ def test_quartile_counts_leave_rows_where_they_are(spark):
     x = quartile_counts(rows)
     assert "strategy=broadcast" in x._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.bin, r.y): r.n for r in x.collect()} == {(0, 0): 1, (0, 1): 1, (1, 0): 1, (1, 1): 1, (2, 0): 1, (2, 1): 1, (3, 0): 2, (3, 1): 1}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_streaks_across_tasks(spark, monkeypatch, parts):
+    from itertools import groupby
+
+    from tapeworks.operators import reports
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k, n, p in (("a", 400, 0.5), ("b", 300, 0.97), ("c", 1, 0.0), ("d", 90, 0.02), ("e", 60, 1.0)):
+        for t in range(n):
+            pnl = None if k in "ab" and t % 41 == 0 else 1.0 if rng.random() < p else -1.0
+            rows.append((k, t, 1.0, pnl))
+    rows += [("f", t, 1.0, None) for t in range(3)] + [(None, 1, 1.0, 2.0)]
+
+    def longest(k, sign):
+        of = [None if r[3] is None else r[3] > 0 for r in rows if r[0] == k]
+        return max((len(list(g)) for w, g in groupby(of) if w is sign), default=0)
+
+    # the trades aren't dealt as a series, whose sliced form stores and joins whole rows
+    monkeypatch.setattr(reports.Series, "of", None)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        df = spark.createDataFrame(rows, "k string, t int, hours double, pnl double").repartition(5)
+        got = {r.k: (r.consecutive_wins, r.consecutive_losses) for r in reports.trade_statistics(df, ["k"], ["t"]).collect()}
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert got == {k: (longest(k, True), longest(k, False)) for k in "abcdef"}
