@@ -10,6 +10,7 @@ from tapeworks.catalog.features import ML, MLC, ml_matrix
 from tapeworks.catalog.sql import BARS, R, SERIES
 from tapeworks.plans.quantiles import exact_percentiles
 from tapeworks.plans.series import IDX, Series
+from tapeworks.session import checkpointed
 
 c = lambda n: F.col(n)
 X4 = ["ret_5", "ret_20", "vol_20", "position"]
@@ -32,7 +33,8 @@ def l01(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
     feats = [f for f in MLC if f != "forward"]
-    x = matrix(spark, sf).na.drop().withColumn("label", c("label_class") + 1.0)
+    # stored: the cut, the fit's passes and the score don't make the features again
+    x = checkpointed(matrix(spark, sf).na.drop().select("t", *feats, (c("label_class") + 1.0).alias("label")))
     cut = exact_percentiles(x, [], "t", {"cut": 0.7}).first()["cut"]
     v = VectorAssembler(inputCols=feats, outputCol="features").transform(x)
     m = RandomForestClassifier(numTrees=20, maxDepth=5, seed=42).fit(v.where(c("t") <= cut))

@@ -187,3 +187,24 @@ def test_streaks_across_tasks(spark, monkeypatch, parts):
         for c, v in kept.items():
             spark.conf.set(c, v)
     assert got == {k: (longest(k, True), longest(k, False)) for k in "abcdef"}
+
+
+def test_forest_makes_its_features_once(spark, monkeypatch):
+    from tapeworks.catalog import models
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    rng = np.random.default_rng(5)
+    feats = rng.normal(0, 1, (300, len(models.MLC)))
+    rows = [("a", t, *map(float, f), int(np.sign(round(f[0])))) for t, f in enumerate(feats)]
+    cols = ", ".join(f"{n} double" for n in models.MLC)
+    df = spark.createDataFrame(rows, f"symbol string, t bigint, {cols}, label_class int")
+    df = df.withColumn("ret_1", F.udf(count, "double").asNondeterministic()("ret_1"))
+    monkeypatch.setattr(models, "matrix", lambda *a: df)
+    got = models.l01(spark, "").collect()
+    assert len(got) == len(models.MLC) - 1 and abs(sum(r.importance for r in got) - 1) < 1e-4
+    assert seen.value == 300
