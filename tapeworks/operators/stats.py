@@ -4,10 +4,11 @@ series is a handful of numbers solved in NumPy per row of that aggregate."""
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.plans.recur import Affine, Filter
@@ -258,15 +259,83 @@ def uniform_ranks(df: DataFrame, keys: list[str], col: str, ties: list[str]) ->
     return s.rows.withColumn("u", c(IDX) / (c("_n") + 1)).drop(IDX, "_n")
 
 
+TOGETHER = 1 << 16          # rows of whole series that are taken together
+
+
+def _swaps(n_keys: int, batches):
+    """n, discordant pairs and pairs tied in x, y and both of each series; rows come
+    sorted by keys, rank of x and rank of y."""
+    def done(t: pa.Table, new: np.ndarray):
+        k, u, v = np.cumsum(new) - 1, t.column("_u").to_numpy(), t.column("_v").to_numpy()
+        n = np.bincount(k)
+        swapped = np.zeros(len(n))
+        for b in range(int(v.max()).bit_length()):
+            at = np.lexsort((v >> (b + 1), k))
+            one, of, above = (v[at] >> b) & 1, k[at], v[at] >> (b + 1)
+            start = np.concatenate(([True], (of[1:] != of[:-1]) | (above[1:] != above[:-1])))
+            ones = np.cumsum(one)
+            before = ones - np.repeat((ones - one)[start], np.diff(np.append(np.flatnonzero(start), len(at))))
+            swapped += np.bincount(of, np.where(one == 0, before, 0), len(n))
+
+        def tied(*by):
+            at = np.lexsort((*by, k))
+            cut = np.concatenate(([True], np.any([x[at][1:] != x[at][:-1] for x in (k, *by)], axis=0)))
+            first = np.flatnonzero(cut)
+            size = np.diff(np.append(first, len(at))).astype(float)
+            return pa.array(np.bincount(k[at][first], size * (size - 1) / 2, len(n)))
+
+        keys = t.select(range(n_keys)).take(pa.array(np.flatnonzero(new))).combine_chunks()
+        cols = [pa.array(n), pa.array(swapped), tied(u), tied(v), tied(u, v)]
+        return pa.table([*keys.columns, *cols], names=[*keys.column_names, "n", "_d", "_n1", "_n2", "_n3"]).to_batches()
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for i in range(n_keys):
+            d = t.column(i).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= d[1:] != d[:-1]
+        return new
+
+    held, size, want = [], 0, TOGETHER
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size < want:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        new = starts(t)
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield from done(t.slice(0, last), new[:last])
+        held = t.slice(last).to_batches()
+        size = t.num_rows - last
+        want = max(TOGETHER, 2 * size)
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield from done(t, starts(t))
+
+
 def kendall(s: Series, x: str, y: str) -> DataFrame:
     """Kendall's tau-b of two columns in each series: keys, n, tau.
 
     Discordant pairs are the inversions of y's ranks in the order of x.  They are
     counted bit by bit: of rows that agree above a bit, each row without the bit
-    is inverted with the rows before it that have it.  Every bit is a running
-    count, so no pair is formed and long series are sliced as any other.
+    is inverted with the rows before it that have it, so no pair is formed.  Series
+    that fit a task pass one sort, whole ones at a time; in long ones, sliced as any
+    other, every bit is a running count.
     """
     rows = s.df.where(c(x).isNotNull() & c(y).isNotNull()).select(*s.keys, c(x).alias("_x"), c(y).alias("_y"), *s.order)
+    if not s.blocked:
+        y = Window.partitionBy(*s.keys).orderBy("_y")
+        ranks = rows.withColumn("_v", F.dense_rank().over(y).cast("bigint")).withColumn("_u", F.dense_rank().over(Window.partitionBy(*s.keys).orderBy("_x")).cast("bigint"))
+        keyed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*s.keys).schema.fields)
+        # the windows have put each series into one task
+        g = ranks.sortWithinPartitions(*s.keys, "_u", "_v").select(*s.keys, "_u", "_v").mapInArrow(partial(_swaps, len(s.keys)), f"{keyed}, n bigint, _d double, _n1 double, _n2 double, _n3 double")
+        for k in s.keys:
+            g = g.where(c(k).isNotNull())
+        return _tau(g, s.keys)
     ties = lambda *by: rows.groupBy(*s.keys, *by).agg(F.count(F.lit(1)).alias("_k")).groupBy(*s.keys).agg(F.sum(c("_k") * (c("_k") - 1) / 2).alias("_t"))
     ranked = Series.of(rows, s.keys, ["_y", *s.order]).bounded(1, {"_new": lambda w: F.when(w.lag("_y") == c("_y"), 0).otherwise(1)}).running(_v=("sum", "_new"))
     n = rows.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n"))
@@ -278,10 +347,14 @@ def kendall(s: Series, x: str, y: str) -> DataFrame:
     g = n.join(swapped, s.keys)
     for name, by in (("_n1", ["_x"]), ("_n2", ["_y"]), ("_n3", ["_x", "_y"])):
         g = g.join(ties(*by).withColumnRenamed("_t", name), s.keys)
+    return _tau(g, s.keys)
+
+
+def _tau(g: DataFrame, keys: list[str]) -> DataFrame:
     all_ = c("n") * (c("n") - 1) / 2
     agree = all_ - c("_n1") - c("_n2") + c("_n3") - c("_d")
     free = (all_ - c("_n1")) * (all_ - c("_n2"))
-    return g.select(*s.keys, "n", F.when(free > 0, (agree - c("_d")) / F.sqrt(free)).alias("tau"))
+    return g.select(*keys, "n", F.when(free > 0, (agree - c("_d")) / F.sqrt(free)).alias("tau"))
 
 
 def t_copula_freedom(scores: DataFrame, at: str, score: str) -> DataFrame:

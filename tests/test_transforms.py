@@ -73,6 +73,24 @@ def test_kendall(spark, limits):
     assert got["c"] is None
 
 
+def test_kendall_sorts_each_row_once(spark, monkeypatch):
+    """Whole series pass in one plan without copies of rows; batches cut series anywhere."""
+    monkeypatch.setattr(stats, "TOGETHER", 50)
+    rng = np.random.default_rng(9)
+    rows = [(k, t, float(rng.integers(0, 9)), None if t % 13 == 5 else float(rng.integers(0, 40))) for k in range(30) for t in range(3 + 7 * k)] + [(None, 1, 1.0, 2.0), (None, 2, 2.0, 1.0)]
+    s = Series.of(spark.createDataFrame(rows, "k int, t int, x double, y double").repartition(3), ["k"], ["t"])
+    df = stats.kendall(s, "x", "y")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {r.k: (r.n, r.tau) for r in df.collect()}
+    assert set(got) == set(range(30))
+    for k, (n, tau) in got.items():
+        x, y = (np.array([r[i] for r in rows if r[0] == k and r[3] is not None]) for i in (2, 3))
+        a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        free = (a * a).sum() * (b * b).sum()
+        assert n == len(x) and (tau is None if free == 0 else abs(tau - (a * b).sum() / math.sqrt(free)) < 1e-12)
+
+
 def test_layers(spark):
     e = [("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("z", "a"), ("b", "a")]
     got = {r.node: r.layer for r in knowledge.dependency_layers(spark.createDataFrame(e, "child string, parent string")).collect()}
