@@ -37,9 +37,9 @@ from tapeworks.llm.registry import query
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-KNOWN = 800_000  # segments that a worker remembers; then it starts anew
+KNOWN = 400_000  # segments that a worker remembers; then it starts anew
 KNOWN_CHARS = 64  # longer segments aren't remembered
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 SHORT = 48  # symbols up to which a flat agenda beats a heap
 NEVER = float("inf")
 
