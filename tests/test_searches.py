@@ -219,3 +219,11 @@ def test_first_front_is_found_alone(spark, monkeypatch, size):
     got = sorted(r.i for r in fronts.undominated(df, names, size).collect())
     assert got == [i for i in range(500) if not ((x >= x[i]).all(axis=1) & (x > x[i]).any(axis=1)).any()]
     assert len(rounds) <= 1 and fronts.undominated(df.limit(0), names).count() == 0
+
+
+def test_fronts_take_steps_by_slices_not_by_fronts(spark, monkeypatch):
+    jobs, store = [], fronts.checkpointed
+    monkeypatch.setattr(fronts, "checkpointed", lambda df: jobs.append(1) or store(df))
+    df = spark.createDataFrame([(float(i), float(i // 2)) for i in range(300)], "p double, q double").repartition(3)
+    got = {r.p: r.front for r in fronts.fronts(df, ["p", "q"], 100).collect()}
+    assert got == {float(i): 300 - i for i in range(300)} and len(jobs) <= 8
