@@ -240,3 +240,17 @@ def test_equity_sums_trades_once(spark, monkeypatch):
     assert "Range" not in eq._jdf.queryExecution().executedPlan().toString()
     want = [(k, d, 100.0 + sum(i for i in range(40) if i % 2 == k and i % 7 <= d)) for k in (0, 1) for d in range(7)]
     assert sorted((r.k, r.day, r.equity) for r in eq.collect()) == want
+
+
+def test_percentiles_of_all_rows_are_sliced(spark, monkeypatch):
+    from tapeworks.plans import quantiles
+
+    cut, sliced = Series._sliced, []
+    monkeypatch.setattr(quantiles, "SMALL_BYTES", 0)
+    monkeypatch.setattr(quantiles, "WHOLE_ROWS", 50)
+    monkeypatch.setattr(Series, "_sliced", classmethod(lambda cls, *a: sliced.append(1) or cut(*a)))
+    v = np.round(np.random.default_rng(4).normal(0, 9, 700), 1)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(3)
+    got = exact_percentiles(df, [], "v", {"p": 0.37, "q": 0.95}).first()
+    assert sliced and got.n == 700
+    assert abs(got.p - np.quantile(v, 0.37)) < 1e-9 and abs(got.q - np.quantile(v, 0.95)) < 1e-9
