@@ -11,7 +11,7 @@ from tapeworks.functions.draws import uniform
 from tapeworks.operators import books as B
 from tapeworks.operators.candles import candle_shape
 from tapeworks.plans.series import IDX, Series
-from tapeworks.session import shared_folder
+from tapeworks.session import checkpointed, shared_folder
 from tapeworks.sources import market, store
 
 ORD = "ord AS (SELECT o_orderkey AS order_id, o_custkey AS account, o_orderstatus AS status, o_totalprice AS notional, o_orderdate AS ts, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day, o_orderpriority AS priority FROM orders)"
@@ -164,7 +164,8 @@ SELECT symbol, CAST(at_day AS BIGINT) AS at_day, side, k, price, {R('qty', 2)} A
 def t06(spark, sf):
     """Best three levels of each side at the end of every 60 days, from the lives
     of levels; old updates are dropped, a quantity of 0 ends a level."""
-    d = messages.deltas_from_raw(depth_messages(spark, sf)).withColumn("symbol", F.col("symbol").cast("bigint"))
+    # stored: each series counts its rows first, messages are read once
+    d = checkpointed(messages.deltas_from_raw(depth_messages(spark, sf)).withColumn("symbol", F.col("symbol").cast("bigint")))
     ids = B.accepted(d.select("symbol", "day", "update_id").distinct(), ["symbol"], "day", "update_id").drop("update_id")
     lives = B.level_lives(d.join(ids, ["symbol", "day"]), ["symbol"], "day", "place")
     moments = market.ticks(spark, sf).select("symbol", (F.floor(F.col("day") / 60) * 60 + 59).alias("at_day")).distinct()

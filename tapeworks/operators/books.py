@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.plans.series import Series
+from tapeworks.plans.series import IDX, Series
+from tapeworks.session import checkpointed
 
 
 def depth_walk(levels: DataFrame, keys: list[str], price: str, qty: float) -> DataFrame:
@@ -93,18 +94,26 @@ def book_at(lives: DataFrame, moments: DataFrame, keys: list[str], at: str, dept
     """The best ``depth`` levels of each side at each moment (keys, ``at``, an
     integer of the same kind as ``since``); k is 1 for the best.
 
-    No book is replayed.  A life is cut into dyadic blocks, at most two of each
-    length, a moment lies in one block of each length, and both meet on (keys,
-    length, block).  What is cut to a block stands all through it, so only the
-    block's best ``depth`` levels go on: a moment meets a few of each length,
-    however deep the book is.
+    No book is replayed.  Time is counted in the moments of a key that have
+    passed, so a life that no moment sees is gone.  A life is cut into dyadic
+    blocks, at most two of each length, a moment lies in one block of each
+    length, and both meet on (keys, length, block).  What is cut to a block stands
+    all through it, so only the block's best ``depth`` levels go on: a moment
+    meets a few of each length, however deep the book is.
     """
     from pyspark.sql import Window
 
     c = F.col
-    end = moments.agg((F.max(at) + 1).alias("_end"), F.min(at).alias("_begin"))
-    spans = lives.join(F.broadcast(end), F.lit(True)).withColumns({"_a": F.greatest(c("since"), c("_begin")) - c("_begin"), "_b": F.least(F.coalesce("until", c("_end")), c("_end")) - c("_begin")}).where("_a < _b")
-    size = moments.agg((F.max(at) - F.min(at) + 1).alias("n")).first()["n"] or 1
+    lives = checkpointed(lives)
+    m = checkpointed(moments.where(c(at).isNotNull()).select(*keys, at).distinct())
+
+    def passed(rows: DataFrame, t: Column, name: str) -> DataFrame:
+        """Adds the number of the key's moments before ``t``."""
+        both = rows.withColumns({"_t": t, "_o": F.lit(0)}).unionByName(m.select(*keys, c(at).alias("_t"), F.lit(1).alias("_o")), allowMissingColumns=True)
+        return Series.of(both, keys, ["_t", "_o"]).running(**{name: ("sum", "_o")}).df.where("_o = 0").drop("_t", "_o")
+
+    spans = passed(passed(lives, c("since"), "_a"), F.coalesce("until", F.lit(2**63 - 1)), "_b").where("_a < _b")
+    size = m.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     levels = F.sequence(F.lit(0), F.lit(int(size).bit_length()))
     two = lambda l: F.pow(F.lit(2.0), l).cast("bigint")
     low = lambda l: F.floor((c("_a") + two(l) - 1) / two(l))
@@ -119,8 +128,8 @@ def book_at(lives: DataFrame, moments: DataFrame, keys: list[str], at: str, dept
     better = F.when(c("side") == "buy", -c("price")).otherwise(c("price"))
     best = Window.partitionBy(*keys, "lv", "id", "side").orderBy(better)
     cut = cut.withColumn("_r", F.row_number().over(best)).where(c("_r") <= depth).drop("_r")
-    m = moments.select(*keys, at).distinct().join(F.broadcast(end), F.lit(True)).withColumn("lv", F.explode(levels))
-    m = m.select(*keys, at, "lv", F.floor((c(at) - c("_begin")) / F.pow(F.lit(2.0), c("lv")).cast("bigint")).cast("bigint").alias("id"))
+    m = Series.of(m, keys, [at]).rows.withColumn("lv", F.explode(levels))
+    m = m.select(*keys, at, "lv", F.floor((c(IDX) - 1) / F.pow(F.lit(2.0), c("lv")).cast("bigint")).cast("bigint").alias("id"))
     met = m.join(cut, [*keys, "lv", "id"])
     w = Window.partitionBy(*keys, at, "side").orderBy(better)
     return met.withColumn("k", F.row_number().over(w)).where(c("k") <= depth).select(*keys, at, "side", "k", "price", "qty")

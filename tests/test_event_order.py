@@ -152,3 +152,11 @@ def test_a_retried_epoch_writes_once(spark, tmp_path):
         write(spark.createDataFrame([(r,) for r in part], "value string"), epoch)
     assert spark.read.parquet(good).count() == 2
     assert sorted(r.reason for r in spark.read.parquet(dead).collect()) == ["missing severity", "missing severity", "not json"]
+
+
+def test_book_counts_moments_not_time(spark):
+    far = 2**62 + 5
+    lives = spark.createDataFrame([("x", "buy", 5.0, 1.0, -far, 0), ("x", "buy", 6.0, 2.0, 0, None), ("x", "sell", 7.0, 3.0, 1, 9), (None, "buy", 1.0, 1.0, 0, None)], "sym string, side string, price double, qty double, since bigint, until bigint")
+    moments = spark.createDataFrame([("x", -far), ("x", far), ("x", None), ("y", 3)], "sym string, at bigint")
+    got = sorted((r.sym, r["at"], r.side, r.k, r.price, r.qty) for r in books.book_at(lives, moments, ["sym"], "at", 2).collect())
+    assert got == [("x", -far, "buy", 1, 5.0, 1.0), ("x", far, "buy", 1, 6.0, 2.0)]
