@@ -7,7 +7,9 @@ none.  It is run in parallel without changing its result:
 1. Equal vectors are one class, led by the smallest id.
 2. Candidates share a band of bits, the signs against hashed random hyperplanes.
    ``bands`` bands of ``bits`` bits find a pair at the threshold with a
-   probability that ``recall`` gives; each candidate's cosine is then computed.
+   probability that ``recall`` gives.  A candidate goes on from the join itself
+   only if not more of all its signs differ than ``reach`` allows (a pair at the
+   threshold does with a chance below 1e-9); its cosine is then computed.
 3. Blocks of ids, each twice as long as all before, are decided one after the
    other.  Only inside a block are pairs formed.  A row is a leader when no
    undecided earlier neighbour is left and none of them is a leader; rounds go on
@@ -40,36 +42,49 @@ def recall(threshold: float, bits: int, bands: int) -> float:
     return 1 - (1 - same**bits) ** bands
 
 
+def reach(threshold: float, signs: int) -> int:
+    """Signs that may differ: eight deviations above the mean at the threshold."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(signs * p + 8 * math.sqrt(signs * p * (1 - p)))
+
+
 def signatures(rows: DataFrame, vec: str, bits: int, bands: int, seed: int = 11) -> DataFrame:
-    """Adds ``_u`` (the unit vector) and ``_b`` (one key a band)."""
+    """Adds ``_u`` (the unit vector), ``_b`` (one key a band) and ``_s`` (all
+    signs, 32 in each word)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
-            units, keys = [], []
+            units, keys, words = [], [], []
             for v in b.column(vec).to_pylist():
                 x = np.array(v, float)
                 x /= np.sqrt(x @ x)
                 p = planes.get(len(x))
                 if p is None:
                     p = planes[len(x)] = np.random.default_rng([seed, len(x)]).standard_normal((bits * bands, len(x)))
-                sign = (p @ x > 0).reshape(bands, bits)
+                flat = p @ x > 0
+                sign = flat.reshape(bands, bits)
                 units.append(x.tolist())
                 keys.append(((sign << np.arange(bits)).sum(axis=1) * bands + np.arange(bands)).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(units, pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64()))], names=[*b.schema.names, "_u", "_b"])
+                bits32 = np.pad(flat, (0, -len(flat) % 32)).reshape(-1, 32)
+                words.append((bits32.astype(np.int64) << np.arange(32)).sum(axis=1).tolist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(units, pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))], names=[*b.schema.names, "_u", "_b", "_s"])
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{ddl}, _u array<double>, _b array<bigint>")
+    return rows.mapInArrow(run, f"{ddl}, _u array<double>, _b array<bigint>, _s array<bigint>")
 
 
 def _dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _similar(left: DataFrame, right: DataFrame, key: str, threshold: float) -> DataFrame:
+def _similar(left: DataFrame, right: DataFrame, key: str, threshold: float, signs: int) -> DataFrame:
     """(key, a, b): similar pairs of a left and a later right row."""
-    x = left.select(key, c("id").alias("a"), F.explode("_b").alias("_k"))
-    y = right.select(key, c("id").alias("b"), F.explode("_b").alias("_k"))
-    pairs = x.join(y, [key, "_k"]).where("a < b").select(key, "a", "b").distinct()
+    words = -(-signs // 32)
+    sign = lambda n: [F.get("_s", F.lit(k)).alias(f"{n}{k}") for k in range(words)]
+    x = left.select(key, c("id").alias("a"), *sign("_p"), F.explode("_b").alias("_k"))
+    y = right.select(key, c("id").alias("b"), *sign("_q"), F.explode("_b").alias("_k"))
+    differ = sum((F.bit_count(c(f"_p{k}").bitwiseXOR(c(f"_q{k}"))) for k in range(words)), F.lit(0))
+    pairs = x.join(y, [key, "_k"]).where((c("a") < c("b")) & (differ <= reach(threshold, signs))).select(key, "a", "b").distinct()
     pairs = pairs.join(left.select(key, c("id").alias("a"), c("_u").alias("_x")), [key, "a"]).join(right.select(key, c("id").alias("b"), c("_u").alias("_y")), [key, "b"])
     return pairs.where(_dot("_x", "_y") >= threshold).select(key, "a", "b")
 
@@ -100,10 +115,10 @@ def leaders(items: DataFrame, key: str, order: str, vec: str, threshold: float =
     while not left.isEmpty():
         now = checkpointed(left.where(c("rank") <= hi))
         later = left.where(c("rank") > hi)
-        inside = checkpointed(_similar(now, now, key, threshold))
+        inside = checkpointed(_similar(now, now, key, threshold, bits * bands))
         heads = checkpointed(_leaders(now.select(key, "id"), inside, key))
         chosen = now.join(heads, [key, "id"], "left_semi")
-        taken = inside.unionByName(_similar(chosen, later, key, threshold)).join(heads.withColumnRenamed("id", "a"), [key, "a"], "left_semi")
+        taken = inside.unionByName(_similar(chosen, later, key, threshold, bits * bands)).join(heads.withColumnRenamed("id", "a"), [key, "a"], "left_semi")
         got = checkpointed(taken.groupBy(key, c("b").alias("id")).agg(F.min("a").alias("leader")).unionByName(heads.select(key, "id", c("id").alias("leader"))))
         lead = got if lead is None else lead.unionByName(got)
         left = checkpointed(later.join(got, [key, "id"], "left_anti"))

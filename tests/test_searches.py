@@ -227,3 +227,19 @@ def test_fronts_take_steps_by_slices_not_by_fronts(spark, monkeypatch):
     df = spark.createDataFrame([(float(i), float(i // 2)) for i in range(300)], "p double, q double").repartition(3)
     got = {r.p: r.front for r in fronts.fronts(df, ["p", "q"], 100).collect()}
     assert got == {float(i): 300 - i for i in range(300)} and len(jobs) <= 8
+
+
+def test_unlike_candidates_are_told_by_their_signs(spark):
+    rng = np.random.default_rng(16)
+    a = rng.normal(size=(400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.vstack((a, b)))]
+    got = {r.i: r for r in episodes.signatures(spark.createDataFrame(rows, "i int, v array<double>"), "v", 12, 24).collect()}
+    differ = lambda i, j: sum((p ^ q).bit_count() for p, q in zip(got[i]._s, got[j]._s))
+    most = episodes.reach(0.95, 288)
+    assert all(differ(i, i + 400) <= most for i in range(400))
+    unlike = [differ(i, j) for i in range(400) for j in range(i) if set(got[i]._b) & set(got[j]._b)]
+    assert len(unlike) > 50 and sum(d <= most for d in unlike) < 0.05 * len(unlike)
