@@ -157,6 +157,30 @@ def test_edit_distance():
             assert lines.edits_within(a, b, most) == (distance(a, b) <= most)
 
 
+def test_large_clusters_meet_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LINE_UNIT", 16)
+    rng = random.Random(5)
+    sims = [rng.getrandbits(64)]
+    for _ in range(799):
+        sims.append(rng.choice(sims[-40:]) ^ (1 << rng.randrange(64) | 1 << rng.randrange(64)))
+    data = [(7, f"h{k}".encode(), x - (1 << 64) if x >> 63 else x, "same words here" if k % 3 else "quite another") for k, x in enumerate(sims)]
+    texts = spark.createDataFrame(data, "cluster bigint, h binary, sim bigint, norm string")
+    met = lines.meetings(texts, 3)
+    assert met.count() <= 12 * len(data) < len(data) * (len(data) // 16)
+    links = met.repartition(3, "unit").sortWithinPartitions("unit", "two", "sim").mapInArrow(lines._verify(3, 0.8), "a binary, b binary")
+    label = list(range(len(sims)))
+    for i in range(len(sims)):
+        for j in range(i):
+            if (sims[i] ^ sims[j]).bit_count() <= 3 and data[i][3] == data[j][3] and label[i] != label[j]:
+                hi, lo = sorted((label[i], label[j]), reverse=True)
+                label = [lo if x == hi else x for x in label]
+    name = {f"h{k}": k for k in range(len(sims))}
+    got = {}
+    for r in common.components(links.select(*[F.expr(f"cast(substring(cast({x} as string), 2) as bigint)").alias(x) for x in "ab"]), "a", "b").collect():
+        got[r.node] = r.root
+    assert len(name) == len(sims) and [got.get(k, k) for k in range(len(sims))] == label
+
+
 # 3
 
 
