@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tapeworks import session
 from tapeworks.llm import common, contamination, idcoder, idfiles, jaccard, lines, pieces, pitman_yor, pseudonyms, repeats, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -181,6 +182,16 @@ def test_large_clusters_meet_by_blocks(spark, monkeypatch):
     assert len(name) == len(sims) and [got.get(k, k) for k in range(len(sims))] == label
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    mine = spark.conf.get(session.DROP_SHUFFLES, None)
+    folder = [spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()]
+    held = lambda: sum(b.name().startswith("shuffle") for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folder[0].getAllBlocks()))
+    before = held()
+    assert common.stored(spark.range(1000).repartition(5).groupBy("id").count(), "x").count() == 1000
+    spark.sparkContext._jvm.java.lang.Thread.sleep(1000)
+    assert held() <= before + 2 and spark.conf.get(session.DROP_SHUFFLES, None) == mine
+
+
 # 3
 
 
