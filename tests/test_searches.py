@@ -243,3 +243,36 @@ def test_unlike_candidates_are_told_by_their_signs(spark):
     assert all(differ(i, i + 400) <= most for i in range(400))
     unlike = [differ(i, j) for i in range(400) for j in range(i) if set(got[i]._b) & set(got[j]._b)]
     assert len(unlike) > 50 and sum(d <= most for d in unlike) < 0.05 * len(unlike)
+
+
+def test_readings_in_pieces_equal_sums_over_all_paths(monkeypatch):
+    import itertools
+
+    monkeypatch.setattr(regimes, "ROWS", 2)
+    rng = np.random.default_rng(3)
+    values, n = [rng.normal(size=k) for k in (4, 1, 5, 3, 2)], 2
+    first = np.array([True, True, False, False, True])
+    flat = np.hstack((np.full((5, n), 0.5), rng.dirichlet(np.ones(n), (5, n)).reshape(5, -1), rng.normal(size=(5, n)), rng.uniform(0.5, 2, (5, n))))
+    th, before, after = regimes.Theta(flat, n), rng.dirichlet(np.ones(n), 5), rng.dirichlet(np.ones(n), 5)
+    got = regimes.readings(regimes.Chunks(values, first), th, before, after)
+    for s, x in enumerate(values):
+        dens = np.exp(-0.5 * ((x[:, None] - th.mu[s]) / th.sd[s]) ** 2) / th.sd[s] / np.sqrt(2 * np.pi)
+        begin = th.pi[s] if first[s] else before[s] @ th.a[s]
+        g, moves, start, all_, plain = np.zeros((len(x), n)), np.zeros((n, n)), np.zeros(n), 0.0, 0.0
+        for path in itertools.product(range(n), repeat=len(x)):
+            w = begin[path[0]] * np.prod([dens[t, k] for t, k in enumerate(path)]) * np.prod([th.a[s][i, j] for i, j in itertools.pairwise(path)])
+            plain, w = plain + w, w * after[s][path[-1]]
+            all_ += w
+            for t, k in enumerate(path):
+                g[t, k] += w
+            for i, j in itertools.pairwise(path):
+                moves[i, j] += w
+        g, moves = g / all_, moves / all_
+        if first[s]:
+            start = g[0]
+        else:
+            pair = before[s][:, None] * th.a[s] * (g[0] / begin)
+            moves += pair
+        d = x[:, None] - th.mu[s]
+        want = np.concatenate((g.sum(axis=0), (g * d).sum(axis=0), (g * d * d).sum(axis=0), moves.ravel(), start, [np.log(plain)]))
+        assert np.allclose(got[s], want, rtol=1e-9)
